@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, mixing, packing, ranking, splitting, terms
+from quire.llm import language, mixing, nearest, neardup, packing, ranking, splitting, terms
 from quire.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.neighbour_pairs(nearest.nearest_vectors(table(spark, d, "vec_chunks")))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable vector's ten nearest, one row per vector and place."""
+    heaps = nearest.nearest_vectors(table(spark, d, "vec_chunks"))
+    out = heaps.select(F.col("id").alias("chunk_rowid"), F.posexplode("heap").alias("place", "h"))
+    return out.select("chunk_rowid", (F.col("place") + 1).alias("place"), F.col("h.n").alias("neighbour"), F.round(F.sqrt("h.d"), 6).alias("distance"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.aggregate_ranks(table(spark, d, "hits")).filter("position <= 3").select("question_id", "chunk_rowid")
 
@@ -29,6 +40,15 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "document_chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.expand_pairs(*neardup.near_duplicates(table(spark, d, "documents"), threshold=0.5, w=3))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document with its group of near duplicates (five terms, similarity 0.8) and its number of links."""
+    return neardup.groups(*neardup.near_duplicates(table(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pieces(spark, d).filter("piece = 0 and n_pieces > 1").select("id")
 
@@ -83,7 +103,7 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p3_found, p3_ranking, p5_found, p5_terms, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
+    own = [p1_found, p1_neighbours, p3_found, p3_ranking, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
     return {f.__name__: f for f in own}
 
 
@@ -105,6 +125,17 @@ b AS (
 s AS (SELECT question_id, chunk_rowid, round(least(min(p) * max(legs), 1), 12) AS rho, round(sum(x) / max(legs), 12) AS mean_rank FROM b GROUP BY 1, 2)
 """
 
+_P1 = """
+WITH v AS (SELECT chunk_rowid, min(embedding)::DOUBLE[] AS e FROM vec_chunks WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+p AS (SELECT x.chunk_rowid AS a, y.chunk_rowid AS b, list_distance(x.e, y.e) AS d FROM v x, v y WHERE x.chunk_rowid <> y.chunk_rowid)
+"""
+_P6 = """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t) z),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 2 * k >= p.n + q.n - k
+"""
 _WORDPUNCT = "len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+'))"
 _CJK = "len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]'))"
 _P9 = f"""
@@ -121,6 +152,8 @@ m AS (SELECT term, n, records, CASE WHEN records <= 2 THEN 'rare' WHEN records >
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS chunk_rowid_a, greatest(a, b) AS chunk_rowid_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p) z WHERE nth <= 10",
+        "p6_found": _P6,
         "p3_found": _P3 + "SELECT question_id, chunk_rowid FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_rowid) AS position FROM s) z WHERE position <= 3",
         "p5_found": _P5 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p5_terms": _P5 + "SELECT term, n, records, mark FROM m",
