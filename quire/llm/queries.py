@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, mixing, nearest, neardup, packing, ranking, splitting, terms
+from quire.llm import encoding, language, mixing, nearest, neardup, packing, ranking, scans, splitting, terms
 from quire.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_rowid", (F.col("place") + 1).alias("place"), F.col("h.n").alias("neighbour"), F.round(F.sqrt("h.d"), 6).alias("distance"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_restored(spark, d).select("id").distinct()
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected chunk with its text restored as far as it can be."""
+    return encoding.garbled_records(table(spark, d, "document_chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.aggregate_ranks(table(spark, d, "hits")).filter("position <= 3").select("question_id", "chunk_rowid")
 
@@ -32,6 +41,15 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.aggregate_ranks(table(spark, d, "hits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_noise(table(spark, d, "document_chunks"), table(spark, d, "documents"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every page record's continuous paragraphs and right label."""
+    return scans.repaired_pages(table(spark, d, "document_chunks"), table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "document_chunks")).filter("mark is not null").select("term", "mark")
 
@@ -103,7 +121,7 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_neighbours, p3_found, p3_ranking, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
+    own = [p1_found, p1_neighbours, p2_found, p2_restored, p3_found, p3_ranking, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
     return {f.__name__: f for f in own}
 
 
