@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.storage import staged
+from quire.plans.storage import staged, width
 
 _TERM = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
+#: In a cell of a cut posting list: records of one slice, of the lower of two, of the upper of two.
+SAME, LEFT, RIGHT = 0, 1, 2
 
 
 def shingle_sets(texts: list[str | None], w: int) -> list[np.ndarray]:
@@ -55,32 +57,29 @@ def shingle_sets(texts: list[str | None], w: int) -> list[np.ndarray]:
     return out
 
 
-def _signature(w: int) -> Callable:
-    """(id, size, a, b): size and 128 bits of each record's shingle set."""
+def _survey(w: int, least: int, hold: int) -> Callable:
+    """One pass, two kinds of rows: (id, size, a, b), size and 128 bits of each record's shingle set; and (h, n),
+    shingles that a worker meets ``least`` times or more within ``hold`` consecutive ones, with their counts."""
+    names = ["id", "size", "a", "b", "h", "n"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), w)
-            sums = [(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 2) - (1 << 63)) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64())], ["id", "size", "a", "b"])
-
-    return run
-
-
-def _often(w: int, least: int, hold: int) -> Callable:
-    """Shingles that a worker meets ``least`` times or more within ``hold`` consecutive ones, with their counts."""
+    def rows(of: dict[str, list]) -> pa.RecordBatch:
+        size = len(next(iter(of.values())))
+        return pa.RecordBatch.from_arrays([pa.array(of[c], t) if c in of else pa.nulls(size, t) for c, t in zip(names, kinds)], names)
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
         big = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(keys[big].view(np.int64)), pa.array(n[big].astype(np.int64))], ["h", "n"])
+        return rows({"h": keys[big].view(np.int64), "n": n[big].astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for s in shingle_sets(batch.column(1).to_pylist(), w):
-                parts.append(s)
-                size += len(s)
+            sets = shingle_sets(batch.column(1).to_pylist(), w)
+            sums = [(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 2) - (1 << 63)) for s in sets]
+            yield rows({"id": batch.column(0), "size": [len(s) for s in sets], "a": [x[0] for x in sums], "b": [x[1] for x in sums]})
+            parts += sets
+            size += sum(map(len, sets))
             if size >= hold:
                 yield flush(parts)
                 parts, size = [], 0
@@ -90,6 +89,40 @@ def _often(w: int, least: int, hold: int) -> Callable:
     return run
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a shingle set, of the least power of two of bits that is twice the set's size, 64 at least.
+
+    Two sets' bitmaps differ in at most as many bits as the sets differ in shingles; a longer bitmap becomes a
+    shorter one by xor of its halves."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    at = ((s >> np.uint64(17)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _differ(maps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of records a and b (places in ``maps``) differ, at the shorter one's length."""
+    words = np.array([len(m) for m in maps])
+    short = np.minimum(words[a], words[b])
+    out = np.zeros(len(a), dtype=np.int64)
+    for length in np.unique(short):
+        of = np.flatnonzero(short == length)
+        need = np.unique(np.concatenate([a[of], b[of]]))
+        table = np.zeros((len(need), length), dtype=np.uint64)
+        for k, d in enumerate(need):
+            m = maps[d]
+            while len(m) > length:
+                m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+            table[k] = m
+        x, y = np.searchsorted(need, a[of]), np.searchsorted(need, b[of])
+        step = max(1, 4_000_000 // int(length))
+        for lo in range(0, len(of), step):
+            out[of[lo : lo + step]] = np.bitwise_count(table[x[lo : lo + step]] ^ table[y[lo : lo + step]]).sum(1)
+    return out
+
+
 def multi_match(size: int, counts: np.ndarray, t: float, cheap: int) -> int:
     """How many prefix shingles a record may ask a partner to share: one, and one more for each further shingle
     after the shortest prefix that is met at most ``cheap`` times, up to a sixth of the record.  ``counts`` are the
@@ -100,8 +133,12 @@ def multi_match(size: int, counts: np.ndarray, t: float, cheap: int) -> int:
     return 1 + int(stop[0] if len(stop) else len(more))
 
 
-def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: int, cheap: int) -> Callable:
-    """Prefix postings, packed by bucket: one row per (bucket, batch) with little-endian arrays."""
+def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: int, cheap: int, hot: int) -> Callable:
+    """Prefix postings, packed by bucket: one row per (bucket, batch) with little-endian arrays.
+
+    The postings of a shingle met more than ``hot`` times are cut into slices by record; slice i goes to the cells
+    (i, j) of every j, so that no task gets them all.  The cell's side is kept in the top byte of ``pos``.
+    """
     keys, counts = often
 
     def estimate(s: np.ndarray) -> np.ndarray:
@@ -113,9 +150,11 @@ def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hs, ds, ps, sizes, asks = [], [], [], [], []
+            hs, ds, ps, sizes, asks, maps = [], [], [], [], [], []
+            more_h, more_d, more_p = [], [], []
             for k, s in enumerate(shingle_sets(batch.column(1).to_pylist(), w)):
                 size = len(s)
+                maps.append(bitmap(s).tobytes())
                 e = estimate(s)
                 order = np.lexsort((s, e))
                 s, e = s[order], e[order]
@@ -130,40 +169,61 @@ def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: i
                 continue
             h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
             sizes, asks = np.array(sizes, dtype=np.int32), np.array(asks, dtype=np.int32)
+            p |= SAME << 24
+            heavy = estimate(h)
+            for at in np.flatnonzero(heavy > hot):
+                slices = int(-(-heavy[at] // hot))
+                mine = xxhash.xxh64_intdigest(int(ids[d[at]]).to_bytes(8, "little", signed=True)) % slices
+                cells = [(min(mine, j), max(mine, j)) for j in range(slices)]
+                named = [xxhash.xxh64_intdigest(f"{h[at]} {i} {j}") for i, j in cells]
+                side = [(SAME if i == j else LEFT if i == mine else RIGHT) << 24 for i, j in cells]
+                place = p[at] & 0xFFFFFF
+                h[at], p[at] = named[0], place | side[0]
+                more_h.append(np.array(named[1:], dtype=np.uint64))
+                more_d.append(np.full(slices - 1, d[at], dtype=np.int32))
+                more_p.append(place | np.array(side[1:], dtype=np.int32))
+            h, d, p = np.concatenate([h, *more_h]), np.concatenate([d, *more_d]), np.concatenate([p, *more_p])
             b = (h % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             h, d, p, b = h[order], d[order], p[order], b[order]
             edges = np.flatnonzero(np.diff(b)) + 1
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], []]
             for lo, hi in zip([0, *edges], [*edges, len(b)]):
                 if lo == hi:
                     continue
                 docs, local = np.unique(d[lo:hi], return_inverse=True)
                 code = (h[lo:hi] // np.uint64(buckets)).astype(np.uint32)
                 cols[0].append(int(b[lo]))
-                for c, x in zip(cols[1:], (code, local.astype(np.uint16), p[lo:hi].astype(np.uint16 if sizes.max() < 65536 else np.int32).astype(np.int32), ids[docs].astype(np.int64), sizes[docs], asks[docs])):
+                for c, x in zip(cols[1:], (code, local.astype(np.uint16), p[lo:hi], ids[docs].astype(np.int64), sizes[docs], asks[docs])):
                     c.append(x.tobytes())
-            kinds = [pa.int32()] + [pa.binary()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "code", "local", "pos", "ids", "sizes", "asks"])
+                cols[7].append([maps[k] for k in docs])
+            kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "code", "local", "pos", "ids", "sizes", "asks", "maps"])
 
     return run
 
 
 def _pairs_of(t: float, block: int = 1024) -> Callable:
-    """Pairs of a bucket that share a prefix shingle early enough for both, with how many they share here."""
+    """Pairs of a bucket that share a prefix shingle early enough for both, with how many they share here.
+
+    Pairs whose bitmaps differ in more bits than similar sets may differ in shingles are left out at once.
+    """
 
     def run(batch: pa.Table) -> pa.Table:
-        code, pos, doc, size, ask = [], [], [], [], []
+        code, pos, doc, size, ask, named, maps = [], [], [], [], [], [], []
         for r in batch.to_pylist():
             local = np.frombuffer(r["local"], dtype=np.uint16)
             code.append(np.frombuffer(r["code"], dtype=np.uint32))
             pos.append(np.frombuffer(r["pos"], dtype=np.int32))
-            doc.append(np.frombuffer(r["ids"], dtype=np.int64)[local])
+            named.append(np.frombuffer(r["ids"], dtype=np.int64))
+            doc.append(named[-1][local])
+            maps += [np.frombuffer(m, dtype=np.uint64) for m in r["maps"]]
             size.append(np.frombuffer(r["sizes"], dtype=np.int32)[local])
             ask.append(np.frombuffer(r["asks"], dtype=np.int32)[local])
         c, p, d, n, m = (np.concatenate(x) for x in (code, pos, doc, size, ask))
         order = np.lexsort((d, c))
         c, p, d, n, m = c[order], p[order], d[order], n[order], m[order]
+        side, p = p >> 24, p & 0xFFFFFF
         starts = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
         lengths = np.diff(starts)
         out_a, out_b, out_k, out_need, out_sum = [], [], [], [], []
@@ -171,7 +231,7 @@ def _pairs_of(t: float, block: int = 1024) -> Callable:
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             k = np.minimum(m[i], m[j])
             overlap = np.ceil(t / (1 + t) * (n[i] + n[j]) - 1e-9).astype(np.int64)
-            ok = (p[i] < n[i] - overlap + k) & (p[j] < n[j] - overlap + k) & (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (d[i] != d[j])
+            ok = (p[i] < n[i] - overlap + k) & (p[j] < n[j] - overlap + k) & (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (d[i] != d[j]) & ((side[i] != side[j]) | (side[i] == SAME))
             i, j = i[ok], j[ok]
             swap = d[i] > d[j]
             out_a.append(np.where(swap, d[j], d[i]))
@@ -206,7 +266,16 @@ def _pairs_of(t: float, block: int = 1024) -> Callable:
         a, b, need = a[order], b[order], need[order]
         new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(new)
+        ids = np.concatenate(named)
+        who, place = np.unique(ids, return_index=True)
+        long = np.zeros(len(who), dtype=np.int64)
+        long[np.searchsorted(who, d)] = n
+        x, y = np.searchsorted(who, a[at]), np.searchsorted(who, b[at])
+        both = long[x] + long[y]
+        differ = _differ([maps[k] for k in place], x, y) if len(at) else np.zeros(0, dtype=np.int64)
+        alike = differ <= both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
         times = np.diff(np.concatenate([at, [len(a)]]))
+        at, times = at[alike], times[alike]
         return pa.table({"a": a[at], "b": b[at], "shared": times.astype(np.int32), "need": need[at].astype(np.int32)})
 
     return run
@@ -240,7 +309,7 @@ def within(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_semi")
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 8, often_most: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, often_most: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
     """Records whose sets of w consecutive terms have at least ``threshold`` of their union in common.
 
     Records with equal sets are one class, represented by its smallest key, so copies are never compared.  The
@@ -254,18 +323,19 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column
     column = F.col(text) if isinstance(text, str) else text
     docs = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), column.alias("text")).filter("text is not null")
     spark = records.sparkSession
-    signed = staged(docs.mapInArrow(_signature(w), "id long, size int, a long, b long").filter("size > 0"), "signatures")
+    survey = staged(docs.mapInArrow(_survey(w, 3, 2_000_000), "id long, size int, a long, b long, h long, n long"), "survey")
+    signed = survey.filter("size > 0").select("id", "size", "a", "b")
     classes = signed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("n"))
     copies = classes.filter("n > 1").select("a", "b", "rep")
     others = staged(signed.select("id", "a", "b").join(copies, ["a", "b"]).filter("id != rep").select("id", "rep").distinct(), "copies")
     total = signed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
     reps = without(docs, others.select("id"), "id")
-    top = reps.mapInArrow(_often(w, 3, 2_000_000), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(often_most).collect()
+    top = survey.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(often_most).collect()
     keys = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
     counts = np.array([r.n for r in top], dtype=np.int64)
     order = np.argsort(keys)
-    buckets = max(16, int(total // 100_000) + 1)
-    packed = reps.mapInArrow(_postings(w, threshold, (keys[order], counts[order]), buckets, cheap), "bucket int, code binary, local binary, pos binary, ids binary, sizes binary, asks binary")
+    buckets = max(width(spark), int(total // 1_500_000) + 1)
+    packed = reps.mapInArrow(_postings(w, threshold, (keys[order], counts[order]), buckets, cheap, hot), "bucket int, code binary, local binary, pos binary, ids binary, sizes binary, asks binary, maps array<binary>")
     found = packed.groupBy("bucket").applyInArrow(_pairs_of(threshold), "a long, b long, shared int, need int")
     cand = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
     cand = staged(cand, "candidates")
