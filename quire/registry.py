@@ -1,21 +1,559 @@
-"""Every query of the engine by name."""
+"""Every query of the engine by name, with the SQL that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.functions import pieces, text
+from quire.operators import chunker, evaluation, fulltext, hybrid, vectors
+from quire.plans import ingest
 from quire.plans.storage import table
+from quire.sources import markup, route
+from quire.sources.files import verify_manifest
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: A point in time the lease queries take as now.
+NOW = "2025-06-01 00:00:00"
 
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("format").count()
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def chunks_of(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "document_chunks")
+
+
+def docs_of(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def embeddings_of(s: SparkSession, d: str) -> DataFrame:
+    return vectors.usable(table(s, d, "vec_chunks")).withColumnRenamed("chunk_rowid", "id")
+
+
+# --- text measures ---------------------------------------------------------------------------------------------
+
+_CJK = "len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]'))"
+_U16 = "(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))"
+_EST = f"(ceil(({_U16} - {_CJK}) / 4.0) + {_CJK})::INT"
+
+
+@query(f"SELECT id, {_U16}::INT AS units, {_CJK}::INT AS cjk, {_EST} AS tokens FROM document_chunks")
+def token_estimate(s, d):
+    t = F.col("text")
+    return chunks_of(s, d).select("id", text.utf16_length(t).alias("units"), text.cjk_count(t).alias("cjk"), text.estimate_tokens(t).alias("tokens"))
+
+
+@query()
+def take_last_tokens(s, d):
+    tail = F.udf(lambda t: pieces.take_last(t, 40), "string")
+    return chunks_of(s, d).filter("text is not null").select("id", tail("text").alias("tail"))
+
+
+@query()
+def split_prose(s, d):
+    cut = F.udf(lambda t: pieces.split_prose(t, 100), "array<string>")
+    return docs_of(s, d).filter("text is not null").select("doc_id", F.posexplode(cut("text")).alias("part", "text"))
+
+
+@query("SELECT kind, count(*) AS chunks, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 6) AS mean, count(DISTINCT locator_value) AS locators FROM document_chunks GROUP BY kind")
+def chunk_stats(s, d):
+    return chunks_of(s, d).groupBy("kind").agg(F.count("*").alias("chunks"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 6).alias("mean"), F.countDistinct("locator_value").alias("locators"))
+
+
+@query("""SELECT id, coalesce(lag(locator_value) OVER w IS NOT DISTINCT FROM locator_value AND lag(section_path) OVER w IS NOT DISTINCT FROM section_path AND lag(id) OVER w IS NOT NULL, false) AS continues,
+  CASE WHEN lag(locator_value) OVER w IS NOT DISTINCT FROM locator_value AND lag(section_path) OVER w IS NOT DISTINCT FROM section_path AND lag(id) OVER w IS NOT NULL THEN lag(text) OVER w END AS previous
+  FROM document_chunks WINDOW w AS (PARTITION BY document_id ORDER BY seq)""")
+def chunk_overlap(s, d):
+    return chunker.overlaps(chunks_of(s, d))
+
+
+@query("""SELECT c.id, concat_ws(chr(10) || chr(10), nullif(d.title, ''), nullif(array_to_string(c.section_path, ' › '), ''), nullif(c.text, '')) AS passage FROM document_chunks c JOIN documents d USING (document_id)""")
+def embed_input(s, d):
+    rows = chunks_of(s, d).join(docs_of(s, d).select("document_id", "title"), "document_id")
+    return rows.select("id", vectors.embed_input(F.col("title"), F.col("section_path"), F.lit(None).cast("string"), F.col("text")).alias("passage"))
+
+
+@query("""SELECT id, CASE WHEN coalesce(len(section_path), 0) > 0 THEN array_to_string(section_path, ' › ') ELSE '(no section)' END || ' — ' || locator_type || ' ' || locator_value || CASE WHEN printed_label IS NOT NULL AND printed_label <> locator_value THEN ' (printed ' || printed_label || ')' ELSE '' END AS location FROM document_chunks""")
+def describe_location(s, d):
+    return chunker.describe_location(chunks_of(s, d))
+
+
+# --- full text -------------------------------------------------------------------------------------------------
+
+_FOLD = f"translate(lower(@), '{fulltext._FROM}', '{fulltext._TO}')"
+_TOK = f"regexp_extract_all(regexp_replace({_FOLD.replace('@', 'text')}, '\\p{{Mn}}+', '', 'g'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+_P = f"p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TOK}) AS term FROM document_chunks) z GROUP BY 1, 2)"
+_DL = f"dl AS (SELECT id, coalesce(len({_TOK}), 0) AS dl FROM document_chunks)"
+_Q = f"""q AS (SELECT question_id, phrase, count(*) AS times FROM (SELECT question_id, {_TOK.replace('lower(text)', 'lower(t)')} AS phrase FROM (SELECT question_id, unnest(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*')) AS t FROM questions) y) z WHERE len(phrase) > 0 GROUP BY 1, 2)"""
+_TF = f"""tk AS (SELECT id, {_TOK} AS a FROM document_chunks WHERE text IS NOT NULL), tx AS (SELECT id, a, unnest(a) AS term, generate_subscripts(a, 1) AS i FROM tk),
+dp AS (SELECT DISTINCT phrase FROM q), tf AS (SELECT phrase, id, count(*) AS tf FROM tx JOIN dp ON term = phrase[1] WHERE a[i:i + len(phrase) - 1] = phrase GROUP BY 1, 2)"""
+_BM25 = f"""WITH {_DL}, {_Q}, {_TF}, st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT phrase, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
+sc AS (SELECT question_id, id, -sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN dl USING (id) JOIN w USING (phrase) JOIN q USING (phrase) WHERE @where GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9), id) AS rank FROM sc)
+SELECT question_id, id, round(score, 8) AS score, rank FROM r WHERE rank <= 10"""
+
+
+@query(f"WITH {_P} SELECT id, term, tf FROM p")
+def postings(s, d):
+    return fulltext.postings(chunks_of(s, d)).select("id", "term", "tf")
+
+
+@query(f"WITH {_P} SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS n FROM p GROUP BY 1")
+def doc_freq(s, d):
+    return fulltext.postings(chunks_of(s, d)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("n"))
+
+
+@query(f"WITH {_DL} SELECT id, dl::INT AS dl FROM dl")
+def doc_lengths(s, d):
+    return fulltext.doc_lengths(chunks_of(s, d))
+
+
+@query(f"WITH {_DL} SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(avg(dl), 9) AS avgdl FROM dl")
+def corpus_stats(s, d):
+    return fulltext.corpus_stats(chunks_of(s, d)).withColumn("avgdl", F.round("avgdl", 9))
+
+
+@query("SELECT question_id, array_to_string(list_transform(regexp_extract_all(question, '[\\p{L}\\p{N}][\\p{L}\\p{N}''-]*'), lambda t: '\"' || t || '\"'), ' OR ') AS expression FROM questions")
+def match_expressions(s, d):
+    return table(s, d, "questions").select("question_id", fulltext.match_expression(F.col("question")).alias("expression"))
+
+
+def _bm25(s, d, only=None, stem=False):
+    scores = fulltext.bm25(chunks_of(s, d), table(s, d, "questions"), stem, only)
+    return fulltext.top_ranked(scores, 10).select("question_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_BM25.replace("@where", "true"))
+def bm25_topk(s, d):
+    return _bm25(s, d)
+
+
+@query(_BM25.replace("@where", "id IN (SELECT id FROM document_chunks JOIN documents USING (document_id) WHERE kind = 'text' AND ingest_status = 'ready')"))
+def bm25_filtered(s, d):
+    ready = docs_of(s, d).filter("ingest_status = 'ready'").select("document_id")
+    return _bm25(s, d, chunks_of(s, d).filter("kind = 'text'").join(ready, "document_id", "left_semi"))
+
+
+@query()
+def bm25_porter(s, d):
+    return _bm25(s, d, stem=True)
+
+
+@query()
+def fts_snippets(s, d):
+    """Snippets of each question's ten best chunks."""
+    best = _bm25(s, d).join(chunks_of(s, d).select("id", "text"), "id").join(table(s, d, "questions").select("question_id", fulltext.tokens(F.col("question")).alias("terms")), "question_id")
+    cut = F.udf(lambda t, q: fulltext.snippet(t, set(q)), "string")
+    return best.select("question_id", "id", cut("text", "terms").alias("snippet"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------
+
+_V = "v AS (SELECT chunk_rowid AS id, min(document_id) AS document_id, min(embedding)::DOUBLE[] AS e FROM vec_chunks WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"
+_KNN = "WITH {v}, n AS (SELECT q.id AS question_id, v.id, list_distance(q.e, v.e) AS d FROM v q JOIN v ON {on} WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 9), id) AS rank FROM n) SELECT question_id, id, round(d, 6) AS distance, rank FROM r"
+
+
+def _query_vectors(e):
+    return e.filter("id % 100 = 0").withColumnRenamed("id", "question_id")
+
+
+def _shown(df):
+    return df.select("question_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN.format(v=_V, on="true") + " WHERE rank <= 10")
+def knn_l2_topk(s, d):
+    e = embeddings_of(s, d)
+    return _shown(vectors.knn(_query_vectors(e), e, 10))
+
+
+@query(_KNN.format(v=_V, on="q.document_id = v.document_id") + " WHERE rank <= 10")
+def knn_partitioned(s, d):
+    e = embeddings_of(s, d)
+    return _shown(vectors.knn(_query_vectors(e), e, 10, within="document_id"))
+
+
+@query(_KNN.format(v=_V, on="true") + " WHERE rank <= 50 AND id IN (SELECT id FROM document_chunks WHERE kind = 'text')")
+def knn_postfilter_rank(s, d):
+    """Ranks among all vectors, then only text chunks: the ranks keep their gaps."""
+    e = embeddings_of(s, d)
+    return _shown(vectors.knn(_query_vectors(e), e, 50).join(chunks_of(s, d).filter("kind = 'text'").select("id"), "id", "left_semi"))
+
+
+_STUB = """w AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {of}) z GROUP BY 1, 2),
+h AS (SELECT w, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295) % 384)::INT AS bucket FROM (SELECT DISTINCT w FROM w) y),
+b AS (SELECT {key}, bucket, sum(n)::BIGINT AS n FROM w JOIN h USING (w) GROUP BY 1, 2)"""
+
+
+@query("WITH " + _STUB.format(key="id", text="text", of="document_chunks") + " SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS weight FROM b")
+def stub_embedding(s, d):
+    return vectors.stub_buckets(chunks_of(s, d), "id", "text").select("id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+# --- fusion and search -----------------------------------------------------------------------------------------
+
+_LEGS = """l AS (SELECT question_id, chunk_rowid AS id, leg, score, row_number() OVER (PARTITION BY question_id, chunk_rowid, leg ORDER BY logged_at DESC NULLS LAST, hit_id DESC, score DESC) AS nth FROM hits WHERE leg IN ('lexical', 'semantic') AND score IS NOT NULL AND NOT isnan(score)),
+k AS (SELECT question_id, id, leg, row_number() OVER (PARTITION BY question_id, leg ORDER BY score, id) AS rank FROM l WHERE nth = 1)"""
+
+
+@query(f"""WITH {_LEGS}, f AS (SELECT question_id, id, sum(CASE leg WHEN 'lexical' THEN 1.0 ELSE 1.5 END::DOUBLE / (2 + rank)) AS score FROM k GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, id) AS rank FROM f) SELECT question_id, id, round(score, 9) AS score, rank FROM r WHERE rank <= 10""")
+def hybrid_rrf(s, d):
+    top = hybrid.fused_top(evaluation.leg_ranks(table(s, d, "hits")), 10)
+    return top.select("question_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _question_vectors(s, d):
+    q = table(s, d, "questions").select("question_id", "question")
+    return q.join(vectors.stub_embed(q, "question_id", "question"), "question_id")
+
+
+def _chunk_vectors(s, d):
+    return vectors.stub_embed(chunks_of(s, d), "id", "text")
+
+
+def _search(s, d, **how):
+    hits = hybrid.hybrid_search(chunks_of(s, d), docs_of(s, d), _chunk_vectors(s, d), _question_vectors(s, d), **how)
+    return hits.select("question_id", "rank", "id", F.round("score", 9).alias("score"), "round")
+
+
+@query()
+def hybrid_search(s, d):
+    """Every question against every chunk, both legs, ten hits each."""
+    return _search(s, d)
+
+
+@query()
+def hybrid_filtered(s, d):
+    """Only tables: the semantic leg is filtered after it ranks and escalates until it has ten."""
+    return _search(s, d, filters=hybrid.Filters(kind="table"))
+
+
+@query()
+def hybrid_pages(s, d):
+    return _search(s, d, filters=hybrid.Filters(pages=(1, 2)), k=5)
+
+
+@query()
+def semantic_search(s, d):
+    return _search(s, d, mode="semantic")
+
+
+@query()
+def lexical_search(s, d):
+    return _search(s, d, mode="lexical")
+
+
+@query()
+def semantic_snippets(s, d):
+    best = _search(s, d, k=3).join(chunks_of(s, d).select("id", "text"), "id").join(table(s, d, "questions").select("question_id", "question"), "question_id")
+    cut = F.udf(lambda t, q: hybrid.semantic_snippet(t or "", q), "string")
+    return best.select("question_id", "id", cut("text", "question").alias("snippet"))
+
+
+@query("""SELECT c.id FROM document_chunks c WHERE len(section_path) >= 1 AND (lower(section_path[1]) LIKE 'review%') AND NOT regexp_matches(substr(lower(section_path[1]), 7, 1), '[\\p{L}\\p{N}]')""")
+def section_prefix(s, d):
+    return chunks_of(s, d).filter(hybrid.section_matches(F.col("section_path"), F.lit(" Review "))).select("id")
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------
+
+_NORM = "trim(regexp_replace(lower({c}), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+_TRUTH = f"""t AS (SELECT DISTINCT question_id, c.id FROM questions q JOIN documents d ON d.source_path = q.source_path AND d.ingest_status = 'ready' JOIN document_chunks c USING (document_id)
+  WHERE {_NORM.format(c='q.anchor')} <> '' AND contains({_NORM.format(c='c.text')}, {_NORM.format(c='q.anchor')}))"""
+_BEST = "rs AS (SELECT question_id, qtype FROM questions WHERE question_id IN (SELECT question_id FROM t))"
+_MET = "count(*) AS questions, round(avg(coalesce((best <= 1)::INT, 0)), 9) AS recall_1, round(avg(coalesce((best <= 3)::INT, 0)), 9) AS recall_3, round(avg(coalesce((best <= 5)::INT, 0)), 9) AS recall_5, round(avg(coalesce(1.0::DOUBLE / best, 0)), 9) AS mrr"
+_MODES = f"""{_LEGS}, {_TRUTH}, {_BEST}, fu AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 12) DESC, id) AS rank FROM (SELECT question_id, id, sum(CASE leg WHEN 'lexical' THEN 1.0 ELSE 1.5 END::DOUBLE / (2 + rank)) AS s FROM k GROUP BY 1, 2) z),
+m AS (SELECT question_id, id, leg AS mode, rank FROM k WHERE rank <= 10 UNION ALL SELECT question_id, id, 'hybrid', rank FROM fu WHERE rank <= 10),
+b AS (SELECT rs.question_id, qtype, x.mode, (SELECT min(rank) FROM m JOIN t ON t.question_id = m.question_id AND t.id = m.id WHERE m.question_id = rs.question_id AND m.mode = x.mode) AS best FROM rs, (SELECT DISTINCT mode FROM m) x)"""
+
+
+def _truth(s, d):
+    return evaluation.ground_truth(table(s, d, "questions"), docs_of(s, d), chunks_of(s, d))
+
+
+@query(f"WITH {_TRUTH} SELECT question_id, id FROM t")
+def ground_truth(s, d):
+    return _truth(s, d)
+
+
+@query(f"""WITH {_TRUTH} SELECT question_id, CASE WHEN anchor IS NULL THEN 'no anchor' WHEN source_path IS NULL OR source_path NOT IN (SELECT source_path FROM documents WHERE ingest_status = 'ready' AND source_path IS NOT NULL) THEN 'no ready document at the path' ELSE 'anchor not found' END AS reason FROM questions WHERE question_id NOT IN (SELECT question_id FROM t)""")
+def unresolvable(s, d):
+    return evaluation.unresolvable(table(s, d, "questions"), docs_of(s, d), _truth(s, d))
+
+
+def _modes(s, d):
+    return evaluation.first_ranks(evaluation.modes(evaluation.leg_ranks(table(s, d, "hits"))), _truth(s, d), table(s, d, "questions"), ("mode",))
+
+
+@query(f"WITH {_MODES} SELECT mode, {_MET} FROM b GROUP BY mode")
+def recall_mrr(s, d):
+    return evaluation.metrics(_modes(s, d), ("mode",))
+
+
+@query(f"WITH {_MODES} SELECT qtype, round(avg(CASE WHEN mode = 'hybrid' THEN coalesce((best <= 3)::INT, 0) END), 9) AS hybrid, round(avg(CASE WHEN mode = 'lexical' THEN coalesce((best <= 3)::INT, 0) END), 9) AS lexical, round(avg(CASE WHEN mode = 'semantic' THEN coalesce((best <= 3)::INT, 0) END), 9) AS semantic FROM b GROUP BY qtype")
+def recall_by_type(s, d):
+    hit = F.round(F.avg(F.coalesce((F.col("best") <= 3).cast("double"), F.lit(0.0))), 9)
+    return _modes(s, d).groupBy("qtype").pivot("mode", ["hybrid", "lexical", "semantic"]).agg(hit)
+
+
+@query(f"""WITH {_LEGS}, {_TRUTH}, {_BEST}, g AS (SELECT a.a::DOUBLE AS fusion_k, w.x::DOUBLE AS w_lexical, w.y::DOUBLE AS w_semantic FROM (VALUES (0), (2), (5), (10), (20), (60)) a(a), (VALUES (1.0, 1.0), (1.0, 1.5), (1.0, 2.0), (0.5, 1.0)) w(x, y)),
+fu AS (SELECT fusion_k, w_lexical, w_semantic, question_id, id, sum(CASE leg WHEN 'lexical' THEN w_lexical ELSE w_semantic END / (fusion_k + rank)) AS s FROM k, g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fusion_k, w_lexical, w_semantic, question_id ORDER BY round(s, 12) DESC, id) AS rank FROM fu),
+x AS (SELECT fusion_k, w_lexical, w_semantic, r.question_id, min(rank) AS best FROM r JOIN t USING (question_id, id) WHERE rank <= 10 GROUP BY ALL),
+b AS (SELECT g.*, rs.question_id, best FROM rs CROSS JOIN g LEFT JOIN x ON x.question_id = rs.question_id AND x.fusion_k = g.fusion_k AND x.w_lexical = g.w_lexical AND x.w_semantic = g.w_semantic)
+SELECT fusion_k, w_lexical, w_semantic, {_MET} FROM b GROUP BY 1, 2, 3""")
+def rrf_sweep(s, d):
+    by = ("fusion_k", "w_lexical", "w_semantic")
+    return evaluation.metrics(evaluation.first_ranks(evaluation.sweep(evaluation.leg_ranks(table(s, d, "hits"))), _truth(s, d), table(s, d, "questions"), by), by)
+
+
+@query(f"""WITH {_MODES}, v AS (SELECT mode, avg(coalesce((best <= 1)::INT, 0)) AS a, avg(coalesce((best <= 3)::INT, 0)) AS c FROM b GROUP BY 1)
+SELECT round(h.a - s.a, 9) AS delta_1, round(h.c - s.c, 9) AS delta_3, h.a >= s.a AND h.c >= s.c AS hybrid_holds FROM v h, v s WHERE h.mode = 'hybrid' AND s.mode = 'semantic'""")
+def hybrid_verdict(s, d):
+    m = evaluation.metrics(_modes(s, d), ("mode",))
+    h, x = m.filter("mode = 'hybrid'").alias("h"), m.filter("mode = 'semantic'").alias("x")
+    return h.crossJoin(x).select(F.round(F.col("h.recall_1") - F.col("x.recall_1"), 9).alias("delta_1"), F.round(F.col("h.recall_3") - F.col("x.recall_3"), 9).alias("delta_3"), ((F.col("h.recall_1") >= F.col("x.recall_1")) & (F.col("h.recall_3") >= F.col("x.recall_3"))).alias("hybrid_holds"))
+
+
+@query("SELECT id, document_id, nth FROM (SELECT id, document_id, row_number() OVER w AS nth, count(*) OVER (PARTITION BY document_id) AS n FROM document_chunks WHERE len(text) >= 200 WINDOW w AS (PARTITION BY document_id ORDER BY seq)) z WHERE (nth - 1) % greatest(1, n // 3) = 0")
+def eval_sample(s, d):
+    """An even stride of long chunks of every document."""
+    from pyspark.sql.window import Window
+
+    long = chunks_of(s, d).filter(F.length("text") >= 200)
+    w = Window.partitionBy("document_id")
+    rows = long.withColumn("nth", F.row_number().over(w.orderBy("seq"))).withColumn("n", F.count("*").over(w))
+    return rows.filter((F.col("nth") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / 3)) == 0).select("id", "document_id", F.col("nth").cast("long").alias("nth"))
+
+
+# --- lookups, windows, outlines --------------------------------------------------------------------------------
+
+@query("""SELECT a.id AS anchor_id, c.id, c.seq, a.seq > 0 AND (SELECT min(seq) FROM document_chunks x WHERE x.document_id = a.document_id AND x.seq BETWEEN a.seq - 1 AND a.seq + 1) > 0 AS has_more_before,
+ EXISTS (SELECT 1 FROM document_chunks x WHERE x.document_id = a.document_id AND x.seq = a.seq + 2) AS has_more_after
+ FROM document_chunks a JOIN document_chunks c ON c.document_id = a.document_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1 WHERE a.id % 100 = 0""")
+def context_window(s, d):
+    c = chunks_of(s, d)
+    return chunker.context(c, c.filter("id % 100 = 0")).drop("text")
+
+
+@query()
+def context_capped(s, d):
+    """Windows of five chunks either side that hold at most 2,000 units."""
+    c = chunks_of(s, d)
+    return chunker.context(c, c.filter("id % 100 = 0"), 5, 5, 2000).drop("text")
+
+
+@query("""WITH x AS (SELECT document_id, seq, locator_value, coalesce(section_path, []) AS path, coalesce(lag(section_path) OVER (PARTITION BY document_id ORDER BY seq), []) AS before FROM document_chunks),
+e AS (SELECT *, unnest(range(1, least(len(path), 6) + 1)) AS level FROM x), f AS (SELECT *, (path[1:level] <> before[1:level])::INT AS new FROM e),
+g AS (SELECT *, sum(new) OVER (PARTITION BY document_id, level ORDER BY seq) AS node FROM f)
+SELECT document_id, level::INT AS level, arg_min(path[level], seq) AS title, min(seq) AS seq_start, max(seq) AS seq_end, arg_min(locator_value, seq) AS locator FROM g GROUP BY document_id, level, node""")
+def outline_nodes(s, d):
+    return chunker.outline(chunks_of(s, d))
+
+
+@query("""WITH x AS (SELECT document_id, seq, coalesce(section_path, []) AS path, coalesce(lag(section_path) OVER (PARTITION BY document_id ORDER BY seq), []) AS before FROM document_chunks)
+SELECT document_id, sum(CASE WHEN len(path) > 0 AND path[1:1] <> before[1:1] THEN 1 ELSE 0 END)::BIGINT AS nodes FROM x GROUP BY 1 HAVING nodes > 0""")
+def outline_pruned(s, d):
+    return chunker.outline(chunks_of(s, d), 1).groupBy("document_id").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT document_id, id, seq FROM document_chunks WHERE seq BETWEEN 2 AND 4")
+def seq_range(s, d):
+    return chunks_of(s, d).filter(F.col("seq").between(2, 4)).select("document_id", "id", "seq")
+
+
+@query("SELECT c.id, c.kind, c.page_number, d.title, d.source_path FROM document_chunks c JOIN documents d USING (document_id) WHERE d.ingest_status = 'ready' AND c.kind = 'table'")
+def hydrate(s, d):
+    docs = docs_of(s, d).filter("ingest_status = 'ready'").select("document_id", "title", "source_path")
+    return chunks_of(s, d).filter("kind = 'table'").join(docs, "document_id").select("id", "kind", "page_number", "title", "source_path")
+
+
+@query("SELECT id FROM document_chunks WHERE page_number BETWEEN 2 AND 3")
+def page_range(s, d):
+    return chunks_of(s, d).filter(F.col("page_number").between(2, 3)).select("id")
+
+
+@query("SELECT document_id, title, ingest_status, row_number() OVER (ORDER BY created_at DESC, document_id) AS place FROM documents")
+def list_documents(s, d):
+    from quire.plans.prefix import prefix_sums
+
+    rows = docs_of(s, d).select("document_id", "title", "ingest_status", (-F.unix_micros("created_at")).alias("age"), F.lit(1).alias("one"), F.lit(0).alias("g"))
+    return prefix_sums(rows, ["g"], ["age", "document_id"], "one", "place").select("document_id", "title", "ingest_status", "place")
+
+
+@query("SELECT (SELECT count(*) FROM document_chunks) AS chunks, (SELECT count(*) FROM document_chunks WHERE text IS NOT NULL) AS indexed, (SELECT count(DISTINCT chunk_rowid) FROM vec_chunks WHERE chunk_rowid IS NOT NULL) AS vectors")
+def index_counts(s, d):
+    c = chunks_of(s, d).agg(F.count("*").alias("chunks"), F.count("text").alias("indexed"))
+    return c.crossJoin(table(s, d, "vec_chunks").agg(F.countDistinct("chunk_rowid").alias("vectors")))
+
+
+@query("SELECT DISTINCT embedding_model FROM documents")
+def distinct_models(s, d):
+    return docs_of(s, d).select("embedding_model").distinct()
+
+
+@query("SELECT document_id, count(DISTINCT locator_value) AS locators, max(locator_ordinal) AS last FROM document_chunks GROUP BY 1")
+def locator_counts(s, d):
+    return chunks_of(s, d).groupBy("document_id").agg(F.countDistinct("locator_value").alias("locators"), F.max("locator_ordinal").alias("last"))
+
+
+# --- routing ---------------------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, CASE WHEN text LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' WHEN regexp_matches(lower(ltrim(text)), '^(<!doctype html|<html)') OR regexp_matches(lower(source_path), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(source_path), '\\.(md|markdown)$') OR text LIKE '---' || chr(10) || '%' THEN 'md' ELSE 'txt' END AS format FROM documents WHERE text IS NOT NULL""")
+def sniff_format(s, d):
+    rows = docs_of(s, d).filter("text is not null").withColumn("content", F.encode("text", "UTF-8"))
+    return rows.select("doc_id", route.sniff(F.col("content"), F.coalesce("source_path", F.lit(""))).alias("format"))
+
+
+@query("""SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?i)/(?:g|uni|c|cid|i)\\d+'), lambda x: len(x))), 0) / greatest(len(text), 1) <= 0.1 AND len(regexp_replace(text, '[^\\p{L}\\p{N}\\p{P}\\p{S}\\s]', '', 'g')) / greatest(len(text), 1) >= 0.6 AND len(regexp_extract_all(text, '\\x{FFFD}')) / greatest(len(text), 1) <= 0.02 AS usable FROM documents WHERE text IS NOT NULL""")
+def usable_text_layer(s, d):
+    return docs_of(s, d).filter("text is not null").select("doc_id", route.usable_text_layer(F.col("text")).alias("usable"))
+
+
+@query()
+def usable_title(s, d):
+    return docs_of(s, d).select("doc_id", route.usable_title(F.col("title")).alias("title"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(title), '') IS NOT NULL, false) AS own FROM documents")
+def titled(s, d):
+    return docs_of(s, d).select("doc_id", (route.chosen_title(F.lit(None).cast("string"), F.col("title"), F.lit("x/ ")) != " ").alias("own"))
+
+
+@query("""SELECT id, count(*) AS lines FROM (SELECT id, trim(unnest(string_split(text, chr(10)))) AS l FROM document_chunks WHERE page_number IS NOT NULL) z WHERE regexp_full_match(l, '[0-9]{1,4}|(?i:page) [0-9]{1,4}') OR (l <> '' AND l <> 'I' AND (regexp_full_match(l, 'm{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})') OR regexp_full_match(l, 'M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})'))) GROUP BY 1""")
+def page_number_lines(s, d):
+    lines = chunks_of(s, d).filter("page_number is not null").select("id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.filter(route.page_number_line(F.col("l"))).groupBy("id").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT doc_id, page FROM (SELECT doc_id, unnest(list_distinct(list_append(list_transform(range(0, greatest(least(8, greatest(1, least(locator_count, greatest(1, ceil(locator_count / 40.0)::INT)))), least(locator_count, 3))), lambda i: (floor(i * locator_count / greatest(least(8, greatest(1, least(locator_count, greatest(1, ceil(locator_count / 40.0)::INT)))), least(locator_count, 3))) + 1)::INT), locator_count))) AS page FROM documents WHERE locator_count >= 1) z""")
+def sample_pages(s, d):
+    return docs_of(s, d).filter("locator_count >= 1").select("doc_id", F.explode(route.sample_pages(F.col("locator_count"))).alias("page"))
+
+
+@query()
+def probe_documents(s, d):
+    """Whether page documents need recognition, from all their pages."""
+    pages = chunks_of(s, d).filter("page_number is not null").select("document_id", "text", F.lit(False).alias("has_image"))
+    return route.probe(pages)
+
+
+# --- parsing and chunking --------------------------------------------------------------------------------------
+
+def _blocks(s, d, format_):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(i, n, x.kind, x.level, x.locator, x.path, x.text) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, x in enumerate(markup.parse_text(format_, "", t))]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "block", "kind", "level", "locator", "path", "text"])
+
+    docs = docs_of(s, d).filter((F.col("format") == format_) & F.col("text").isNotNull()).select("doc_id", "text")
+    return docs.mapInArrow(run, "doc_id long, block int, kind string, level int, locator string, path array<string>, text string")
+
+
+@query()
+def md_blocks(s, d):
+    return _blocks(s, d, "md")
+
+
+@query()
+def txt_blocks(s, d):
+    return _blocks(s, d, "txt")
+
+
+@query()
+def rechunk(s, d):
+    """Every document parsed and chunked anew."""
+    return chunker.chunk_documents(docs_of(s, d), markup.parse_text)
+
+
+# --- ingest ----------------------------------------------------------------------------------------------------
+
+@query("SELECT document_id, CASE WHEN sha256 IS NULL THEN 'MISSING' WHEN lower(sha256) = sha256(text) THEN 'OK' ELSE 'ALTERED' END AS state FROM documents WHERE text IS NOT NULL")
+def sha256_identity(s, d):
+    got = F.sha2("text", 256)
+    return docs_of(s, d).filter("text is not null").select("document_id", F.when(F.col("sha256").isNull(), "MISSING").when(F.lower("sha256") == got, "OK").otherwise("ALTERED").alias("state"))
+
+
+@query("SELECT d.document_id AS file, CASE WHEN lower(d.sha256) IS NOT DISTINCT FROM sha256(text) THEN 'OK' ELSE 'ALTERED' END AS state FROM documents d WHERE ingest_status = 'ready' AND text IS NOT NULL UNION ALL SELECT document_id, 'UNLISTED' FROM documents WHERE ingest_status IS DISTINCT FROM 'ready' AND text IS NOT NULL")
+def manifest_verify(s, d):
+    docs = docs_of(s, d).filter("text is not null")
+    return verify_manifest(docs.filter("ingest_status = 'ready'").select(F.col("document_id").alias("file"), "sha256"), docs.select(F.col("document_id").alias("file"), F.sha2("text", 256).alias("sha256")))
+
+
+@query("SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def dedupe_identical(s, d):
+    return docs_of(s, d).filter("text is not null").groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
+
+
+@query(f"SELECT document_id, ingest_status, updated_at > TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE AS live FROM documents WHERE updated_at IS NOT NULL")
+def lease_state(s, d):
+    rows = docs_of(s, d).filter("updated_at is not null")
+    return rows.select("document_id", "ingest_status", ingest.lease_live(F.col("updated_at"), F.lit(NOW).cast("timestamp")).alias("live"))
+
+
+@query(f"SELECT ingest_status, count(*) AS n FROM (SELECT CASE WHEN ingest_status = 'processing' AND NOT coalesce(updated_at > TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE, false) THEN 'failed' ELSE ingest_status END AS ingest_status FROM documents) z GROUP BY 1")
+def recover_interrupted(s, d):
+    return ingest.recover_interrupted(docs_of(s, d), F.lit(NOW).cast("timestamp")).groupBy("ingest_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.document_id, b.document_id AS stale_id FROM documents a JOIN documents b ON lower(a.source_path) = lower(b.source_path) AND lower(a.sha256) <> lower(b.sha256)")
+def stale_at_path(s, d):
+    docs = docs_of(s, d).filter("source_path is not null and sha256 is not null").select("document_id", F.lower("source_path").alias("p"), F.lower("sha256").alias("h"))
+    return docs.alias("a").join(docs.alias("b"), "p").filter("a.h <> b.h").select(F.col("a.document_id").alias("document_id"), F.col("b.document_id").alias("stale_id"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT sha256, source_path, lower(sha256) AS k, lower(source_path) AS p FROM ingest_log WHERE sha256 IS NOT NULL AND source_path IS NOT NULL),
+dd AS (SELECT *, lower(sha256) AS k, lower(source_path) AS p, ingest_status = 'processing' AND coalesce(updated_at > TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE, false) AS live FROM documents WHERE sha256 IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY updated_at DESC NULLS LAST, document_id DESC) AS n FROM dd) z WHERE n = 1),
+st AS (SELECT f.k, f.p, bool_or(live) AS blocked, list_sort(list_distinct(list(document_id))) AS stale FROM (SELECT DISTINCT k, p FROM f) f JOIN dd ON dd.p = f.p AND dd.k <> f.k GROUP BY 1, 2),
+x AS (SELECT f.sha256, f.source_path, CASE WHEN o.live THEN 'joined' WHEN st.blocked THEN 'error' WHEN o.ingest_status = 'ready' THEN 'reused' ELSE 'started' END AS outcome, coalesce(st.stale, []) AS stale FROM f LEFT JOIN o ON o.k = f.k LEFT JOIN st ON st.k = f.k AND st.p = f.p)
+SELECT sha256, source_path, outcome, CASE WHEN outcome IN ('reused', 'started') THEN stale ELSE [] END AS supersede FROM x""")
+def claim_outcomes(s, d):
+    files = table(s, d, "ingest_log").filter("sha256 is not null and source_path is not null").select("sha256", "source_path")
+    return ingest.claims(files, docs_of(s, d), F.lit(NOW).cast("timestamp"))
+
+
+@query("SELECT outcome, count(*) AS attempts, count(DISTINCT source_path) AS paths, sum(CASE WHEN error_message IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS failed FROM (SELECT DISTINCT * FROM ingest_log) z GROUP BY 1")
+def ingest_totals(s, d):
+    return table(s, d, "ingest_log").distinct().groupBy("outcome").agg(F.count("*").alias("attempts"), F.countDistinct("source_path").alias("paths"), F.count("error_message").alias("failed"))
+
+
+@query("WITH gone AS (SELECT document_id FROM documents WHERE ingest_status = 'failed') SELECT (SELECT count(*) FROM documents WHERE document_id NOT IN (SELECT document_id FROM gone)) AS documents, (SELECT count(*) FROM document_chunks WHERE document_id NOT IN (SELECT document_id FROM gone)) AS chunks, (SELECT count(*) FROM vec_chunks WHERE document_id NOT IN (SELECT document_id FROM gone)) AS vectors")
+def delete_cascade(s, d):
+    tables = {"documents": docs_of(s, d), "chunks": chunks_of(s, d), "vectors": table(s, d, "vec_chunks").filter("document_id is not null")}
+    left = ingest.without_documents(tables, docs_of(s, d).filter("ingest_status = 'failed'"))
+    out = None
+    for name, df in left.items():
+        n = df.agg(F.count("*").alias(name))
+        out = n if out is None else out.crossJoin(n)
+    return out
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return _QUERIES["hybrid_search"](spark, folder)
