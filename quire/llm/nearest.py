@@ -38,11 +38,52 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (x @ c.T), 0)
 
 
-def _nearest_cells(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    """Indices of the ``probes`` nearest centres, the nearest first."""
-    d = _squared(x, centres)
-    some = np.argpartition(d, min(probes, d.shape[1]) - 1, axis=1)[:, :probes]
-    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, probes: int, reach: float) -> list[np.ndarray]:
+    """Cells each vector is joined with, its own (the nearest centre's) first.
+
+    The ``probes`` nearest, and every cell from whose border with the own cell the vector is at most ``reach`` of
+    its distance to its own centre away.  (A neighbour in another cell lies behind that border.)
+    """
+    out: list[np.ndarray] = []
+    for at in range(0, len(x), 2048):
+        part = x[at : at + 2048]
+        d2 = _squared(part, centres)
+        own = d2.argmin(1)
+        least = d2[np.arange(len(part)), own]
+        i, j = np.nonzero(d2 <= (least * (1 + 2 * reach) ** 2 + 1e-9)[:, None])
+        gap = np.linalg.norm(centres[j] - centres[own[i]], axis=1)
+        ok = d2[i, j] - least[i] <= 2 * reach * np.sqrt(least[i]) * gap + 1e-9
+        take = np.zeros(d2.shape, dtype=bool)
+        take[i[ok], j[ok]] = True
+        some = np.argpartition(d2, min(probes, d2.shape[1]) - 1, axis=1)[:, :probes]
+        np.put_along_axis(take, some, True, 1)
+        take[np.arange(len(part)), own] = False
+        i, j = np.nonzero(take)
+        cuts = np.searchsorted(i, np.arange(1, len(part)))
+        out += [np.concatenate([[o], js]).astype(np.int32) for o, js in zip(own, np.split(j, cuts))]
+    return out
+
+
+def group_cells(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
+    """Block of each cell: one after the other, a block takes the free cells nearest to its first until the next
+    would make it heavier than ``most``; a cell of half that or more is a block by itself."""
+    block = np.full(len(centres), -1, dtype=np.int32)
+    far = _squared(centres, centres.mean(0, keepdims=True))[:, 0]
+    heavy = np.flatnonzero(2 * weight >= most)
+    block[heavy] = np.arange(len(heavy))
+    n = len(heavy)
+    while (free := np.flatnonzero(block < 0)).size:
+        seed = free[far[free].argmax()]
+        order = free[np.argsort(_squared(centres[[seed]], centres[free])[0], kind="stable")]
+        take = max(1, int(np.searchsorted(np.cumsum(weight[order]), most, side="right")))
+        block[order[:take]] = n
+        n += 1
+    return block
+
+
+def _blocks(cells: list[np.ndarray], block: np.ndarray) -> list[np.ndarray]:
+    """Blocks of each vector's cells, each once, its own first."""
+    return [np.array(list(dict.fromkeys(block[c].tolist())), dtype=np.int32) for c in cells]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -59,43 +100,54 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, lost
 
 
-def nearest_in_tile(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def nearest_in_tile(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int, hints: np.ndarray | None = None, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Ids and squared distances of the k nearest base rows of every query (its own id apart), padded with -1, inf.
 
-    int8 products (exact in float32: 127 * 127 * dim < 2^24) give each distance to within the two vectors' rounding
-    losses.  A pair whose lower bound exceeds the k-th least upper bound of its query cannot be among the k; all
-    others are computed again in float64 from the stored floats.  Ties go to the smaller id.
+    The products of int8 codes give each distance to within the two vectors' rounding losses (and the float32
+    rounding of the product).  A pair whose lower bound exceeds the k-th least upper bound of its query, or a
+    ``hints`` bound on its k-th distance, cannot be among the k; all others are computed again in float64 from the
+    stored floats.  Ties go to the smaller id.
     """
     order = np.argsort(base_ids)
-    base, base_ids = base[order], base_ids[order]
-    cb, sb, lost_b = quantise(base)
+    base_ids = base_ids[order]
+    cb, sb, lost_b = quantise(base[order])
     cq, sq, lost_q = quantise(queries)
-    fb = cb.astype(np.float32)
-    nb = (fb * fb).sum(1, dtype=np.float64) * sb.astype(np.float64) ** 2
+    block = 16
+    width = -(-len(base_ids) // block) * block  # blocks of columns; the last is filled up with far ones
+    fb = np.zeros((width, base.shape[1] + 1), dtype=np.float32)
+    fb[: len(base_ids), :-1] = cb
+    nb = (fb[: len(base_ids), :-1] ** 2).sum(1) * sb**2
+    fb[: len(base_ids), :-1] *= (-2 * sb)[:, None]
+    fb[: len(base_ids), -1] = nb
+    fb[len(base_ids) :, -1] = 1e30
     worst = float(lost_b.max())
     out_i = np.full((len(queries), k), -1, dtype=np.int64)
     out_d = np.full((len(queries), k), np.inf)
-    base64 = base.astype(np.float64)
-    take = min(k + 1, len(base))  # one more, as the query itself may be there
+    blocks = width // block
     for at in range(0, len(queries), rows):
-        fq = cq[at : at + rows].astype(np.float32)
-        nq = (fq * fq).sum(1, dtype=np.float64) * sq[at : at + rows].astype(np.float64) ** 2
-        tile = fq @ fb.T
-        tile *= sb[None]
-        tile *= -2 * sq[at : at + rows, None]
-        tile += nb[None].astype(np.float32)  # now: squared distance of the codes, less the query's own square
-        kth = np.partition(tile, take - 1, axis=1)[:, take - 1] if take < len(base) else tile.max(1)
-        margin = 2 * (lost_q[at : at + rows] + worst)
-        limit = (np.sqrt(np.maximum(kth + nq, 0)) + margin) ** 2 - nq + 1e-5
-        qi, bi = np.nonzero(tile <= limit[:, None])
+        fq = np.ones((min(rows, len(queries) - at), base.shape[1] + 1), dtype=np.float32)
+        fq[:, :-1] = cq[at : at + rows]
+        nq = (fq[:, :-1] ** 2).sum(1) * sq[at : at + rows] ** 2
+        fq[:, :-1] *= sq[at : at + rows, None]
+        tile = fq @ fb.T  # squared distance of the codes, less the query's own square
+        if blocks > k + 1:  # the least of k + 1 blocks: at least k + 1 columns (one may be the query itself) are within
+            kth = np.partition(tile.reshape(len(fq), blocks, block).min(2), k, axis=1)[:, k]
+        else:
+            kth = np.full(len(fq), 1e29)
+        margin = lost_q[at : at + rows] + worst
+        reach = np.sqrt(np.maximum(kth.astype(np.float64) + nq, 0)) + margin
+        if hints is not None:
+            reach = np.minimum(reach, hints[at : at + rows])
+        limit = (reach + margin) ** 2 - nq + 1e-5 * (1 + nq)
+        qi, bi = np.nonzero(tile <= np.minimum(limit, 1e28)[:, None].astype(np.float32))
         same = query_ids[at + qi] == base_ids[bi]
         qi, bi = qi[~same], bi[~same]
         if not len(qi):
             continue
         d = np.empty(len(qi))
-        for lo in range(0, len(qi), 20_000):
-            gap = queries[at + qi[lo : lo + 20_000]].astype(np.float64) - base64[bi[lo : lo + 20_000]]
-            d[lo : lo + 20_000] = np.einsum("ij,ij->i", gap, gap)
+        for lo in range(0, len(qi), 8192):
+            gap = queries[at + qi[lo : lo + 8192]].astype(np.float64) - base[order[bi[lo : lo + 8192]]]
+            d[lo : lo + 8192] = np.einsum("ij,ij->i", gap, gap)
         rank = np.lexsort((base_ids[bi], d, qi))
         qi, bi, d = qi[rank], bi[rank], d[rank]
         start = np.searchsorted(qi, np.arange(len(fq)))
@@ -106,11 +158,25 @@ def nearest_in_tile(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray
     return out_i, out_d
 
 
+def kth_within(ids: np.ndarray, x: np.ndarray, k: int, rows: int = 512) -> np.ndarray:
+    """An upper bound on every vector's k-th least distance: that to the other vectors of the same batch."""
+    out = np.full(len(x), np.inf)
+    first = np.unique(ids, return_index=True)[1]
+    if len(first) <= k:
+        return out
+    y = x[first]
+    for at in range(0, len(x), rows):
+        d = np.sqrt(np.partition(_squared(x[at : at + rows], y), k, axis=1)[:, k])
+        out[at : at + rows] = d * (1 + 1e-5) + 2e-3  # float32 rounding of squares near zero
+    return out
+
+
 def _tile(dim: int, k: int):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         own = group.column("own").to_numpy()
         asks = group.column("asks").to_numpy()
+        hints = group.column("hint").to_numpy()
         x = _matrix(group.column("embedding"), dim)
         base = np.flatnonzero(own)
         base = base[np.unique(ids[base], return_index=True)[1]]
@@ -118,7 +184,7 @@ def _tile(dim: int, k: int):
         ask = ask[np.unique(ids[ask], return_index=True)[1]]
         if not len(base) or not len(ask):
             return pa.table({"id": pa.array([], pa.int64()), "heap": pa.array([], pa.list_(pa.struct([("d", pa.float64()), ("n", pa.int64())])))})
-        who, far = nearest_in_tile(x[ask], ids[ask], x[base], ids[base], k)
+        who, far = nearest_in_tile(x[ask], ids[ask], x[base], ids[base], k, hints[ask])
         n = (who >= 0).sum(1)
         flat = who >= 0
         values = pa.StructArray.from_arrays([pa.array(far[flat]), pa.array(who[flat])], ["d", "n"])
@@ -127,15 +193,17 @@ def _tile(dim: int, k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int = 8192, probes: int = 3, sample_rows: int = 16_384) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int = 640, block_rows: int = 8192, probes: int = 2, reach: float = 0.1, most_cells: int = 32_768, sample_rows: int = 16_384) -> DataFrame:
     """The k nearest other vectors (L2) of every usable vector of the table.
 
-    Vectors are laid out in blocks of about ``rows``: cells around centres fitted on at most ``sample_rows``
-    vectors (or 8 a cell, whatever is more), every cell cut into as many blocks as its share of the sample asks for.  Each vector is
-    joined with the blocks of its ``probes`` nearest cells, and the parts' k best are merged into one heap.  Up to
-    ``probes`` cells this is the exact join of all blocks; beyond, what is lost is measured in the tests (recall
-    0.99 on the given data); the cost grows in proportion to the rows.  Equal vectors are kept once, with their
-    k + 1 smallest ids, so copies cost nothing.
+    Vectors are laid out in cells of about ``rows`` around centres fitted on at most ``sample_rows`` vectors (or 8 a
+    cell, whatever is more; at most ``most_cells`` cells, which bounds what is broadcast).  Cells whose centres are
+    near make up blocks of about ``block_rows``, so that a vector is sent once for all its cells of a block; a block
+    of more than 32,768 rows, by its share of the sample, is cut.  Each vector is joined with the blocks of its
+    ``probes`` nearest cells and of every cell whose border is within ``reach`` (see ``_nearest_cells``), and the
+    parts' k best are merged into one heap.  ``reach`` 1 or more makes it the exact
+    join; below, a neighbour behind a farther border is lost (the README has the measured recall).  Equal vectors
+    are kept once, with their k + 1 smallest ids, so copies cost nothing.
 
     Null, short, non-finite and all-zero vectors take no part; a chunk_rowid counts once (of several vectors the
     one with the smallest hash).  Result: id, heap array of (d squared distance, n neighbour id), nearest first,
@@ -155,7 +223,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
         return ok.select("id", F.array().cast("array<struct<d:double,n:bigint>>").alias("heap"))
     drop = extra.select("id")
     reps = ok.join(F.broadcast(drop) if n_extra <= 1_000_000 else drop, "id", "left_anti")
-    cells = max(1, -(-base_rows // rows))
+    cells = max(1, min(most_cells, -(-base_rows // rows)))
     bound = max(sample_rows, 8 * cells)
     part = min(1.0, bound / base_rows)
     picked = reps.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else reps
@@ -165,33 +233,40 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
         ids, x = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         x = x[np.argsort((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))]
         centres = fit_cells(x, cells)
-        near = np.concatenate([_nearest_cells(x[a : a + 4096], centres, probes) for a in range(0, len(x), 4096)])
-        share = np.bincount(near[:, 0], minlength=cells) / len(x)
-        asked = np.bincount(near.ravel(), minlength=cells) / len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(list(centres), pa.list_(pa.float32())), pa.array(share), pa.array(asked)], ["cell", "centre", "share", "asked"])
-
-    model = picked.coalesce(1).mapInArrow(fit, "cell int, centre array<float>, share double, asked double").orderBy("cell").collect()
+        near = _nearest_cells(x, centres, probes, reach)
+        weight = np.bincount([c[0] for c in near], minlength=cells) / len(x) * base_rows
+        block = group_cells(centres, weight, block_rows)
+        near = _blocks(near, block)
+        share = np.bincount([c[0] for c in near], minlength=block.max() + 1) / len(x)
+        asked = np.bincount(np.concatenate(near), minlength=block.max() + 1) / len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(list(centres), pa.list_(pa.float32())), pa.array(block), pa.array(share[block]), pa.array(asked[block])], ["cell", "centre", "block", "share", "asked"])
+
+    model = picked.coalesce(1).mapInArrow(fit, "cell int, centre array<float>, block int, share double, asked double").orderBy("cell").collect()
     centres = np.array([r.centre for r in model], dtype=np.float32)
-    splits = {r.cell: max(1, round(r.share * base_rows / rows)) for r in model}
-    slices = {r.cell: max(1, -(-int(r.asked * base_rows) // (4 * rows))) for r in model}
+    block = np.array([r.block for r in model], dtype=np.int32)
+    splits = {r.block: max(1, -(-int(r.share * base_rows) // 32_768)) for r in model}
+    slices = {r.block: max(1, -(-int(r.asked * base_rows) // 32_768)) for r in model}
 
-    @F.pandas_udf("array<int>")
-    def near(column: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy()).astype(np.float32, copy=False) if len(column) else np.zeros((0, dim), np.float32)
-        return pd.Series(list(_nearest_cells(x, centres, probes))) if len(x) else pd.Series([], dtype=object)
+    @F.pandas_udf("struct<cells:array<int>,hint:double>")
+    def near(ids: pd.Series, column: pd.Series) -> pd.DataFrame:
+        if not len(column):
+            return pd.DataFrame({"cells": [], "hint": []})
+        x = np.stack(column.to_numpy()).astype(np.float32, copy=False)
+        return pd.DataFrame({"cells": _blocks(_nearest_cells(x, centres, probes, reach), block), "hint": kth_within(ids.to_numpy(), x, k)})
 
     layout = spark.createDataFrame([(c, splits[c], slices[c]) for c in splits], "cell int, splits int, slices int")
-    sent = reps.withColumn("cells", near("embedding")).select("id", "embedding", F.posexplode("cells").alias("nth", "cell")).join(F.broadcast(layout), "cell")
+    sent = reps.withColumn("near", near("id", "embedding")).select("id", "embedding", "near.hint", F.posexplode("near.cells").alias("nth", "cell")).join(F.broadcast(layout), "cell")
     split = F.pmod(F.xxhash64("id", F.lit(1)), F.col("splits")).cast("int")
     piece = F.pmod(F.xxhash64("id", F.lit(2)), F.col("slices")).cast("int")
     home = F.when(F.col("nth") == 0, F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(split.alias("split"), s.alias("slice"), F.lit(True).alias("own"), (s == piece).alias("asks"))))
     away = F.filter(F.transform(F.sequence(F.lit(0), F.col("splits") - 1), lambda b: F.struct(b.alias("split"), piece.alias("slice"), F.lit(False).alias("own"), F.lit(True).alias("asks"))), lambda x: (F.col("nth") > 0) | (x["split"] != split))
     sent = sent.withColumn("to", F.explode(F.concat(F.coalesce(home, F.array().cast("array<struct<split:int,slice:int,own:boolean,asks:boolean>>")), away)))
-    sent = sent.select("cell", F.col("to.split").alias("split"), F.col("to.slice").alias("slice"), "id", F.col("to.own").alias("own"), F.col("to.asks").alias("asks"), "embedding")
+    sent = sent.select("cell", F.col("to.split").alias("split"), F.col("to.slice").alias("slice"), "id", F.col("to.own").alias("own"), F.col("to.asks").alias("asks"), "hint", "embedding")
     parts = sent.groupBy("cell", "split", "slice").applyInArrow(_tile(dim, k), "id long, heap array<struct<d:double,n:bigint>>")
     heaps = parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("heap"))), 1, k).alias("heap"))
     if not n_extra:
         return heaps
+    heaps = staged(heaps, "heaps")
     # copies: the first of equal vectors stands for all; every neighbour list gets their smallest ids back
     heads = ranked.filter(F.col("nth") == 1).select(F.col("id").alias("head"), "v")
     few = extra.filter(F.col("nth") <= k + 1).join(heads, "v").groupBy("head").agg(F.sort_array(F.collect_list("id")).alias("more"))
