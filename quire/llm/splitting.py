@@ -44,6 +44,8 @@ def cut(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int,
     total, n_chars = int(w[-1]), len(text)
     if total <= limit:
         return [(0, 0, n_chars)]
+    if limit < 4:
+        raise ValueError("a single character can exceed the limit")
     n = max(2, -(-(total - lap) // (limit - lap)))
     while True:
         pieces, body, start, ok = [], 0, 0, True
