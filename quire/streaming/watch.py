@@ -10,6 +10,9 @@ from quire.plans.ingest import Snapshots, ingest
 from quire.sources.files import MAX_BYTES, decode
 from quire.sources.markup import parse_text
 
+#: What the binary file source gives.
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def as_text_files(files: DataFrame) -> DataFrame:
     """(source_path, format, title, text) of binary Markdown and text files."""
@@ -21,7 +24,7 @@ def as_text_files(files: DataFrame) -> DataFrame:
 
 def watch(index: Snapshots, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Ingest Markdown and text files as they appear; with ``once``, all that are there, then stop."""
-    stream = index.spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{md,markdown,txt}").load(folder).filter(F.col("length") <= MAX_BYTES)
+    stream = index.spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.{md,markdown,txt}").load(folder).filter(F.col("length") <= MAX_BYTES)
 
     def batch(df: DataFrame, epoch: int) -> None:
         files = as_text_files(df)
