@@ -69,7 +69,7 @@ def undo_word(word: str, step: tuple[str, str], alphabet: frozenset[str] | None)
     """The word with every run undone, again and again while the step still applies (text may be garbled twice).
 
     Single-byte steps keep the runs that they leave as they are; multi-byte steps need every run to decode into
-    characters of ``alphabet`` (or of the Japanese script).
+    characters of ``alphabet``.
     """
     multi = step[0] in MULTI
 
@@ -91,7 +91,7 @@ def undo_word(word: str, step: tuple[str, str], alphabet: frozenset[str] | None)
         word = once(word)
         if word is None:
             break
-        if alphabet is None or all(c < "\x80" or c in alphabet or "　" <= c <= "鿿" or "＀" <= c <= "￯" for c in word):
+        if alphabet is None or all(c < "\x80" or c in alphabet for c in word):
             best = word
         if not multi:
             break
@@ -171,8 +171,8 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     single-byte step where the word it gives is more frequent than the word found, or the word has a character
     of whose occurrences at least the share ``sure`` was found in such words.
 
-    A single character is believed by itself only where a single-byte step makes a letter a sign (``weak`` is
-    false); otherwise a record must hold another word of the same step.
+    A single character, or a Cyrillic word that is read as other Cyrillic and known by its characters only, is
+    ``weak``: a record must hold a firm word of the same step (or see ``garbled_records``).
 
     Returns (garbled, words): (word, back, step, weak) and (id, word) of every word with characters beyond ASCII.
     """
@@ -204,7 +204,8 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     steps = _cover(explained, least_runs)
     # words without ASCII letters have no stripped form: try what the Cyrillic steps give against the words there are
     letters = count.select("n", F.explode(F.split("word", "")).alias("c")).groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 3 and c >= ' ' and c != '�'").collect()
-    alphabet = frozenset(r.c for r in letters)
+    wide = filled.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]"), F.lit(0)))).alias("c")).groupBy("c").agg(F.count("*").alias("n")).filter("n >= 3").collect()
+    alphabet = frozenset(r.c for r in (*letters, *wide))
     folded: Counter = Counter()
     for r in letters:
         folded[r.c.lower()] += r.n
@@ -238,35 +239,66 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     by_char = single.filter("m is null").select("word", "n", "step", "back", in_word).join(strong, ["c", "step"]).select("word", "n", "step", "back").distinct().withColumn("m", F.lit(0).cast("long"))
     everything = sure_words.select("word", "back", "step", "m").unionByName(proven.select("word", "back", "step", "m")).unionByName(by_char.select("word", "back", "step", "m"))
     best = everything.groupBy("word").agg(F.max(F.struct("m", (-F.col("step")).alias("s"), "back")).alias("b"))
-    best = best.select("word", F.col("b.back").alias("back"), (-F.col("b.s")).alias("step"))
-    sign = F.col("word").rlike("^\\p{L}$") & ~F.col("back").rlike("\\p{L}")
-    alone = (F.length("word") == 1) & ~sign
-    return best.withColumn("weak", alone), words
+    best = best.select("word", F.col("b.back").alias("back"), (-F.col("b.s")).alias("step"), (F.col("b.m") == 0).alias("unproven"))
+    swapped = [k for k, (true, wrong) in enumerate(steps) if true in CYRILLIC and wrong in CYRILLIC]
+    by_letters = F.col("step").isin(swapped) & F.col("unproven") if swapped else F.lit(False)
+    return best.withColumn("weak", (F.length("word") == 1) | by_letters).drop("unproven"), words
+
+
+_BROKEN = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
+#: What Shift-JIS bytes are when they are read as cp1252: a lead, then leads and trail bytes, of which some are ASCII.
+_PAIRS = re.compile("[" + re.escape("".join(_BYTES["cp1252"])) + "][@-~" + re.escape("".join(_BYTES["cp1252"])) + "]+")
+
+
+def _undo_shift_jis(text: str) -> str:
+    """Stretches that are Shift-JIS read as cp1252 put back, where they decode to Japanese without rest."""
+
+    def back(m: re.Match) -> str:
+        raw = bytes(_BYTES["cp1252"].get(c, ord(c) & 0xFF) for c in m.group())
+        for end in range(len(raw), max(1, len(raw) - 6), -1):
+            try:
+                got = raw[:end].decode("shift_jis")
+            except UnicodeDecodeError:
+                continue
+            if all("　" <= c <= "鿿" or "＀" <= c <= "￯" for c in got):
+                return got + m.group()[end:]
+            return m.group()
+        return m.group()
+
+    return _PAIRS.sub(back, text)
 
 
 def garbled_records(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, restored, lost, n_words): records with garbled text.
 
     ``restored`` is the text with every garbled word put back, ``lost`` tells that characters are gone for good
-    (replacement characters, or control characters that no learned step explains), so it is restored in part at
-    most.  Null and empty texts are no case.  Repeated rows give repeated results.
+    (replacement characters, or control characters that nothing explains), so it is restored in part at most.  In a
+    record without a firm word, letters that stand for signs count only between longer words.  Null and empty texts are no case.  Repeated rows give repeated results.
     """
     garbled, words = garbled_words(chunks, key, text)
     garbled = staged(garbled, "garbled")
     hit = words.join(garbled, "word").groupBy("id").agg(F.collect_list(F.struct("word", "back", "step", "weak")).alias("fix"))  # at most one text's words
     firm = F.transform(F.filter("fix", lambda x: ~x["weak"]), lambda x: x["step"])
-    hit = hit.withColumn("fix", F.filter("fix", lambda x: ~x["weak"] | F.array_contains(firm, x["step"]))).filter(F.size("fix") > 0)
+    sign = lambda x: x["word"].rlike("^\\p{L}$") & ~x["back"].rlike("\\p{L}")
+    hit = hit.withColumn("fix", F.filter("fix", lambda x: ~x["weak"] | F.array_contains(firm, x["step"]) | sign(x))).filter(F.size("fix") > 0)
+    hit = hit.withColumn("fix", F.struct(F.col("fix").alias("words"), (F.size(firm) == 0).alias("signs")))
     filled = chunks.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = filled.join(hit, "id", "left").filter(F.col("fix").isNotNull() | F.col("text").rlike(LOST + "|" + CONTROL))
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes = [], []
-            for t, fix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                back = {f["word"]: f["back"] for f in fix or ()}
-                texts.append(_WORD.sub(lambda m, back=back: back.get(m.group(), m.group()), t) if back else t)
+            keep, texts, sizes = [], [], []
+            for k, (t, fix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                back = {f["word"]: f["back"] for f in fix["words"]} if fix else {}
+                if fix and fix["signs"]:  # single letters for signs: only between longer words, not in spaced-out ones
+                    back = {w: b for w, b in back.items() if re.search(rf"\w\w\W*\s{re.escape(w)}\s\W*\w\w", t)}
+                if not back and not _BROKEN.search(t):
+                    continue
+                keep.append(k)
+                out = _WORD.sub(lambda m, back=back: back.get(m.group(), m.group()), t) if back else t
+                texts.append(_undo_shift_jis(out) if _BROKEN.search(out) else out)
                 sizes.append(len(back))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "restored", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "restored", "n_words"])
 
     out = rows.select("id", "text", "fix").mapInArrow(restore, f"id {chunks.schema[key].dataType.simpleString()}, restored string, n_words int")
     return out.select(F.col("id").alias(key), "restored", F.col("restored").rlike(LOST + "|" + CONTROL).alias("lost"), "n_words")
