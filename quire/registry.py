@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import pieces, text
-from quire.operators import chunker, evaluation, fulltext, hybrid, vectors
+from quire.operators import chunker, evaluation, fulltext, hybrid, lookups, vectors
 from quire.plans import ingest
 from quire.plans.storage import table
 from quire.sources import markup, route
@@ -420,6 +420,18 @@ def locator_counts(s, d):
     return chunks_of(s, d).groupBy("document_id").agg(F.countDistinct("locator_value").alias("locators"), F.max("locator_ordinal").alias("last"))
 
 
+@query()
+def random_tables(s, d):
+    """Eight table chunks in a random order."""
+    return lookups.random_sample(chunks_of(s, d).filter("kind = 'table'"), 8).select("id", "document_id")
+
+
+@query("SELECT c.id, d.title AS document_title, d.source_path FROM document_chunks c JOIN documents d USING (document_id) WHERE d.ingest_status = 'ready' AND c.id IN (SELECT chunk_rowid FROM hits)")
+def hydrate_hits(s, d):
+    ids = table(s, d, "hits").select(F.col("chunk_rowid").alias("id"))
+    return lookups.hydrate(ids, chunks_of(s, d), docs_of(s, d)).select("id", "document_title", "source_path")
+
+
 # --- routing ---------------------------------------------------------------------------------------------------
 
 @query("""SELECT doc_id, CASE WHEN text LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' WHEN regexp_matches(lower(ltrim(text)), '^(<!doctype html|<html)') OR regexp_matches(lower(source_path), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(source_path), '\\.(md|markdown)$') OR text LIKE '---' || chr(10) || '%' THEN 'md' ELSE 'txt' END AS format FROM documents WHERE text IS NOT NULL""")
@@ -555,5 +567,25 @@ def delete_cascade(s, d):
     return out
 
 
+@query("SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, logged_at)) AS start_us, document_id, count(*) AS n, epoch_us(max(logged_at)) AS renewed_us FROM ingest_log GROUP BY 1, 2")
+def stream_renewals(s, d):
+    """Claim renewals per five minutes, by a stream over the whole log that ends when all of it is read."""
+    import uuid
+
+    from quire.plans.storage import shared_folder
+    from quire.streaming.watch import lease_timeouts
+
+    log = table(s, d, "ingest_log")
+    stream = s.readStream.schema(log.schema).parquet(f"{d}/ingest_log.parquet*")
+    out = f"{shared_folder(s)}/quire/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.select(F.unix_micros("window.start").alias("start_us"), "document_id", "n", F.unix_micros("renewed_at").alias("renewed_us")).write.mode("overwrite").parquet(f"{out}/rows")
+
+    q = lease_timeouts(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{out}/rows")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return _QUERIES["hybrid_search"](spark, folder)

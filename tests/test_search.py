@@ -127,3 +127,31 @@ def test_semantic_snippet():
     s = hybrid.semantic_snippet(text, "badger turnip")
     assert "badger ate" in s and s.startswith("…") and s.endswith("…") and len(s) <= 302
     assert hybrid.semantic_snippet("short", "x") == "short"
+
+
+def test_question_sets_and_reports(spark, tmp_path):
+    import json
+
+    def write(questions):
+        p = tmp_path / f"q{len(list(tmp_path.iterdir()))}.json"
+        p.write_text(json.dumps({"corpus": "c", "questions": questions}))
+        return str(p)
+
+    one = {"id": "a", "question": "Where?", "type": "prose", "accept": [{"source_path": "p", "anchor": "x"}]}
+    assert evaluation.load_questions(spark, write([one])).first().accept[0].anchor == "x"
+    for bad in ([one, one], [{**one, "type": "other"}], [{**one, "accept": []}]):
+        with pytest.raises(ValueError):
+            evaluation.load_questions(spark, write(bad))
+    m = evaluation.metrics(spark.createDataFrame([("hybrid", 1)], "mode string, best int"), ("mode",))
+    assert evaluation.report(m)[1].split() == ["hybrid", "1", "1.000", "1.000", "1.000", "1.000"]
+    assert json.loads(evaluation.report(m, True)[0])["mrr"] == 1.0
+
+
+def test_lookups(spark):
+    from quire.operators import lookups
+
+    c = spark.createDataFrame([(n, f"c{n}", "d", n) for n in range(20)], "id long, chunk_id string, document_id string, seq int")
+    assert lookups.chunk_exists(c, "d", 3) and not lookups.chunk_exists(c, "d", 30)
+    assert lookups.by_chunk_id(c, "c4").first().seq == 4
+    a, b = [r.id for r in lookups.random_sample(c, 8).collect()], [r.id for r in lookups.random_sample(c, 8).collect()]
+    assert a == b and len(set(a)) == 8 and a != [r.id for r in lookups.random_sample(c, 8, seed=1).collect()]
