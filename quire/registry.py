@@ -245,6 +245,23 @@ def hybrid_search(s, d):
     return _search(s, d)
 
 
+_WEIGHTS = {side: _STUB.format(key=key, text=text_, of=of).replace("w AS", f"w{side} AS").replace("FROM w ", f"FROM w{side} ").replace("FROM w)", f"FROM w{side})").replace("h AS", f"h{side} AS").replace("JOIN h ", f"JOIN h{side} ").replace("b AS", f"b{side} AS") for side, key, text_, of in (("q", "question_id", "question", "questions"), ("c", "id", "text", "document_chunks"))}
+_SEM = f"""{_WEIGHTS['q']}, {_WEIGHTS['c']}, vq AS (SELECT question_id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY question_id)))::FLOAT::DOUBLE AS w FROM bq), vc AS (SELECT id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS w FROM bc),
+nq AS (SELECT question_id, sum(w * w) AS s FROM vq GROUP BY 1), nc AS (SELECT c.id, coalesce(sum(w * w), 0) AS s FROM document_chunks c LEFT JOIN vc USING (id) GROUP BY 1),
+dots AS (SELECT question_id, id, sum(vq.w * vc.w) AS dot FROM vq JOIN vc USING (bucket) GROUP BY 1, 2),
+sem AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY round(sqrt(greatest(nq.s + nc.s - 2 * coalesce(dot, 0), 0)), 9), id) AS rank FROM nq CROSS JOIN nc LEFT JOIN dots USING (question_id, id))"""
+_READY = "ready AS (SELECT id FROM document_chunks JOIN documents USING (document_id) WHERE ingest_status = 'ready')"
+_FUSED = """f AS (SELECT question_id, id, sum(w / (2 + rank)) AS score FROM legs GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, id) AS rank FROM f WHERE id IN (SELECT id FROM ready))
+SELECT question_id, rank::INT AS rank, id, round(score, 9) AS score, 0 AS round FROM o WHERE rank <= 10"""
+_LEX = _BM25.replace("@where", "id IN (SELECT id FROM ready)").split("\nSELECT question_id, id, round(score, 8)")[0].replace("WITH ", f"WITH {_READY}, ", 1)
+
+
+@query(_LEX + f", {_SEM}, legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w FROM r WHERE rank <= 20 UNION ALL SELECT question_id, id, rank, 1.5::DOUBLE FROM sem WHERE rank <= 20), {_FUSED}")
+def hybrid_unstemmed(s, d):
+    """As hybrid_search, with plain tokens, so that SQL can follow it whole."""
+    return _search(s, d, stem=False)
+
+
 @query()
 def hybrid_filtered(s, d):
     """Only tables: the semantic leg is filtered after it ranks and escalates until it has ten."""
@@ -256,7 +273,7 @@ def hybrid_pages(s, d):
     return _search(s, d, filters=hybrid.Filters(pages=(1, 2)), k=5)
 
 
-@query()
+@query(f"WITH {_READY}, {_SEM}, legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w FROM sem WHERE rank <= 20), {_FUSED}")
 def semantic_search(s, d):
     return _search(s, d, mode="semantic")
 
