@@ -144,7 +144,8 @@ def _undo_all(steps: list[tuple[str, str]], alphabet: frozenset[str], usual: dic
 
 
 def _cover(rows: list, least: int) -> list[tuple[str, str]]:
-    """Steps in the order of how many so far unexplained (garbled, clean) runs they explain, down to ``least``."""
+    """Steps in the order of how many so far unexplained (garbled, clean) runs they explain, ``least`` of them; UTF-8,
+    which decodes strictly or not at all, needs but one."""
     left: dict[tuple[str, str], set] = {}
     for r in rows:
         left.setdefault((r.true, r.wrong), set()).add((r.garbled, r.clean))
@@ -153,8 +154,8 @@ def _cover(rows: list, least: int) -> list[tuple[str, str]]:
         rank = {t: k for k, t in enumerate((*MULTI, *SINGLE))}
         best = max(left, key=lambda s: (len(left[s]), -rank[s[0]], -rank[s[1]]))
         runs = left.pop(best)
-        if len(runs) < least:
-            break
+        if len(runs) < (1 if best[0] == "utf_8" else least):
+            continue
         steps.append(best)
         left = {s: rest for s, r in left.items() if (rest := r - runs)}
     return steps
@@ -165,14 +166,15 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
 
     Twins: words that agree once non-ASCII characters are stripped are joined with the most frequent of them, and
     so are words at the same place of records that agree when stripped whole.  Aligning their characters gives
-    (garbled, clean) runs; the encoding steps that explain at least ``least_runs`` different runs are learned.
+    (garbled, clean) runs; the encoding steps that explain at least ``least_runs`` different runs (UTF-8: one) are
+    learned.
     Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them.
     A learned multi-byte step is believed wherever it decodes a whole run into characters of the collection; a
     single-byte step where the word it gives is more frequent than the word found, or the word has a character
     of whose occurrences at least the share ``sure`` was found in such words.
 
-    A single character, or a Cyrillic word that is read as other Cyrillic and known by its characters only, is
-    ``weak``: a record must hold a firm word of the same step (or see ``garbled_records``).
+    What a single-byte step leaves with one letter at most, and a Cyrillic word that is read as other Cyrillic and
+    known by its characters only, is ``weak``: a record must hold a firm word of the same step (or see ``garbled_records``).
 
     Returns (garbled, words): (word, back, step, weak) and (id, word) of every word with characters beyond ASCII.
     """
@@ -200,7 +202,7 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     by_record = by_record.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("garbled"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("clean"))
     pairs = twins.unionByName(by_record).distinct()
     # one row per (step, run, run): bounded by the characters of the encodings, not by the collection
-    explained = pairs.mapInArrow(_explain, "true string, wrong string, garbled string, clean string, n long").filter("length(garbled) <= 8").groupBy("true", "wrong", "garbled", "clean").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2).collect()
+    explained = pairs.mapInArrow(_explain, "true string, wrong string, garbled string, clean string, n long").filter("length(garbled) <= 8").groupBy("true", "wrong", "garbled", "clean").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) | (F.col("true") == "utf_8")).collect()
     steps = _cover(explained, least_runs)
     # words without ASCII letters have no stripped form: try what the Cyrillic steps give against the words there are
     letters = count.select("n", F.explode(F.split("word", "")).alias("c")).groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 3 and c >= ' ' and c != '�'").collect()
@@ -242,7 +244,9 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     best = best.select("word", F.col("b.back").alias("back"), (-F.col("b.s")).alias("step"), (F.col("b.m") == 0).alias("unproven"))
     swapped = [k for k, (true, wrong) in enumerate(steps) if true in CYRILLIC and wrong in CYRILLIC]
     by_letters = F.col("step").isin(swapped) & F.col("unproven") if swapped else F.lit(False)
-    return best.withColumn("weak", (F.length("word") == 1) | by_letters).drop("unproven"), words
+    single_byte = [k for k in range(len(steps)) if k not in multi]
+    bare_letter = F.col("step").isin(single_byte) & (F.length(F.regexp_replace("back", "\\P{L}", "")) <= 1) if single_byte else F.lit(False)
+    return best.withColumn("weak", bare_letter | by_letters).drop("unproven"), words
 
 
 _BROKEN = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
