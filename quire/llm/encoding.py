@@ -190,7 +190,8 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     # twins by record: texts that agree when stripped whole, word by word, the more frequent word taken as clean
     keyed = filled.withColumn("bare", F.regexp_replace("text", "[^\\x00-\\x7F]+", "")).filter((F.length("bare") >= 20) & (F.length("bare") < F.length("text")))
     keyed = keyed.select("id", F.xxhash64("bare").alias("h"), F.hash("text").alias("t"))
-    first = keyed.groupBy("h").agg(F.min("id").alias("one"), F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi")
+    keyed = keyed.groupBy("h", "t").agg(F.min("id").alias("id"))  # of copies one is enough
+    first = keyed.groupBy("h").agg(F.min("id").alias("one"), F.count("*").alias("n")).filter("n > 1")
     near = staged(keyed.join(first, "h").filter("id != one").select("id", "one"), "twins")
     texts = filled.select("id", F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: w.rlike("[^\\x00-\\x7F]")).alias("ws"))
     wanted = staged(near.select(F.explode(F.array("id", "one")).alias("id")).distinct(), "twinids")
