@@ -46,8 +46,9 @@ def label_code(label: Column) -> Column:
 class Profiles:
     """Language prototypes in a space of ``dim`` dimensions.
 
-    Every letter has a random vector of +-1; a trigram's vector is the product of its letters' vectors, each
-    permuted (rolled) by its place; a text's vector is the sum of its trigrams' vectors.  As the comparison with a
+    Every letter has a random vector of +-1; an n-gram's vector is the product of its letters' vectors, each
+    permuted (rolled) by its place; a text's vector is the sum of its n-grams' vectors.  An n-gram has three letters,
+    one where that is Japanese: samples hold few of the many triples, and the letters themselves tell.  As the comparison with a
     prototype is linear in the trigrams, the products of a trigram with all prototypes are computed once, when it
     is first met, and kept in a two-way hash table of fixed size.
     """
@@ -82,7 +83,7 @@ class Profiles:
     def letter(self, code: int) -> np.ndarray:
         v = self.letters.get(code)
         if v is None:
-            v = self.letters[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
+            v = self.letters[code] = np.ones(self.dim, dtype=np.int8) if code == 0 else np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
         return v
 
     def encode(self, keys: np.ndarray) -> np.ndarray:
@@ -95,12 +96,18 @@ class Profiles:
         return parts[0] * parts[1] * parts[2]
 
     @staticmethod
-    def trigrams(text: str) -> tuple[np.ndarray, int]:
+    def _keys(c: np.ndarray) -> np.ndarray:
+        """Keys of the n-grams that begin at each place but the last two: three letters, one in Japanese script."""
+        japanese = (((c >= 0x3040) & (c <= 0x30FF)) | ((c >= 0x3400) & (c <= 0x9FFF)))[:-2]
+        return (c[:-2] << 42) | np.where(japanese, 0, (c[1:-1] << 21) | c[2:])
+
+    @classmethod
+    def trigrams(cls, text: str) -> tuple[np.ndarray, int]:
         plain = " " + _NOT_LETTERS.sub(" ", text.lower()).strip() + " "
         c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         if len(c) < 3:
             return np.zeros(0, dtype=np.int64), 0
-        return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:], len(c) - 2
+        return cls._keys(c), len(c) - 2
 
     def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u = keys.astype(np.uint64)
@@ -139,7 +146,7 @@ class Profiles:
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + 1_000_000)))
             a, b = int(ends[first - 1]) if first else 0, int(ends[last - 1])
             part = c[a:b]
-            s = self.scores((part[:-2] << 42) | (part[1:-1] << 21) | part[2:])
+            s = self.scores(self._keys(part))
             s = np.concatenate([s, np.zeros((2, s.shape[1]), s.dtype)])
             at = np.concatenate([[0], ends[first : last - 1] - a]).astype(np.int64)
             edge = np.concatenate([at[1:], [b - a]])
@@ -161,9 +168,25 @@ def _sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _states(cos: np.ndarray, n: np.ndarray, switch: float) -> np.ndarray:
-    """Language of every sentence: the best path, where a change of language costs ``switch``."""
-    emit = cos * np.minimum(1.0, n / 24.0)[:, None]
+_MARKED = re.compile(r"\A---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)|^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\Z)", re.S | re.M)
+_CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+_TABULAR = re.compile(r"\s*(?:\||#{1,6}\s)")
+
+
+def _prose(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which pieces are sentences: not front matter, code, table rows, headings or short lines without an end."""
+    marked = [m.span() for m in _MARKED.finditer(text)] if "---" in text[:8] or "```" in text else ()
+    out = np.ones(len(spans), dtype=bool)
+    for k, (a, b) in enumerate(spans):
+        piece = text[a:b]
+        if _TABULAR.match(piece) or (not _CLOSED.search(piece) and piece.count(" ") < 6) or any(a < hi and b > lo for lo, hi in marked):
+            out[k] = False
+    return out
+
+
+def _states(cos: np.ndarray, n: np.ndarray, prose: np.ndarray, switch: float) -> np.ndarray:
+    """Language of every piece: the best path, where a change of language costs ``switch`` and only prose has a say."""
+    emit = cos * (prose * np.minimum(1.0, n / 24.0))[:, None]
     best, back = emit[0].copy(), []
     for e in emit[1:]:
         top = int(best.argmax())
@@ -176,7 +199,7 @@ def _states(cos: np.ndarray, n: np.ndarray, switch: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def _identify(profiles: Profiles, switch: float):
+def _identify(profiles: Profiles, switch: float, weak: float):
     names = profiles.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +210,19 @@ def _identify(profiles: Profiles, switch: float):
             cos, n = profiles.cosines(flat) if flat else (np.zeros((0, len(names))), np.zeros(0))
             top = cos.argmax(1) if len(cos) else np.zeros(0, int)
             rows, at = [], 0
-            for sp in spans:
+            for text, sp in zip(texts, spans):
                 k = len(sp)
                 c, m, t = cos[at : at + k], n[at : at + k], top[at : at + k]
                 at += k
-                real = m >= 8
                 if not k or not (m > 0).any():
                     rows.append((None, 0.0, []))
                     continue
-                state = t if (t == t[0]).all() else _states(c, m, switch)
+                prose = _prose(text, sp) & (m >= 8) & (c[np.arange(k), t] >= weak)
+                if not prose.any():
+                    prose = m > 0
+                real, first = prose, t[prose][0]
+                state = np.full(k, first) if (t[prose] == first).all() else _states(c, m, prose, switch)
+                m = np.where(prose, m, 0)
                 cuts = np.flatnonzero(np.diff(state)) + 1
                 segments, weight = [], {}
                 for a, b in zip([0, *cuts], [*cuts, k]):
@@ -203,7 +230,7 @@ def _identify(profiles: Profiles, switch: float):
                     mean = c[a:b].T @ m[a:b] / max(m[a:b].sum(), 1)
                     rest = np.delete(mean, lang).max() if len(names) > 1 else 0.0
                     sure = float(np.clip((mean[lang] - rest) / max(mean[lang], 1e-6), 0, 1))
-                    weight[lang] = weight.get(lang, 0) + int(m[a:b].sum())
+                    weight[lang] = weight.get(lang, 0) + int(real[a:b].sum()) + int(m[a:b].sum()) * 1e-6
                     segments.append({"start": sp[a][0], "end": sp[b - 1][1], "lang": names[lang], "confidence": round(sure, 4), "sentences": int(real[a:b].sum())})
                 main = max(weight, key=lambda x: (weight[x], -x))
                 sure = sum(s["confidence"] * (s["end"] - s["start"]) for s in segments if s["lang"] == names[main]) / sum(s["end"] - s["start"] for s in segments if s["lang"] == names[main])
@@ -214,15 +241,17 @@ def _identify(profiles: Profiles, switch: float):
     return run
 
 
-def identify_languages(documents: DataFrame, samples: DataFrame, switch: float = 0.10, dim: int = 2048, max_samples: int = 20_000) -> DataFrame:
+def identify_languages(documents: DataFrame, samples: DataFrame, switch: float = 0.10, weak: float = 0.1, dim: int = 2048, max_samples: int = 20_000) -> DataFrame:
     """Language of every document and of every stretch of it.
 
     The prototypes are bundled from labelled ``samples`` (lang, text), at most ``max_samples`` of them (more raise
     an error).  Every sentence is compared with the prototypes by cosine; the languages of a document's sentences
-    are its best path under a cost of ``switch`` for each change.  The stored ``lang`` is not used to decide.
+    are its best path under a cost of ``switch`` for each change.  Front matter, code, table rows, headings and
+    pieces less like any prototype than ``weak`` have no say unless there is nothing else, and count as no sentences.
+    The stored ``lang`` is not used to decide.
 
     Result: doc_id, label (two-letter code of the stored lang, null if it names none), main (language of most
-    letters), confidence (0 to 1), segments (start, end, lang, confidence, sentences).  Null, empty and letterless
+    sentences, then letters), confidence (0 to 1), segments (start, end, lang, confidence, sentences).  Null, empty and letterless
     texts get a null main and no segments.
     """
     rows = samples.filter("lang is not null and text is not null").select("lang", "text").limit(max_samples + 1).collect()
@@ -233,7 +262,7 @@ def identify_languages(documents: DataFrame, samples: DataFrame, switch: float =
     if not rows:
         return docs.select("doc_id", "label", F.lit(None).cast("string").alias("main"), F.lit(0.0).alias("confidence"), F.from_json(F.lit("[]"), schema.split("segments ")[1]).alias("segments"))
     profiles = Profiles(sorted((r.lang, r.text) for r in rows), dim)
-    run = _identify(profiles, switch)
+    run = _identify(profiles, switch, weak)
 
     def with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
