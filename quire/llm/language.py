@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ class Profiles:
     SLOTS = 1 << 19
 
     def __init__(self, samples: list[tuple[str, str]], dim: int = 2048, seed: int = 11) -> None:
-        self.dim, self.seed = dim, seed
+        self.dim, self.seed, self.token = dim, seed, uuid.uuid4().hex
         self.langs = sorted({lang for lang, _ in samples})
         self.letters: dict[int, np.ndarray] = {}
         protos = np.zeros((len(self.langs), dim), dtype=np.float64)
@@ -77,8 +78,7 @@ class Profiles:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.letters = {}
-        self._clear()
+        self.letters, self.keys = {}, None
 
     def letter(self, code: int) -> np.ndarray:
         v = self.letters.get(code)
@@ -115,6 +115,8 @@ class Profiles:
 
     def scores(self, keys: np.ndarray) -> np.ndarray:
         """Product of each trigram's vector with each prototype."""
+        if self.keys is None:
+            self._clear()
         one, two = self._slots(keys)
         slot = np.where(self.keys[one] == keys, one, two)
         bad = self.keys[slot] != keys
@@ -168,6 +170,17 @@ def _sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_LIVE: dict[str, Profiles] = {}
+
+
+def _live(profiles: Profiles) -> Profiles:
+    """The copy of the profiles that this Python worker already has, with what it has computed."""
+    if profiles.token not in _LIVE:
+        _LIVE.clear()
+        _LIVE[profiles.token] = profiles
+    return _LIVE[profiles.token]
+
+
 _MARKED = re.compile(r"\A---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)|^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\Z)", re.S | re.M)
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _TABULAR = re.compile(r"\s*(?:\||#{1,6}\s)")
@@ -203,11 +216,12 @@ def _identify(profiles: Profiles, switch: float, weak: float):
     names = profiles.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = _live(profiles)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             spans = [_sentences(t) for t in texts]
             flat = [t[a:b] for t, sp in zip(texts, spans) for a, b in sp]
-            cos, n = profiles.cosines(flat) if flat else (np.zeros((0, len(names))), np.zeros(0))
+            cos, n = mine.cosines(flat) if flat else (np.zeros((0, len(names))), np.zeros(0))
             top = cos.argmax(1) if len(cos) else np.zeros(0, int)
             rows, at = [], 0
             for text, sp in zip(texts, spans):
