@@ -309,12 +309,12 @@ def within(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_semi")
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, often_most: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, often_most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Records whose sets of w consecutive terms have at least ``threshold`` of their union in common.
 
     Records with equal sets are one class, represented by its smallest key, so copies are never compared.  The
-    order of shingles puts the ``often_most`` most frequent ones last (this bounds what is broadcast; it affects
-    the cost, never the result).
+    order of shingles puts those last that make up at least 1 / ``often_most`` of all (so there are at most that
+    many, which bounds what is broadcast); it affects the cost, never the result.
 
     Returns (members, pairs): members has (id, rep) of every record with a non-empty set; pairs has
     (a, b, similarity) of the representatives of similar classes, a < b.  Null or short texts have no shingles and
@@ -330,7 +330,8 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column
     others = staged(signed.select("id", "a", "b").join(copies, ["a", "b"]).filter("id != rep").select("id", "rep").distinct(), "copies")
     total = signed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
     reps = without(docs, others.select("id"), "id")
-    top = survey.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(often_most).collect()
+    often = survey.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
+    top = often.filter(F.col("n") >= F.lit(total / often_most)).collect()  # shingles of that share: often_most at most
     keys = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
     counts = np.array([r.n for r in top], dtype=np.int64)
     order = np.argsort(keys)
