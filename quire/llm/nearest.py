@@ -213,9 +213,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
     ok = usable(vectors, dim)
     key = F.struct(F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g"))
     narrow = staged(ok.select("id", key.alias("v")).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    ranked = narrow.withColumn("nth", nth)
-    extra = staged(ranked.filter("nth > 1").select("id", "v", "nth"), "copies")
+    heads = narrow.groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("v", "head")
+    extra = staged(narrow.join(heads, "v").filter("id != head").select("id", "head"), "copies")
     total = narrow.count()
     n_extra = extra.count()
     base_rows = total - n_extra
@@ -241,7 +240,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
         asked = np.bincount(np.concatenate(near), minlength=block.max() + 1) / len(x)
         yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(list(centres), pa.list_(pa.float32())), pa.array(block), pa.array(share[block]), pa.array(asked[block])], ["cell", "centre", "block", "share", "asked"])
 
-    model = picked.coalesce(1).mapInArrow(fit, "cell int, centre array<float>, block int, share double, asked double").orderBy("cell").collect()
+    model = picked.repartition(1).mapInArrow(fit, "cell int, centre array<float>, block int, share double, asked double").orderBy("cell").collect()
     centres = np.array([r.centre for r in model], dtype=np.float32)
     block = np.array([r.block for r in model], dtype=np.int32)
     splits = {r.block: max(1, -(-int(r.share * base_rows) // 32_768)) for r in model}
@@ -268,8 +267,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
         return heaps
     heaps = staged(heaps, "heaps")
     # copies: the first of equal vectors stands for all; every neighbour list gets their smallest ids back
-    heads = ranked.filter(F.col("nth") == 1).select(F.col("id").alias("head"), "v")
-    few = extra.filter(F.col("nth") <= k + 1).join(heads, "v").groupBy("head").agg(F.sort_array(F.collect_list("id")).alias("more"))
+    nth = F.row_number().over(Window.partitionBy("head").orderBy("id"))  # limited before the shuffle
+    few = extra.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("head").agg(F.sort_array(F.collect_list("id")).alias("more"))
     few = staged(few, "few")
     listed = heaps.select("id", F.explode("heap").alias("h")).join(few.withColumnRenamed("head", "n"), F.col("h.n") == F.col("n"), "left")
     spread = F.concat(F.array("h"), F.transform(F.coalesce("more", F.array().cast("array<bigint>")), lambda m: F.struct(F.col("h.d").alias("d"), m.alias("n"))))
@@ -278,7 +277,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int =
     zero = F.transform(F.coalesce("more", F.array().cast("array<bigint>")), lambda m: F.struct(F.lit(0.0).alias("d"), m.alias("n")))
     whole = F.array_sort(F.concat(F.coalesce("heap", F.array().cast("array<struct<d:double,n:bigint>>")), zero))
     heads_out = wide.select("id", whole.alias("all"), F.lit(None).cast("long").alias("me"))
-    copies = extra.join(heads, "v").select(F.col("id").alias("me"), F.col("head").alias("id")).join(wide.select("id", whole.alias("all")), "id")
+    copies = extra.select(F.col("id").alias("me"), F.col("head").alias("id")).join(wide.select("id", whole.alias("all")), "id")
     with_head = F.array_sort(F.concat(F.array(F.struct(F.lit(0.0).alias("d"), F.col("id").alias("n"))), F.col("all")))
     copies = copies.select(F.col("me").alias("id"), F.slice(F.filter(with_head, lambda x: x["n"] != F.col("me")), 1, k).alias("heap"))
     return heads_out.select("id", F.slice("all", 1, k).alias("heap")).unionByName(copies)

@@ -171,6 +171,7 @@ m AS (SELECT term, n, records, CASE WHEN records <= 2 THEN 'rare' WHEN records >
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS chunk_rowid_a, greatest(a, b) AS chunk_rowid_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p) z WHERE nth <= 10",
+        "p1_neighbours": _P1 + "SELECT a AS chunk_rowid, nth::INT AS place, b AS neighbour, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p) z WHERE nth <= 10",
         "p6_found": _P6,
         "p3_found": _P3 + "SELECT question_id, chunk_rowid FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_rowid) AS position FROM s) z WHERE position <= 3",
         "p5_found": _P5 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
