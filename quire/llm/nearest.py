@@ -193,7 +193,7 @@ def _tile(dim: int, k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int = 640, block_rows: int = 8192, probes: int = 2, reach: float = 0.1, most_cells: int = 32_768, sample_rows: int = 16_384) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 384, rows: int = 640, block_rows: int = 8192, probes: int = 2, reach: float = 0.1, most_cells: int = 32_768, sample_rows: int = 8_192) -> DataFrame:
     """The k nearest other vectors (L2) of every usable vector of the table.
 
     Vectors are laid out in cells of about ``rows`` around centres fitted on at most ``sample_rows`` vectors (or 8 a
