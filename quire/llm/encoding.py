@@ -161,6 +161,25 @@ def _cover(rows: list, least: int) -> list[tuple[str, str]]:
     return steps
 
 
+def _cover_words(rows: list, tried: list[tuple[str, str]], known: list[tuple[str, str]], least: int) -> list[tuple[str, str]]:
+    """Steps that explain words which neither ``known`` nor steps before them explain, the best first; as in ``_cover``
+    UTF-8 needs but one word.  ``rows`` are (steps, k): k words that just these steps explain."""
+    left = [(set(r.steps), r.k) for r in rows if not any(tried[s] in known for s in r.steps)]
+    out = []
+    while left:
+        gain: Counter = Counter()
+        for steps, k in left:
+            for s in steps:
+                gain[s] += k
+        good = [s for s in gain if gain[s] >= (1 if tried[s][0] == "utf_8" else least)]
+        if not good:
+            break
+        best = max(good, key=lambda s: (gain[s], -s))
+        out.append(tried[best])
+        left = [(steps, k) for steps, k in left if best not in steps]
+    return out
+
+
 def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_runs: int = 2, sure: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Words of the table that a wrong decoding made, with what they were.
 
@@ -168,7 +187,9 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     so are words at the same place of records that agree when stripped whole.  Aligning their characters gives
     (garbled, clean) runs; the encoding steps that explain at least ``least_runs`` different runs (UTF-8: one) are
     learned.
-    Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them.
+    Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them; of the
+    steps that give more frequent words the best is learned, the words it explains are put aside, and so on while a
+    step explains ``least_runs`` other words (UTF-8: one).
     A learned multi-byte step is believed wherever it decodes a whole run into characters of the collection; a
     single-byte step where the word it gives is more frequent than the word found, or the word has a character
     of whose occurrences at least the share ``sure`` was found in such words.
@@ -216,12 +237,10 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     hollow = count.filter((F.length("word") >= 4) & ~F.col("word").rlike("[\\x00-\\x7F]"))
     tried = [(t, w) for t in (*CYRILLIC, "utf_8") for w in SINGLE if t != w]
     guess = hollow.mapInArrow(_undo_all(tried, alphabet, usual), "word string, n long, step int, back string")
-    guess = guess.join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back").filter("m > n").groupBy("step").agg(F.count("*").alias("k")).filter(F.col("k") >= 2 * least_runs).collect()
-    guessed: set[str] = set()
-    for r in sorted(guess, key=lambda r: (-r.k, r.step)):  # of steps that read alike the best explained one is taken
-        if tried[r.step] not in steps and (tried[r.step][1] not in guessed or tried[r.step][0] == "utf_8"):
-            steps.append(tried[r.step])
-            guessed.add(tried[r.step][1])
+    guess = guess.join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back").filter("m > n")
+    # one row per set of steps that explain the same words: bounded by the encodings, not by the collection
+    guess = guess.groupBy("word").agg(F.sort_array(F.collect_set("step")).alias("steps")).groupBy("steps").agg(F.count("*").alias("k")).collect()
+    steps += _cover_words(guess, tried, steps, least_runs)
     for wrong in {w for _, w in steps if w}:
         if ("utf_8", wrong) not in steps and any(w == wrong and t in MULTI for t, w in steps):
             steps.append(("utf_8", wrong))

@@ -53,3 +53,15 @@ def test_finds_and_restores(spark):
 def test_empty_tables(spark):
     for rows in ([], [(1, None)], [(1, "plain")]):
         assert encoding.garbled_records(spark.createDataFrame(rows, "id long, text string")).count() == 0
+
+
+CYRILLIC = "поэтому пожилой рабочий осторожно проверил старый механизм вечером после дождя".split()
+
+
+def test_two_cyrillic_kinds_read_as_one(spark):
+    clean = [(n, " ".join(CYRILLIC)) for n in range(9)]
+    kinds = [("cp1251", "cp1252")] * 4 + [("koi8_r", "cp1252")] * 3 + [("utf_8", "cp1251")] * 2
+    bad = [(100 + n, " ".join(garble(w, k) for w in CYRILLIC)) for n, k in enumerate(kinds)]
+    df = spark.createDataFrame([*clean, *bad], "id long, text string")
+    got = {r.id: r.restored for r in encoding.garbled_records(df).collect()}
+    assert got == {i: " ".join(CYRILLIC) for i, _ in bad}
