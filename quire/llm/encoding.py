@@ -16,6 +16,7 @@ from quire.plans.storage import staged
 
 # The encodings that are taken into account, by Python's names.
 SINGLE = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "iso8859_5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852", "cp866")
+WRONG = (*SINGLE, "latin_1")
 MULTI = ("utf_8", "shift_jis", "euc_jp")
 CYRILLIC = ("cp1251", "koi8_r", "iso8859_5", "mac_cyrillic", "cp866")
 
@@ -25,6 +26,7 @@ _WORD = re.compile("[A-Za-z\u0080-⿿ꀀ-꯿-﻿]+")
 _RUN = re.compile("[^\x00-\x7f]+")
 #: A lost character, or a control character that only a wrong decoding leaves behind.
 LOST = "\\x{FFFD}"
+_C1 = re.compile("[\x80-\x9f]")
 CONTROL = "[\\x{80}-\\x{84}\\x{86}-\\x{9F}]"
 
 
@@ -40,11 +42,16 @@ def _table(codec: str) -> dict[str, int]:
     return out
 
 
-_BYTES = {c: _table(c) for c in SINGLE}
+_BYTES = {c: _table(c) for c in WRONG}
 _CHARS = {c: {b: ch for ch, b in t.items()} for c, t in _BYTES.items()}
 #: A transformation (true, wrong): text was written in ``true`` and read as ``wrong``.
-SINGLE_STEPS = [(t, w) for t, w in product(SINGLE, SINGLE) if t != w]
-MULTI_STEPS = [(t, w) for t, w in product(MULTI, SINGLE)]
+SINGLE_STEPS = [(t, w) for t, w in product(SINGLE, WRONG) if t != w]
+MULTI_STEPS = [(t, w) for t, w in product(MULTI, WRONG)]
+
+
+def applies(text: str, step: tuple[str, str]) -> bool:
+    """Latin-1 reads as cp1252 does but for the control characters, so only those tell of it."""
+    return step[1] != "latin_1" or _C1.search(text) is not None
 
 
 def undo(run: str, step: tuple[str, str]) -> str | None:
@@ -116,6 +123,8 @@ def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for x, y in align(g, c):
                 for step in (*SINGLE_STEPS, *MULTI_STEPS):
+                    if not applies(x, step):
+                        continue
                     back = undo(x, step)
                     if back == y or back and back != x and step[0] in MULTI and undo(back, step) == y:
                         found[(*step, x, y)] += 1
@@ -135,7 +144,7 @@ def _undo_all(steps: list[tuple[str, str]], alphabet: frozenset[str], usual: dic
             out = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, step in enumerate(steps):
-                    back = undo_word(word, step, alphabet)
+                    back = undo_word(word, step, alphabet) if applies(word, step) else None
                     if back is not None and back != word and (step[0] in MULTI or common(back) >= common(word)):
                         out.append((word, n, k, back))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string()))], ["word", "n", "step", "back"])
@@ -151,7 +160,7 @@ def _cover(rows: list, least: int) -> list[tuple[str, str]]:
         left.setdefault((r.true, r.wrong), set()).add((r.garbled, r.clean))
     steps = []
     while left:
-        rank = {t: k for k, t in enumerate((*MULTI, *SINGLE))}
+        rank = {t: k for k, t in enumerate((*MULTI, *WRONG))}
         best = max(left, key=lambda s: (len(left[s]), -rank[s[0]], -rank[s[1]]))
         runs = left.pop(best)
         if len(runs) < (1 if best[0] == "utf_8" else least):
@@ -194,13 +203,14 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     single-byte step where the word it gives is more frequent than the word found, or the word has a character
     of whose occurrences at least the share ``sure`` was found in such words.
 
+    UTF-8 read as Latin-1 needs no proof: the control characters it leaves decode strictly or not at all.
+
     What a single-byte step leaves with one letter at most, and a Cyrillic word that is read as other Cyrillic and
     known by its characters only, is ``weak``: a record must hold a firm word of the same step (or see ``garbled_records``).
 
     Returns (garbled, words): (word, back, step, weak) and (id, word) of every word with characters beyond ASCII.
     """
     filled = chunks.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    spark = chunks.sparkSession
     found = filled.filter(F.col("text").rlike("[^\\x00-\\x7F]")).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
     words = staged(found.filter(F.col("word").rlike("[^\\x00-\\x7F]")), "words")
     count = staged(words.groupBy("word").agg(F.count("*").alias("n")), "wordcounts")
@@ -235,7 +245,7 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
         folded[r.c.lower()] += r.n
     usual = {c: log1p(n) for c, n in folded.items()}
     hollow = count.filter((F.length("word") >= 4) & ~F.col("word").rlike("[\\x00-\\x7F]"))
-    tried = [(t, w) for t in (*CYRILLIC, "utf_8") for w in SINGLE if t != w]
+    tried = [(t, w) for t in (*CYRILLIC, "utf_8") for w in WRONG if t != w]
     guess = hollow.mapInArrow(_undo_all(tried, alphabet, usual), "word string, n long, step int, back string")
     guess = guess.join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back").filter("m > n")
     # one row per set of steps that explain the same words: bounded by the encodings, not by the collection
@@ -244,9 +254,8 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     for wrong in {w for _, w in steps if w}:
         if ("utf_8", wrong) not in steps and any(w == wrong and t in MULTI for t, w in steps):
             steps.append(("utf_8", wrong))
-    schema = "word string, back string, step int, weak boolean"
-    if not steps:
-        return spark.createDataFrame([], schema), words
+    if ("utf_8", "latin_1") not in steps:  # control characters that decode strictly are proof enough
+        steps.append(("utf_8", "latin_1"))
     cand = staged(count.mapInArrow(_undo_all(steps, alphabet, usual), "word string, n long, step int, back string"), "undone")
     multi = [k for k, s in enumerate(steps) if s[0] in MULTI]
     is_multi = F.col("step").isin(multi) if multi else F.lit(False)

@@ -65,3 +65,11 @@ def test_two_cyrillic_kinds_read_as_one(spark):
     df = spark.createDataFrame([*clean, *bad], "id long, text string")
     got = {r.id: r.restored for r in encoding.garbled_records(df).collect()}
     assert got == {i: " ".join(CYRILLIC) for i, _ in bad}
+
+
+def test_utf_8_read_as_latin_1(spark):
+    bad = {1: "Zgłosił Übung straße", 2: "10€ and so on…"}
+    clean = [(10 + n, "Zgłosił coś, Übung auf der straße … 5€ " + str(n)) for n in range(4)]
+    df = spark.createDataFrame([*clean, *((i, t.encode().decode("latin_1")) for i, t in bad.items())], "id long, text string")
+    got = {r.id: (r.restored, r.lost) for r in encoding.garbled_records(df).collect()}
+    assert got == {i: (t, False) for i, t in bad.items()}
