@@ -44,6 +44,9 @@ def _table(codec: str) -> dict[str, int]:
 
 _BYTES = {c: _table(c) for c in WRONG}
 _CHARS = {c: {b: ch for ch, b in t.items()} for c, t in _BYTES.items()}
+_TRAIL = "[" + "".join(f"\\x{{{ord(_CHARS['cp1252'][b]):X}}}" for b in range(0x80, 0xC0)) + "]"
+#: Four bytes of UTF-8 read as cp1252.
+_ASTRAL = "\\x{F0}[" + "".join(f"\\x{{{ord(_CHARS['cp1252'][b]):X}}}" for b in range(0x90, 0xC0)) + "]" + _TRAIL + "{2}"
 #: A transformation (true, wrong): text was written in ``true`` and read as ``wrong``.
 SINGLE_STEPS = [(t, w) for t, w in product(SINGLE, WRONG) if t != w]
 MULTI_STEPS = [(t, w) for t, w in product(MULTI, WRONG)]
@@ -72,13 +75,25 @@ def undo(run: str, step: tuple[str, str]) -> str | None:
     return None if any(c < "\xa0" for c in back) else back
 
 
+def strict(run: str, back: str, step: tuple[str, str]) -> str:
+    """The characters of ``back`` that the run does not prove by itself.
+
+    Three or four bytes that decode as UTF-8 prove their character, but for runs of letters only: Cyrillic and Central
+    European words can be such bytes in some codecs ("сад" in cp866, "ášť" in cp1250).
+    """
+    if step[0] != "utf_8" or step[1] not in ("cp1252", "latin_1") and all(c.isalpha() for c in run):
+        return back
+    return "".join(c for c in back if c < "\u0800")
+
+
 def undo_word(word: str, step: tuple[str, str], alphabet: frozenset[str] | None) -> str | None:
     """The word with every run undone, again and again while the step still applies (text may be garbled twice).
 
     Single-byte steps keep the runs that they leave as they are; multi-byte steps need every run to decode into
-    characters of ``alphabet``.
+    characters of ``alphabet``, or into such as UTF-8 proves by itself (see ``strict``).
     """
     multi = step[0] in MULTI
+    proven: set[str] = set()
 
     def once(text: str) -> str | None:
         parts, at, changed = [], 0, False
@@ -88,6 +103,8 @@ def undo_word(word: str, step: tuple[str, str], alphabet: frozenset[str] | None)
                 if multi:
                     return None
                 back = m.group()
+            elif multi:
+                proven.update(set(back) - set(strict(m.group(), back, step)))
             parts += [text[at : m.start()], back]
             changed |= back != m.group()
             at = m.end()
@@ -98,7 +115,7 @@ def undo_word(word: str, step: tuple[str, str], alphabet: frozenset[str] | None)
         word = once(word)
         if word is None:
             break
-        if alphabet is None or all(c < "\x80" or c in alphabet for c in word):
+        if alphabet is None or all(c < "\x80" or c in alphabet or c in proven for c in word):
             best = word
         if not multi:
             break
@@ -199,7 +216,8 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them; of the
     steps that give more frequent words the best is learned, the words it explains are put aside, and so on while a
     step explains ``least_runs`` other words (UTF-8: one).
-    A learned multi-byte step is believed wherever it decodes a whole run into characters of the collection; a
+    A learned multi-byte step is believed wherever it decodes a whole run into characters that three texts or words
+    hold, or UTF-8 into such of three or four bytes; a
     single-byte step where the word it gives is more frequent than the word found, or the word has a character
     of whose occurrences at least the share ``sure`` was found in such words.
 
@@ -238,8 +256,9 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     steps = _cover(explained, least_runs)
     # words without ASCII letters have no stripped form: try what the Cyrillic steps give against the words there are
     letters = count.select("n", F.explode(F.split("word", "")).alias("c")).groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 3 and c >= ' ' and c != '�'").collect()
-    wide = filled.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]"), F.lit(0)))).alias("c")).groupBy("c").agg(F.count("*").alias("n")).filter("n >= 3").collect()
-    alphabet = frozenset(r.c for r in (*letters, *wide))
+    chars = F.array_distinct(F.regexp_extract_all("text", F.lit("[^\\x00-\\x7F]"), F.lit(0)))
+    every = filled.select(F.explode(chars).alias("c")).groupBy("c").agg(F.count("*").alias("n")).filter("n >= 3 and c != '�'").collect()
+    alphabet = frozenset(r.c for r in (*letters, *every))
     folded: Counter = Counter()
     for r in letters:
         folded[r.c.lower()] += r.n
@@ -254,6 +273,9 @@ def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_
     for wrong in {w for _, w in steps if w}:
         if ("utf_8", wrong) not in steps and any(w == wrong and t in MULTI for t, w in steps):
             steps.append(("utf_8", wrong))
+    # what UTF-8 makes of emoji has no twin where all are damaged, but nothing else looks like it
+    if ("utf_8", "cp1252") not in steps and count.filter(F.col("word").rlike(_ASTRAL)).limit(1).count():
+        steps.append(("utf_8", "cp1252"))
     if ("utf_8", "latin_1") not in steps:  # control characters that decode strictly are proof enough
         steps.append(("utf_8", "latin_1"))
     cand = staged(count.mapInArrow(_undo_all(steps, alphabet, usual), "word string, n long, step int, back string"), "undone")

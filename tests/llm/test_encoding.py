@@ -73,3 +73,12 @@ def test_utf_8_read_as_latin_1(spark):
     df = spark.createDataFrame([*clean, *((i, t.encode().decode("latin_1")) for i, t in bad.items())], "id long, text string")
     got = {r.id: (r.restored, r.lost) for r in encoding.garbled_records(df).collect()}
     assert got == {i: (t, False) for i, t in bad.items()}
+
+
+def test_characters_the_collection_does_not_have(spark):
+    bad = {1: "well done 😀 and thanks", 2: "great👍 indeed", 3: "all of it ✓ is done"}
+    rows = [*((i, garble(t, ("utf_8", "cp1252"))) for i, t in bad.items()), (4, "clean 😀 here"), (5, "Ёлка и сад, plášť")]
+    got = {r.id: r.restored for r in encoding.garbled_records(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == bad
+    assert encoding.undo_word("сад", ("utf_8", "cp866"), frozenset("сад")) is None
+    assert encoding.undo_word("plášť", ("utf_8", "cp1250"), frozenset("áš")) is None
