@@ -348,6 +348,14 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column
     return members, pairs
 
 
+def with_short(members: DataFrame, records: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``members`` and the records without a set: equal texts are one class, a null text is one of its own."""
+    ids = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.sha2(F.col(text), 256).alias("h"))
+    short = ids.join(members.select("id"), "id", "left_anti").groupBy("id").agg(F.min("h").alias("h"))  # repeated keys count once
+    reps = short.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"))
+    return members.unionByName(short.join(reps, "h", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+
+
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b) of all similar records, copies included, the smaller key first."""
     pairs = staged(pairs.select("a", "b"), "pairs")

@@ -64,7 +64,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per document with its group of near duplicates (five terms, similarity 0.8) and its number of links."""
-    return neardup.groups(*neardup.near_duplicates(table(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
+    docs = table(spark, d, "documents")
+    members, pairs = neardup.near_duplicates(docs)
+    return neardup.groups(neardup.with_short(members, docs), pairs).withColumnRenamed("id", "doc_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_empty(spark):
     for rows in ([], [(1, None)], [(1, "x")]):
         m, p = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
         assert neardup.expand_pairs(m, p).count() == 0 and neardup.groups(m, p).count() == 0
+
+
+def test_short_and_null_texts_have_a_group(spark, tmp_path):
+    from quire.llm.queries import p6_groups
+
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (2, long), (3, "too short"), (4, "too short"), (5, None), (6, None), (7, ""), (3, "too short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.group, r.links) for r in p6_groups(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0), (6, 6, 0), (7, 7, 0)}
