@@ -38,7 +38,8 @@ def strengths(text: str) -> np.ndarray:
 def cut(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int, int]]:
     """(start, body, end) of each piece in code points: the piece is text[start:end], of which text[start:body]
     repeats the end of the piece before.  Bodies join to the text; every piece is within ``max_tokens``, the
-    repeated part within ``overlap_tokens`` (shortened to begin at a word where it can)."""
+    repeated part within ``overlap_tokens``, of which no more than half of ``max_tokens`` counts (shortened to begin at
+    a word where it can)."""
     w, force = quarters(text), strengths(text)
     limit, lap = 4 * max_tokens, min(4 * overlap_tokens, 2 * max_tokens)
     total, n_chars = int(w[-1]), len(text)
