@@ -7,6 +7,8 @@ import re
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]")
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s")
+_SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+[\"')\]]*\s*|$)")
+_RULE = re.compile(r"\s*\|?[\s:|-]+\|?\s*")
 
 
 def utf16_len(text: str) -> int:
@@ -33,39 +35,40 @@ def take_last(text: str, n: int) -> str:
     return tail.lstrip()
 
 
-def _pack(units: list[str], budget: int, sep: str = "", over=None, frame: tuple[str, str] = ("", "")) -> list[str]:
-    """Greedy packing of units in order; a unit beyond the budget is handed to ``over`` or stays whole."""
-    extra = estimate(frame[0] + frame[1]) if any(frame) else 0
+def _pack(units: list[str], budget: int, sep: str = "", over=None, extra: int = 0) -> list[str]:
+    """Greedy packing of units in order; a unit beyond the budget is handed to ``over`` or stays whole.
+
+    ``extra`` tokens are taken off the budget of every part, for what is put around it later."""
     out: list[str] = []
     now: list[str] = []
+    for unit in units:
+        giant = over is not None and estimate(unit) > budget
+        if now and (giant or estimate(sep.join([*now, unit])) + extra > budget):
+            out.append(sep.join(now))
+            now = []
+        if giant:
+            out += over(unit)
+        else:
+            now.append(unit)
+    return [*out, sep.join(now)] if now else out
 
-    def flush() -> None:
-        if now:
-            out.append(frame[0] + sep.join(now) + frame[1])
-            now.clear()
 
-    for unit in units:
-        if over is not None and estimate(unit) > budget:
-            flush()
-            out.extend(over(unit))
-            continue
-        if now and estimate(sep.join([*now, unit])) + extra > budget:
-            flush()
-        now.append(unit)
-    flush()
-    return out
+def _trimmed(parts: list[str]) -> list[str]:
+    return [t for p in parts if (t := p.strip())]
 
 
 def split_words(text: str, budget: int) -> list[str]:
-    parts = [p.strip() for p in _pack(re.findall(r"\S+\s*|\s+", text), budget)]
-    return [p for p in parts if p]
+    return _trimmed(_pack([w for w in re.split(r"(\s+)", text) if w], budget))
 
 
 def split_prose(text: str, budget: int) -> list[str]:
-    """Whole sentences up to the budget; a sentence beyond it by words.  A leading run of . ! ? is lost."""
-    sentences = [m.group() for m in re.finditer(r"[^.!?]+(?:[.!?]+[\"')\]]*\s*|$)", text)]
-    parts = [p.strip() for p in _pack(sentences, budget, over=lambda s: split_words(s, budget))]
-    return [p for p in parts if p]
+    """Whole sentences up to the budget; a sentence beyond it by words.
+
+    A text within the budget comes back as it is; of a longer one a leading run of . ! ? is lost, unless it is all."""
+    if estimate(text) <= budget:
+        return [text]
+    sentences = _SENTENCE.findall(text) or [text]
+    return _trimmed(_pack(sentences, budget, over=lambda s: split_words(s, budget))) or [text]
 
 
 def split_list(text: str, budget: int) -> list[str]:
@@ -76,25 +79,31 @@ def split_list(text: str, budget: int) -> list[str]:
             items.append(line)
         else:
             items[-1] += "\n" + line
-    return _pack(items, budget, "\n", lambda s: split_prose(s, budget))
+    return _pack(items, budget, "\n", lambda s: split_prose(s, budget)) or [text]
 
 
 def split_code(text: str, budget: int) -> list[str]:
-    """Whole lines, the fence with its language around every part; a line beyond the budget stays whole."""
-    lines = text.split("\n")
-    fence = re.match(r"^\s*(```+|~~~+)", lines[0])
-    if not fence:
-        return _pack(lines, budget, "\n")
-    body = lines[1:-1] if len(lines) > 1 and lines[-1].strip().startswith(fence.group(1)) else lines[1:]
-    return _pack(body, budget, "\n", frame=(lines[0] + "\n", "\n" + fence.group(1)))
+    """Whole lines, a fence with the language around every part; a line beyond the budget stays whole."""
+    if estimate(text) <= budget:
+        return [text]
+    fence, *rest = text.split("\n")
+    if fence.startswith("```"):
+        body = rest[:-1] if rest and rest[-1] == "```" else rest
+    else:
+        fence, body = "```", [fence, *rest]
+    parts = _pack(body, budget, "\n", extra=estimate(f"{fence}\n\n```"))
+    return [f"{fence}\n{p}\n```" for p in parts] or [text]
 
 
 def split_table(text: str, budget: int) -> list[str]:
-    """Groups of rows, the header and its rule above every part; text without pipes as prose."""
-    lines = text.split("\n")
-    if len(lines) < 2 or "|" not in lines[0]:
+    """Groups of rows, the header and its rule above every part; text without such a rule as prose."""
+    if estimate(text) <= budget:
+        return [text]
+    lines = [x for x in text.split("\n") if x.strip()]
+    if len(lines) < 2 or not _RULE.fullmatch(lines[1]):
         return split_prose(text, budget)
-    return _pack(lines[2:], budget, "\n", frame=("\n".join(lines[:2]) + "\n", ""))
+    head = "\n".join(lines[:2])
+    return [f"{head}\n{p}" for p in _pack(lines[2:], budget, "\n", extra=estimate(head))] or [text]
 
 
 SPLITTERS = {"list": split_list, "code": split_code, "table": split_table}

@@ -123,19 +123,27 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, embeddings: DataFrame
 
 
 def semantic_snippet(text: str, query: str, most: int = 300) -> str:
-    """The whole text if short; else a window around the sentence that shares most words with the query."""
+    """The whole text if short; else a window of ``most`` UTF-16 units whose middle is that of the sentence which shares
+    most words with the query (the first of equals), cut at the ends of the text; the text's head if none shares any."""
     import re
 
-    if len(text) <= most:
+    from quire.functions.pieces import utf16_len
+
+    raw = text.encode("utf-16-le", "surrogatepass")
+    size = len(raw) // 2
+    if size <= most:
         return text
-    wanted = set(re.findall(r"[^\W_]{3,}", query.lower()))
-    best, at = 0, None
-    for m in re.finditer(r"[^.!?]+[.!?]*", text):
-        score = sum(w in wanted for w in re.findall(r"[^\W_]{3,}", m.group().lower()))
-        if score > best:
-            best, at = score, m
-    if at is None:
-        return text[:most].rstrip() + "…"
-    start = max(0, min((at.start() + at.end() - most) // 2, len(text) - most))
-    end = min(len(text), start + most)
-    return ("…" if start else "") + text[start:end].strip() + ("…" if end < len(text) else "")
+
+    def units(a: int, b: int) -> str:
+        return raw[2 * a : 2 * b].decode("utf-16-le", "replace")
+
+    words = re.compile(r"[^\W_]{3,}")
+    wanted = set(words.findall(query.lower()))
+    scored = [(sum(w in wanted for w in words.findall(m.group().lower())), -m.start(), m.end()) for m in re.finditer(r"[^.!?]+[.!?]*", text)]
+    hits, first, last = max(scored, default=(0, 0, 0))
+    if not hits:
+        return units(0, most).rstrip() + "…"
+    middle = utf16_len(text[:-first]) + utf16_len(text[-first:last]) / 2
+    start = max(0, int(middle - most / 2))
+    end = min(size, start + most)
+    return ("…" if start else "") + units(start, end).strip() + ("…" if end < size else "")

@@ -472,7 +472,12 @@ def titled(s, d):
     return docs_of(s, d).select("doc_id", (route.chosen_title(F.lit(None).cast("string"), F.col("title"), F.lit("x/ ")) != " ").alias("own"))
 
 
-@query("""SELECT id, count(*) AS lines FROM (SELECT id, trim(unnest(string_split(text, chr(10)))) AS l FROM document_chunks WHERE page_number IS NOT NULL) z WHERE regexp_full_match(l, '[0-9]{1,4}|(?i:page) [0-9]{1,4}') OR (l <> '' AND l <> 'I' AND (regexp_full_match(l, 'm{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})') OR regexp_full_match(l, 'M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})'))) GROUP BY 1""")
+_SPACE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_ROMAN = "m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})"
+
+
+@query(f"""SELECT id, count(*) AS lines FROM (SELECT id, unnest(string_split(text, chr(10))) AS l FROM document_chunks WHERE page_number IS NOT NULL) z
+WHERE regexp_full_match(l, '{_SPACE}*({_ROMAN}|{_ROMAN.upper()}|[0-9]{{1,4}}|[Pp]age{_SPACE}+[0-9]{{1,4}})({_SPACE}|[.])*') AND NOT regexp_full_match(l, '{_SPACE}*I({_SPACE}|[.])*') AND NOT regexp_full_match(l, '{_SPACE}*') GROUP BY 1""")
 def page_number_lines(s, d):
     lines = chunks_of(s, d).filter("page_number is not null").select("id", F.explode(F.split("text", "\n")).alias("l"))
     return lines.filter(route.page_number_line(F.col("l"))).groupBy("id").agg(F.count("*").alias("lines"))

@@ -15,6 +15,7 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _LIST = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])(?:\s+|$)")
 _QUOTE = re.compile(r"^ {0,3}>")
 _DELIMITER = re.compile(r"^ {0,3}\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+_LINE_END = re.compile("\r\n|\n|\r")
 _HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
 
 
@@ -49,7 +50,7 @@ def strip_frontmatter(source: str) -> tuple[str | None, str]:
 
 def markdown_blocks(source: str) -> Iterator[Block]:
     """Top-level blocks, their text as it stands in the source; rules, html and front matter are dropped."""
-    lines = strip_frontmatter(source)[1].splitlines()
+    lines = _LINE_END.split(strip_frontmatter(source)[1])
     trail, i, n = Trail(), 0, 0
     n = len(lines)
     while i < n:
@@ -125,7 +126,7 @@ def markdown_metadata(source: str, name: str) -> tuple[str, int]:
     """(title, locator count): the front matter's title, else the first top heading's, else the name."""
     front, body = strip_frontmatter(source)
     heads, fenced, first = 0, False, None
-    for line in body.splitlines():
+    for line in _LINE_END.split(body):
         if _FENCE.match(line):
             fenced = not fenced
         elif not fenced and (m := re.match(r"^(#{1,2})\s+(.*)$", line)):
@@ -164,8 +165,8 @@ def heading_level(line: str, following: str | None) -> int | None:
 
 
 def text_blocks(source: str) -> Iterator[Block]:
-    """Headings, lists and paragraphs of plain text."""
-    lines, trail = source.splitlines(), Trail()
+    """Headings, lists and paragraphs of plain text; only line feeds, with or without a return, end a line."""
+    lines, trail = re.split("\r?\n", source), Trail()
     kept: list[str] = []
     kind = "paragraph"
 
@@ -193,9 +194,9 @@ def text_blocks(source: str) -> Iterator[Block]:
             if kind != "list":
                 yield from flush()
                 kind = "list"
-            kept.append(line.rstrip())
+            kept.append(line)
         else:
-            kept.append(line.rstrip())
+            kept.append(line)
     yield from flush()
 
 

@@ -10,9 +10,11 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from statistics import median
+
+import numpy as np
 
 from quire.operators.chunker import Block
+from quire.sources.route import LETTER_I, PAGE_NUMBER
 
 TOLERANCE, WIDE, WORD_GAP, BAND_GAP = 2.0, 0.8, 0.2, 2.5
 HEADING, TIERS, SIZE_STEP = 1.15, 6, 0.5
@@ -42,122 +44,106 @@ class Line:
     size: float
 
 
-@dataclass
-class _Row:
-    y: float
-    runs: list[Run] = field(default_factory=list)
-
-    @property
-    def x0(self) -> float:
-        return min(r.x for r in self.runs)
-
-    @property
-    def x1(self) -> float:
-        return max(r.x + r.width for r in self.runs)
-
-    @property
-    def size(self) -> float:
-        return max(r.size for r in self.runs)
-
-    def widest_gap(self) -> float:
-        edge, gap = None, 0.0
-        for r in sorted(self.runs, key=lambda r: r.x):
-            if edge is not None:
-                gap = max(gap, r.x - edge)
-            edge = max(edge or r.x, r.x + r.width)
-        return gap
-
-
-def _rows(runs: Iterable[Run]) -> list[_Row]:
-    """Upright, non-blank runs put together by baseline, down the page."""
-    rows: list[_Row] = []
-    for r in sorted((r for r in runs if r.text.strip() and abs(r.b) <= abs(r.a)), key=lambda r: -r.y):
-        if rows and abs(rows[-1].y - r.y) <= TOLERANCE:
-            rows[-1].runs.append(r)
-        else:
-            rows.append(_Row(r.y, [r]))
+def _table(runs: Iterable[Run]) -> np.ndarray:
+    """Upright runs that are not blank as rows (x0, x1, baseline, size), top of the page first, with their text apart."""
+    kept = [r for r in runs if r.text.strip() and abs(r.b) <= abs(r.a)]
+    kept.sort(key=lambda r: -r.y)
+    out = np.array([(r.x, r.x + r.width, r.y, r.size) for r in kept], dtype=float).reshape(-1, 4)
+    return out, np.array([r.text for r in kept], dtype=object)
+
+
+def _baselines(y: np.ndarray) -> np.ndarray:
+    """Row number of each run, of baselines in falling order; a row takes what is within the tolerance of its first."""
+    rows = np.zeros(len(y), dtype=int)
+    first = 0
+    for k in range(1, len(y)):
+        new = y[first] - y[k] > TOLERANCE
+        rows[k] = rows[k - 1] + new
+        first = k if new else first
     return rows
 
 
-def _line(runs: list[Run], y: float) -> Line:
-    runs = sorted(runs, key=lambda r: r.x)
-    text, edge = "", None
-    for r in runs:
-        if edge is not None and r.x - edge > WORD_GAP * r.size and not text.endswith(" ") and not r.text.startswith(" "):
-            text += " "
-        text += r.text
-        edge = r.x + r.width
-    size = max(r.size for r in runs)
-    return Line(re.sub(r"\s+", " ", text).strip(), runs[0].x, max(r.x + r.width for r in runs), y, y + size, size)
+def _line(at: np.ndarray, text: np.ndarray) -> Line:
+    order = np.argsort(at[:, 0], kind="stable")
+    at, text = at[order], text[order]
+    size = float(at[:, 3].max())
+    out = text[0]
+    for k in range(1, len(text)):
+        apart = at[k, 0] - at[k - 1, 1] > WORD_GAP * size and not out.endswith(" ")
+        out += (" " if apart else "") + text[k]
+    y = float(at[0, 2])
+    return Line(re.sub(r"\s+", " ", out).strip(), float(at[:, 0].min()), float(at[:, 1].max()), y, y + size, size)
+
 
+def _gutter(size: float, width: float) -> float:
+    return max(1.2 * size, 0.03 * width)
 
-def _columns(band: list[_Row], lo: float, hi: float, buckets: int = 240) -> list[tuple[float, float]] | None:
-    """Column extents of a band, from a map of which 1/240ths of the width hold text; None for one column."""
-    if len(band) < 3 or hi <= lo:
+
+def _column_of(at: np.ndarray, row: np.ndarray, lo: float, hi: float, buckets: int = 240) -> np.ndarray | None:
+    """Column of each run of a band, by its middle (-1: inside a gutter); None if the band is one column.
+
+    A gutter is a stretch of the page's width, wide enough and inside it, that no run covers; a column has text in two
+    rows or more."""
+    width = hi - lo
+    heights = np.array([at[row == r, 3].max() for r in np.unique(row)])
+    if len(heights) < 3 or width <= 0:
         return None
-    taken = [False] * buckets
-    scale = buckets / (hi - lo)
-    for r in (r for row in band for r in row.runs):
-        for k in range(max(0, int((r.x - lo) * scale)), min(buckets - 1, int((r.x + r.width - lo) * scale)) + 1):
-            taken[k] = True
-    least = max(1.2 * median(row.size for row in band), 0.03 * (hi - lo))
-    spans, k = [], 0
-    while k < buckets:
-        start = k
-        while k < buckets and taken[k] == taken[start]:
-            k += 1
-        spans.append((taken[start], lo + start / scale, lo + k / scale))
-    cuts = [(a + b) / 2 for full, a, b in spans[1:-1] if not full and b - a >= least]
-    if not cuts:
+    # runs that begin less runs that end, summed over the width: places where it is zero are free
+    change = np.zeros(buckets + 1, dtype=int)
+    np.add.at(change, np.clip(np.floor((at[:, 0] - lo) / width * buckets), 0, buckets).astype(int), 1)
+    np.add.at(change, np.clip(np.ceil((at[:, 1] - lo) / width * buckets), 0, buckets).astype(int), -1)
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(change[:buckets]) <= 0, [False]])))
+    free = [(lo + a * width / buckets, lo + b * width / buckets) for a, b in turns.reshape(-1, 2) if a > 0 and b < buckets]
+    free = [(a, b) for a, b in free if b - a >= _gutter(np.sort(heights)[len(heights) // 2], width)]
+    if not free:
         return None
-    edges = [lo - 1, *cuts, hi + 1]
-    cols = list(zip(edges, edges[1:]))
-    for a, b in cols:
-        if sum(any(a <= r.x < b for r in row.runs) for row in band) < 2:
-            return None
-    return cols
+    left, right = np.array([lo, *(b for _, b in free)]), np.array([*(a for a, _ in free), hi + 1])
+    middle = at[:, :2].mean(1)
+    column = np.searchsorted(left, middle, side="right") - 1
+    column = np.where((column >= 0) & (middle < right[column]), column, -1)
+    full = all(len(np.unique(row[column == c])) >= 2 for c in range(len(left)))
+    return column if full else None
 
 
 def assemble_lines(runs: Iterable[Run]) -> list[Line]:
     """Reading order: bands between full-width rows and large gaps, within a band column after column."""
-    rows = _rows(runs)
-    if not rows:
+    at, text = _table(runs)
+    if not len(at):
         return []
-    lo, hi = min(r.x0 for r in rows), max(r.x1 for r in rows)
-    gutter = max(1.2 * median(r.size for r in rows), 0.03 * (hi - lo))
-    bands: list[list[_Row]] = [[]]
-    for n, row in enumerate(rows):
-        full = row.x1 - row.x0 >= WIDE * (hi - lo) and row.widest_gap() < gutter
-        if n and rows[n - 1].y - row.y > BAND_GAP * max(rows[n - 1].size, row.size) and bands[-1]:
-            bands.append([])
-        if full:
-            if bands[-1]:
-                bands.append([])
-            bands[-1].append(row)
-            bands.append([])
-        else:
-            bands[-1].append(row)
+    row = _baselines(at[:, 2])
+    lo, hi = float(at[:, 0].min()), float(at[:, 1].max())
+    members = [np.flatnonzero(row == r) for r in range(row[-1] + 1)]
+    height = np.array([at[m, 3].max() for m in members])
+    base = np.array([at[m[0], 2] for m in members])
+
+    def unbroken(m: np.ndarray, size: float) -> bool:
+        part = at[m[np.argsort(at[m, 0], kind="stable")]]
+        gap = (part[1:, 0] - part[:-1, 1]).max(initial=0.0)
+        return hi > lo and part[:, 1].max() - part[:, 0].min() >= WIDE * (hi - lo) and gap < _gutter(size, hi - lo)
+
+    wide = np.array([unbroken(m, h) for m, h in zip(members, height)])
+    far = np.concatenate([[False], base[:-1] - base[1:] > BAND_GAP * np.maximum(height[:-1], height[1:])])
+    band = np.cumsum(far | wide | np.concatenate([[False], wide[:-1]]))
     out: list[Line] = []
-    for band in bands:
-        cols = _columns(band, lo, hi) if band else None
-        if cols is None:
-            out += [_line(row.runs, row.y) for row in band]
-        else:
-            for a, b in cols:
-                for row in band:
-                    if part := [r for r in row.runs if a <= r.x < b]:
-                        out.append(_line(part, row.y))
+    for b in np.unique(band):
+        rows = np.flatnonzero(band == b)
+        own = np.concatenate([members[r] for r in rows])
+        column = _column_of(at[own], row[own], lo, hi)
+        column = np.zeros(len(own), dtype=int) if column is None else column
+        for c in range(column.max(initial=0) + 1):
+            for r in rows:
+                part = own[(column == c) & (row[own] == r)]
+                if len(part):
+                    out.append(_line(at[part], text[part]))
     return [x for x in out if x.text]
 
 
-_ROMAN = re.compile(r"m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
+_NUMBER, _I = re.compile(PAGE_NUMBER), re.compile(LETTER_I)
 
 
 def is_page_number(text: str) -> bool:
-    t = text.strip()
-    if re.fullmatch(r"\d{1,4}|[Pp]age \d{1,4}", t):
-        return True
-    return bool(t) and t != "I" and (t.islower() or t.isupper()) and bool(_ROMAN.fullmatch(t.lower()))
+    """As ``route.page_number_line``."""
+    return bool(text.strip() and _NUMBER.match(text) and not _I.match(text))
 
 
 @dataclass

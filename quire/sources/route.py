@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 
 # Refusals by recognised format.
 REFUSALS = {"html": "HTML is not supported", "epub": "EPUB is not supported", "pptx": "PowerPoint is not supported", "ole": "old binary Office files are not supported", "binary": "the file is binary"}
-# Words that make no title by themselves (products, placeholders, fillers).
-PLACEHOLDERS = ("microsoft", "word", "powerpoint", "excel", "untitled", "document", "title", "unknown", "none", "layout", "indd", "presentation", "slide", "dokument", "unbenannt", "ohne", "titel", "sans", "titre", "sin", "título", "senza", "titolo", "new", "draft", "copy", "of", "the", "no", "final", "scan", "page")
+# Parts that give a title no meaning, as patterns: products, generic words (a number may follow), fillers.
+PRODUCTS = ("(microsoft\\s+)?(powerpoint|word|excel|impress|keynote)",)
+GENERIC = (
+    "presentations?", "présentations?", "presentaci[óo]n", "apresenta[çc][ãa]o", "presentazione", "pr[äa]sentation", "prezentacja", "presentatie",
+    "slides?", "deck", "documento?s?", "dokumente?", "untitled", "no\\s+title", "sin\\s+t[íi]tulo", "sem\\s+t[íi]tulo", "ohne\\s+titel", "sans\\s+titre",
+)
+FILLERS = ("de", "del", "do", "da", "du", "di", "van", "der", "the", "a", "an")
+# Fixed value: what a print driver puts before a file's name.
+PRINT_DRIVER = "^microsoft\\s+(word|powerpoint|excel)\\s*[-–]\\s*"
+# White space as it is trimmed, and roman numerals of page numbers.
+SPACE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+ROMAN = "m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+PAGE_NUMBER = f"^{SPACE}*(?:{ROMAN}|{ROMAN.upper()}|[0-9]{{1,4}}|[Pp]age{SPACE}+[0-9]{{1,4}})(?:{SPACE}|\\.)*$"
+LETTER_I = f"^{SPACE}*I(?:{SPACE}|\\.)*$"
 
 
 def sniff(content: Column, path: Column) -> Column:
@@ -94,12 +106,15 @@ def probe(pages: DataFrame) -> DataFrame:
 
 
 def usable_title(title: Column) -> Column:
-    """The trimmed title, or null if it is empty, a file name, a print driver's or only placeholder words."""
-    bare = F.regexp_replace(title, "(?U)^\\s+|\\s+$", "")
-    words = F.regexp_replace(F.lower(bare), "(?U)[\\W\\d_]+", " ")
-    rest = F.trim(F.regexp_replace(words, "(?U)\\b(" + "|".join(PLACEHOLDERS) + ")\\b", ""))
-    bad = bare.isNull() | (bare == "") | F.lower(bare).rlike("\\.[a-z0-9]{2,4}$") | bare.rlike("(?i)^microsoft (word|powerpoint|excel) - ") | (F.trim(F.regexp_replace(rest, " +", " ")) == "")
-    return F.when(bad, F.lit(None)).otherwise(bare)
+    """The trimmed title, or null if it is empty, a file name or a print driver's, or says nothing once the names of
+    products, generic words, fillers and numbers are taken out."""
+    bare = F.regexp_replace(title, f"^{SPACE}+|{SPACE}+$", "")
+    rest = bare
+    for parts, after in ((PRODUCTS, "\\b"), (GENERIC, "\\d*\\b"), (FILLERS, "\\b")):
+        rest = F.regexp_replace(rest, f"(?iu)\\b({'|'.join(parts)}){after}", " ")
+    silent = F.regexp_replace(rest, "[^\\p{L}\\p{N}]+|[0-9]+", "") == ""
+    bad = bare.isNull() | bare.rlike(f"(?i){PRINT_DRIVER}") | bare.rlike("(?i)\\.[a-z0-9]{2,4}$") | silent
+    return F.when(~bad, bare)
 
 
 def chosen_title(given: Column, parsed: Column, path: Column) -> Column:
@@ -109,8 +124,6 @@ def chosen_title(given: Column, parsed: Column, path: Column) -> Column:
 
 
 def page_number_line(text: Column) -> Column:
-    """A line that is only a page number: 1 to 4 digits, ``Page n``, or a roman numeral in one case, but not ``I``."""
-    roman = "m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})"
-    t = F.trim(text)
-    numeral = (t != "") & (t != "I") & (t.rlike(f"^{roman}$") | t.rlike(f"^{roman.upper()}$"))
-    return F.coalesce(t.rlike("^[0-9]{1,4}$") | t.rlike("^(?i:page) [0-9]{1,4}$") | numeral, F.lit(False))
+    """A line that is only a page number: 1 to 4 digits, ``Page n``, or a roman numeral in one case; blanks and dots may
+    follow.  ``I`` is a word."""
+    return F.coalesce(text.rlike(PAGE_NUMBER) & ~text.rlike(LETTER_I) & (F.regexp_replace(text, SPACE, "") != ""), F.lit(False))

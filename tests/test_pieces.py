@@ -1,7 +1,7 @@
 import random
 
 from quire.functions.pieces import estimate, split_code, split_list, split_prose, split_table, split_words, take_last
-from quire.operators.chunker import Block, chunk_blocks, union_bbox
+from quire.operators.chunker import Block, chunk_blocks, chunk_starts, union_bbox
 
 
 def test_estimate_counts_cjk_and_astral():
@@ -24,7 +24,10 @@ def test_prose_keeps_sentences_and_budget():
     parts = split_prose(text, 40)
     assert all(estimate(p) <= 40 for p in parts)
     assert " ".join(parts) == text
-    assert split_prose("...Lost dots stay out.", 40) == ["Lost dots stay out."]
+    assert split_prose("...  Kept as it is.", 40) == ["...  Kept as it is."]
+    assert split_prose("...", 40) == ["..."] and split_prose("." * 400, 40) == ["." * 400]
+    long = "..." + "Words of a sentence go on. " * 20
+    assert split_prose(long, 40)[0].startswith("Words")  # of a longer text a leading run of dots is lost
 
 
 def test_words_giant_word_stays_whole():
@@ -42,6 +45,9 @@ def test_list_code_table_repeat_their_frames():
     assert all(p.startswith("| a | b |\n| --- | --- |\n") for p in table)
     assert sum(p.count("row") for p in table) == 300
     assert split_table("no pipes here. At all.", 100) == ["no pipes here. At all."]
+    bare = split_code("\n".join(f"line_{n} = {n}" for n in range(100)), 50)
+    assert all(p.startswith("```\n") and p.endswith("\n```") and estimate(p) <= 50 for p in bare)
+    assert split_words("a" * 8 + " " + "b" * 8, 4) == ["a" * 8, "b" * 8]  # the blank counts with what follows it
 
 
 def test_chunks_never_mix_locators_and_keep_all_text():
@@ -80,3 +86,22 @@ def test_headings_only_and_empty():
 def test_union_bbox():
     assert union_bbox([None, [0.1, 0.2, 0.3, 0.1], [0.5, 0.1, 0.1, 0.4]]) == [0.1, 0.1, 0.5, 0.4]
     assert union_bbox([None]) is None
+
+
+def test_chunk_starts_follow_from_sizes_and_kinds():
+    text, head, table = "text", "heading", "table"
+    assert chunk_starts([], [], 10, 12) == []
+    assert chunk_starts([text] * 4, [4, 4, 4, 4], 10, 12) == [0, 3]  # target reached with the third
+    assert chunk_starts([text] * 3, [5, 8, 1], 10, 12) == [0, 1]  # 13 would be too much
+    assert chunk_starts([text, head, text], [1, 1, 1], 10, 12) == [0, 1]  # a heading after body opens a chunk
+    assert chunk_starts([head, head, text, text], [1, 1, 1, 1], 10, 12) == [0]
+    assert chunk_starts([head, head, text], [6, 6, 6], 10, 12) == [0]  # headings are carried, whatever they weigh
+    assert chunk_starts([text, table, text, head, table, head], [1, 1, 1, 1, 1, 1], 10, 12) == [0, 1, 2, 3, 5]
+    assert chunk_starts([text, head, text, text], [1, 1, 20, 1], 10, 12) == [0, 1, 3]  # one beyond the most stands alone
+
+
+def test_headings_over_a_split_block_count_in_its_box():
+    big = "Sentence of some words here. " * 80
+    chunks = list(chunk_blocks([Block("heading", "# H", "1", 0, [], [0, 0, 2, 1]), Block("paragraph", big, "1", 0, ["H"], [0, 1, 4, 2])]))
+    assert len(chunks) > 1 and chunks[0].text.startswith("# H\n\nSentence") and chunks[0].bbox == [0, 0, 4, 3]
+    assert chunks[1].bbox == [0, 1, 4, 2] and chunks[1].overlap

@@ -127,6 +127,12 @@ def test_semantic_snippet():
     s = hybrid.semantic_snippet(text, "badger turnip")
     assert "badger ate" in s and s.startswith("…") and s.endswith("…") and len(s) <= 302
     assert hybrid.semantic_snippet("short", "x") == "short"
+    near_end = "Filler words here. " * 30 + "The badger ate the turnip."
+    s = hybrid.semantic_snippet(near_end, "badger turnip")
+    assert s.startswith("…") and s.endswith("turnip.") and len(s) == 1 + 164  # half of the sentence and 150 before its middle: the window ends with the text, it is not pushed back
+    assert hybrid.semantic_snippet("No match at all. " * 40, "zebra").endswith("…")
+    wide = "😀" * 140 + ". The badger ate. " + "Other filler words. " * 20
+    assert "badger" in hybrid.semantic_snippet(wide, "badger")
 
 
 def test_question_sets_and_reports(spark, tmp_path):

@@ -32,6 +32,7 @@ def test_text_headings_in_order_of_rules():
 def test_text_blocks():
     source = "ROPES\n\nFirst line\nsecond line\n\n- a\n- b\ncontinued\n\nSub\n---\nBody"
     assert kinds(markup.text_blocks(source)) == [("heading", "ROPES"), ("paragraph", "First line\nsecond line"), ("list", "- a\n- b\ncontinued"), ("heading", "Sub"), ("paragraph", "Body")]
+    assert kinds(markup.text_blocks("one \x0ctwo  \r\nthree")) == [("paragraph", "one \x0ctwo  \nthree")]  # a form feed ends no line
     assert markup.text_metadata(source, "n")[0] == "ROPES" and markup.text_metadata("", "n") == ("n", 1)
 
 
@@ -119,14 +120,22 @@ def test_sniff_and_route(spark):
     assert {k for k, v in got.items() if v[1]} == {"c.zip", "e.epub", "f.doc", "g.txt", "h.txt", "i.htm"}
 
 
+#: Titles and what is left of them.
+TITLES = {
+    "  Good title ": "Good title", "": None, None: None, "Microsoft Word - thing": None, "Microsoft Word – report": None, "file.docx": None, "Untitled 1": None,
+    "Layout1.indd": None, "Document": None, "Presentación de PowerPoint": None, "Apresentação do PowerPoint": None, "PowerPoint-Präsentation": None, "Slide 1": None,
+    "PowerPoint for Beginners": "PowerPoint for Beginners", "Final draft": "Final draft", "The Copy of 2": "The Copy of 2", "Radar mast": "Radar mast", "Sin título": None, "12": None,
+}
+
+
 def test_titles_pages_and_layers(spark):
-    t = spark.createDataFrame([(x,) for x in ["  Good title ", "", None, "Microsoft Word - thing", "file.docx", "Untitled 1", "Layout1.indd", "Document", "The Copy of 2", "Radar mast"]], "t string")
-    assert [r[0] for r in t.select(route.usable_title(F.col("t"))).collect()] == ["Good title", None, None, None, None, None, None, None, None, "Radar mast"]
+    t = spark.createDataFrame([(x,) for x in TITLES], "t string")
+    assert [r[0] for r in t.select(route.usable_title(F.col("t"))).collect()] == list(TITLES.values())
     n = spark.createDataFrame([(x,) for x in (0, 1, 2, 5, 100, 1000)], "n int")
     assert [r[0] for r in n.select(route.sample_pages(F.col("n"))).collect()] == [[], [1], [1, 2], [1, 2, 4, 5], [1, 34, 67, 100], [1, 126, 251, 376, 501, 626, 751, 876, 1000]]
-    lines = ["12", "12345", "Page 4", "iv", "XII", "I", "i", "iiii", "MIX", "Iv", "", "text"]
+    lines = ["12", "12345", "Page 4", "iv", "XII", "I", "i", "iiii", "MIX", "Iv", "", "text", "12.", " iv. ", "Page  7", "mmmm", "I.", "page 3 of 4", "civil", "\u00a05\u00a0"]
     df = spark.createDataFrame([(x,) for x in lines], "l string")
-    want = [True, False, True, True, True, False, True, False, True, False, False, False]
+    want = [True, False, True, True, True, False, True, False, True, False, False, False, True, True, True, True, False, False, False, True]
     assert [r[0] for r in df.select(route.page_number_line(F.col("l"))).collect()] == want
     assert [pdf.is_page_number(x) for x in lines] == want
     texts = spark.createDataFrame([("plain words here",), ("/g12/g13/g14 x",), ("��ab",), ("\x01\x02\x03a",)], "t string")
@@ -158,6 +167,9 @@ def test_pdf_lines_and_columns():
     assert lines[0].startswith("Full width") and lines[1:6] == [f"left line {n} of the column" for n in range(5)] and lines[6:] == [f"right line {n} of the column" for n in range(5)]
     assert [x.text for x in pdf.assemble_lines([run("two", 100, 50), run("one", 50, 51)])] == ["one two"]
     assert pdf.assemble_lines([]) == []
+    # a run belongs to the column its middle is in, wherever it begins
+    hanging = [pdf.Run(f"left {n}", 50, 600 - 14 * n, 200, 11) for n in range(4)] + [pdf.Run(f"right {n}", 300 if n else 290, 600 - 14 * n, 200, 11) for n in range(4)]
+    assert [x.text for x in pdf.assemble_lines(hanging)] == [f"left {n}" for n in range(4)] + [f"right {n}" for n in range(4)]
 
 
 def test_pdf_blocks_drop_furniture_and_follow_bookmarks():
