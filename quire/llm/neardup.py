@@ -10,6 +10,7 @@ asks for as many more shared prefix shingles before a pair is verified.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,38 +58,81 @@ def shingle_sets(texts: list[str | None], w: int) -> list[np.ndarray]:
     return out
 
 
-def _survey(w: int, least: int, hold: int) -> Callable:
-    """One pass, two kinds of rows: (id, size, a, b), size and 128 bits of each record's shingle set; and (h, n),
-    shingles that a worker meets ``least`` times or more within ``hold`` consecutive ones, with their counts."""
-    names = ["id", "size", "a", "b", "h", "n"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+class Sketch:
+    """Counters of fixed size for how often shingles occur: three rows of ``SLOTS``, a shingle counts in one slot of each.
 
-    def rows(of: dict[str, list]) -> pa.RecordBatch:
-        size = len(next(iter(of.values())))
-        return pa.RecordBatch.from_arrays([pa.array(of[c], t) if c in of else pa.nulls(size, t) for c, t in zip(names, kinds)], names)
+    The estimate is the middle one of its three counters, each less the mean of the other slots.  It is off by about
+    sqrt(total / SLOTS) (110 for 6.5 billion shingles), so what is frequent is told from what is rare at any size.
+    """
+
+    ROWS, SLOTS = 3, 1 << 19
+    _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def __init__(self, counters: np.ndarray | None = None) -> None:
+        self.counters = np.zeros((self.ROWS, self.SLOTS), dtype=np.int64) if counters is None else counters
+
+    def _slots(self, shingles: np.ndarray, row: int) -> np.ndarray:
+        return ((shingles * np.uint64(self._MIX[row])) >> np.uint64(64 - 19)).astype(np.int64)
+
+    def add(self, shingles: np.ndarray) -> None:
+        for row in range(self.ROWS):
+            self.counters[row] += np.bincount(self._slots(shingles, row), minlength=self.SLOTS)
+
+    def estimate(self, shingles: np.ndarray) -> np.ndarray:
+        total = int(self.counters[0].sum())
+        seen = np.stack([self.counters[row][self._slots(shingles, row)] for row in range(self.ROWS)]).astype(np.float64)
+        return np.maximum(0, np.rint(np.median(seen - (total - seen) / (self.SLOTS - 1), axis=0))).astype(np.int64)
+
+    def pack(self) -> bytes:
+        return zlib.compress(self.counters.tobytes(), 1)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Sketch:
+        return cls(np.frombuffer(zlib.decompress(raw), dtype=np.int64).reshape(cls.ROWS, cls.SLOTS).copy())
 
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        big = n >= least
-        return rows({"h": keys[big].view(np.int64), "n": n[big].astype(np.int64)})
+
+def _survey(w: int) -> Callable:
+    """One pass, two kinds of rows: (id, size, a, b), size and 128 bits of each record's shingle set; and one row per
+    task with the counts of its shingles."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        counts, names = Sketch(), ["id", "size", "a", "b", "sketch"]
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), w)
+            if not sets:
+                continue
             sums = [(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 2) - (1 << 63)) for s in sets]
-            yield rows({"id": batch.column(0), "size": [len(s) for s in sets], "a": [x[0] for x in sums], "b": [x[1] for x in sums]})
-            parts += sets
-            size += sum(map(len, sets))
-            if size >= hold:
-                yield flush(parts)
-                parts, size = [], 0
-        if parts:
-            yield flush(parts)
+            counts.add(np.concatenate(sets))
+            cols = [batch.column(0), [len(s) for s in sets], [x[0] for x in sums], [x[1] for x in sums]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds)], pa.nulls(len(sets), pa.binary())], names)
+        if counts.counters[0].any():
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:4]], pa.array([counts.pack()], pa.binary())], names)
 
     return run
 
 
+def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = Sketch()
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            whole.counters += Sketch.unpack(raw).counters
+    yield pa.RecordBatch.from_arrays([pa.array([whole.pack()], pa.binary())], ["sketch"])
+
+
+def merged_sketch(rows: DataFrame, at_once: int = 32) -> Sketch:
+    """The sum of the sketches in ``rows`` (one binary column): tasks add ``at_once`` of them, until one is left."""
+    n = rows.count()
+    if not n:
+        return Sketch()
+    while True:
+        tasks = -(-n // at_once)
+        rows = staged(rows.repartition(tasks).mapInArrow(_merge_sketches, "sketch binary"), "sketch")
+        if tasks == 1:
+            return Sketch.unpack(bytes(rows.first().sketch))
+        n = tasks
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Parity bitmap of a shingle set, of the least power of two of bits that is twice the set's size, 64 at least.
 
@@ -133,44 +177,43 @@ def multi_match(size: int, counts: np.ndarray, t: float, cheap: int) -> int:
     return 1 + int(stop[0] if len(stop) else len(more))
 
 
-def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: int, cheap: int, hot: int) -> Callable:
+def _postings(w: int, t: float, sketch: Sketch, buckets: int, cheap: int, hot: int) -> Callable:
     """Prefix postings, packed by bucket: one row per (bucket, batch) with little-endian arrays.
 
-    The postings of a shingle met more than ``hot`` times are cut into slices by record; slice i goes to the cells
-    (i, j) of every j, so that no task gets them all.  The cell's side is kept in the top byte of ``pos``.
+    A posting is its shingle's code, its place in the record's order and its record; records are listed once a row, with
+    their size and, in the top byte, how many matches they ask for (255 at most).  The postings of a shingle met more
+    than ``hot`` times are cut into slices by record; slice i goes to the cells (i, j) of every j, so that no task gets
+    them all.  The cell's side is kept in the top byte of ``pos``.
     """
-    keys, counts = often
-
-    def estimate(s: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(s), dtype=np.int64)
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        return np.where(keys[at] == s, counts[at], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hs, ds, ps, sizes, asks, maps = [], [], [], [], [], []
+            hs, ds, ps, meta = [], [], [], []
             more_h, more_d, more_p = [], [], []
-            for k, s in enumerate(shingle_sets(batch.column(1).to_pylist(), w)):
+            sets = shingle_sets(batch.column(1).to_pylist(), w)
+            if not sets:
+                continue
+            every = sketch.estimate(np.concatenate(sets))
+            at = 0
+            for k, s in enumerate(sets):
                 size = len(s)
-                maps.append(bitmap(s).tobytes())
-                e = estimate(s)
+                if size >= 1 << 24:
+                    raise ValueError("a record of more than 16 million shingles")
+                e = every[at : at + size]
+                at += size
                 order = np.lexsort((s, e))
                 s, e = s[order], e[order]
-                m = multi_match(size, e, t, cheap) if size else 0
-                cut = size - int(np.ceil(t * size)) + m if size else 0
+                m = min(255, multi_match(size, e, t, cheap)) if size else 0
+                cut = min(size, size - int(np.ceil(t * size)) + m) if size else 0
                 hs.append(s[:cut])
-                ds.append(np.full(min(cut, size), k, dtype=np.int32))
-                ps.append(np.arange(min(cut, size), dtype=np.int32))
-                sizes.append(size)
-                asks.append(m)
-            if not hs:
-                continue
+                ds.append(np.full(cut, k, dtype=np.int32))
+                ps.append(np.arange(cut, dtype=np.int32))
+                meta.append(size | m << 24)
             h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
-            sizes, asks = np.array(sizes, dtype=np.int32), np.array(asks, dtype=np.int32)
+            meta = np.array(meta, dtype=np.uint32)
             p |= SAME << 24
-            heavy = estimate(h)
+            heavy = sketch.estimate(h)
             for at in np.flatnonzero(heavy > hot):
                 slices = int(-(-heavy[at] // hot))
                 mine = xxhash.xxh64_intdigest(int(ids[d[at]]).to_bytes(8, "little", signed=True)) % slices
@@ -187,39 +230,34 @@ def _postings(w: int, t: float, often: tuple[np.ndarray, np.ndarray], buckets: i
             order = np.argsort(b, kind="stable")
             h, d, p, b = h[order], d[order], p[order], b[order]
             edges = np.flatnonzero(np.diff(b)) + 1
-            cols: list[list] = [[], [], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for lo, hi in zip([0, *edges], [*edges, len(b)]):
                 if lo == hi:
                     continue
                 docs, local = np.unique(d[lo:hi], return_inverse=True)
                 code = (h[lo:hi] // np.uint64(buckets)).astype(np.uint32)
                 cols[0].append(int(b[lo]))
-                for c, x in zip(cols[1:], (code, local.astype(np.uint16), p[lo:hi], ids[docs].astype(np.int64), sizes[docs], asks[docs])):
+                for c, x in zip(cols[1:], (code, local.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), p[lo:hi], ids[docs].astype(np.int64), meta[docs])):
                     c.append(x.tobytes())
-                cols[7].append([maps[k] for k in docs])
-            kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "code", "local", "pos", "ids", "sizes", "asks", "maps"])
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "code", "local", "pos", "ids", "meta"])
 
     return run
 
 
 def _pairs_of(t: float, block: int = 1024) -> Callable:
-    """Pairs of a bucket that share a prefix shingle early enough for both, with how many they share here.
-
-    Pairs whose bitmaps differ in more bits than similar sets may differ in shingles are left out at once.
-    """
+    """Pairs of a bucket that share a prefix shingle early enough for both, with how many they share here."""
 
     def run(batch: pa.Table) -> pa.Table:
-        code, pos, doc, size, ask, named, maps = [], [], [], [], [], [], []
+        code, pos, doc, size, ask = [], [], [], [], []
         for r in batch.to_pylist():
-            local = np.frombuffer(r["local"], dtype=np.uint16)
             code.append(np.frombuffer(r["code"], dtype=np.uint32))
+            local = np.frombuffer(r["local"], dtype=np.uint16 if len(r["local"]) == 2 * len(code[-1]) else np.uint32)
             pos.append(np.frombuffer(r["pos"], dtype=np.int32))
-            named.append(np.frombuffer(r["ids"], dtype=np.int64))
-            doc.append(named[-1][local])
-            maps += [np.frombuffer(m, dtype=np.uint64) for m in r["maps"]]
-            size.append(np.frombuffer(r["sizes"], dtype=np.int32)[local])
-            ask.append(np.frombuffer(r["asks"], dtype=np.int32)[local])
+            doc.append(np.frombuffer(r["ids"], dtype=np.int64)[local])
+            meta = np.frombuffer(r["meta"], dtype=np.uint32)[local].astype(np.int64)
+            size.append(meta & 0xFFFFFF)
+            ask.append(meta >> 24)
         c, p, d, n, m = (np.concatenate(x) for x in (code, pos, doc, size, ask))
         order = np.lexsort((d, c))
         c, p, d, n, m = c[order], p[order], d[order], n[order], m[order]
@@ -266,16 +304,7 @@ def _pairs_of(t: float, block: int = 1024) -> Callable:
         a, b, need = a[order], b[order], need[order]
         new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        ids = np.concatenate(named)
-        who, place = np.unique(ids, return_index=True)
-        long = np.zeros(len(who), dtype=np.int64)
-        long[np.searchsorted(who, d)] = n
-        x, y = np.searchsorted(who, a[at]), np.searchsorted(who, b[at])
-        both = long[x] + long[y]
-        differ = _differ([maps[k] for k in place], x, y) if len(at) else np.zeros(0, dtype=np.int64)
-        alike = differ <= both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
         times = np.diff(np.concatenate([at, [len(a)]]))
-        at, times = at[alike], times[alike]
         return pa.table({"a": a[at], "b": b[at], "shared": times.astype(np.int32), "need": need[at].astype(np.int32)})
 
     return run
@@ -284,7 +313,22 @@ def _pairs_of(t: float, block: int = 1024) -> Callable:
 def _sets(w: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), w)], pa.binary())], ["id", "shingles"])
+            sets = shingle_sets(batch.column(1).to_pylist(), w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "size", "map", "shingles"])
+
+    return run
+
+
+def _may_be_similar(t: float) -> Callable:
+    """Pairs whose bitmaps do not differ in more bits than similar sets may differ in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            maps = [np.frombuffer(m, dtype=np.uint64) for c in ("x", "y") for m in batch.column(c).to_pylist()]
+            both = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            alike = _differ(maps, np.arange(n), n + np.arange(n)) <= both - 2 * np.ceil(t / (1 + t) * both - 1e-9) if n else np.zeros(0, bool)
+            yield batch.select(["a", "b"]).filter(pa.array(alike))
 
     return run
 
@@ -309,12 +353,14 @@ def within(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_semi")
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, often_most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, bucket_postings: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Records whose sets of w consecutive terms have at least ``threshold`` of their union in common.
 
-    Records with equal sets are one class, represented by its smallest key, so copies are never compared.  The
-    order of shingles puts those last that make up at least 1 / ``often_most`` of all (so there are at most that
-    many, which bounds what is broadcast); it affects the cost, never the result.
+    Records with equal sets are one class, represented by its smallest key, so copies are never compared.  How often
+    shingles occur is counted over all records in a ``Sketch``, whose size does not depend on the collection; it orders
+    shingles, tells what a longer prefix costs and which posting lists to cut, and affects the cost, never the result.
+    There is one bucket per ``bucket_postings`` postings or so.  Pairs that share enough prefix shingles are tried on
+    their bitmaps, which are sent once for each record in such a pair, and what is left on the sets.
 
     Returns (members, pairs): members has (id, rep) of every record with a non-empty set; pairs has
     (a, b, similarity) of the representatives of similar classes, a < b.  Null or short texts have no shingles and
@@ -323,27 +369,25 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column
     column = F.col(text) if isinstance(text, str) else text
     docs = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), column.alias("text")).filter("text is not null")
     spark = records.sparkSession
-    survey = staged(docs.mapInArrow(_survey(w, 3, 2_000_000), "id long, size int, a long, b long, h long, n long"), "survey")
+    survey = staged(docs.mapInArrow(_survey(w), "id long, size int, a long, b long, sketch binary"), "survey")
     signed = survey.filter("size > 0").select("id", "size", "a", "b")
     classes = signed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("n"))
     copies = classes.filter("n > 1").select("a", "b", "rep")
     others = staged(signed.select("id", "a", "b").join(copies, ["a", "b"]).filter("id != rep").select("id", "rep").distinct(), "copies")
-    total = signed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
+    sketch = merged_sketch(survey.filter("sketch is not null").select("sketch"))
+    total = int(sketch.counters[0].sum())
     reps = without(docs, others.select("id"), "id")
-    often = survey.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
-    top = often.filter(F.col("n") >= F.lit(total / often_most)).collect()  # shingles of that share: often_most at most
-    keys = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.array([r.n for r in top], dtype=np.int64)
-    order = np.argsort(keys)
-    buckets = max(width(spark), int(total // 1_500_000) + 1)
-    packed = reps.mapInArrow(_postings(w, threshold, (keys[order], counts[order]), buckets, cheap, hot), "bucket int, code binary, local binary, pos binary, ids binary, sizes binary, asks binary, maps array<binary>")
-    found = packed.groupBy("bucket").applyInArrow(_pairs_of(threshold), "a long, b long, shared int, need int")
+    buckets = max(width(spark), int(total * min(1.0, 1.17 - threshold) // bucket_postings) + 1)
+    packed = reps.mapInArrow(_postings(w, threshold, sketch, buckets, cheap, hot), "bucket int, code binary, local binary, pos binary, ids binary, meta binary")
+    found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_of(threshold), "a long, b long, shared int, need int")
     cand = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
     cand = staged(cand, "candidates")
     wanted = staged(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = staged(within(reps, wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(w), "id long, shingles binary"), "sets")
-    both = cand.join(sets.withColumnRenamed("id", "a").withColumnRenamed("shingles", "x"), "a").join(sets.withColumnRenamed("id", "b").withColumnRenamed("shingles", "y"), "b")
-    pairs = both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-12)
+    sets = staged(within(reps, wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(w), "id long, size long, map binary, shingles binary"), "sets")
+    one, two = sets.select(F.col("id").alias("a"), F.col("map").alias("x"), F.col("size").alias("nx")), sets.select(F.col("id").alias("b"), F.col("map").alias("y"), F.col("size").alias("ny"))
+    left = staged(cand.join(one, "a").join(two, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_may_be_similar(threshold), "a long, b long"), "alike")
+    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    pairs = left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-12)
     members = signed.select("id").distinct().join(others, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return members, pairs
 

@@ -39,6 +39,45 @@ def test_equals_brute_force(spark, t, w, cheap, hot):
     assert len(got) == len(set(got)) and set(got) == brute(rows, t, w)
 
 
+def test_many_buckets_and_merged_sketches(spark):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    m, p = neardup.near_duplicates(df, threshold=0.5, w=3, bucket_postings=20)
+    assert {tuple(r) for r in neardup.expand_pairs(m, p).collect()} == brute(rows, 0.5, 3)
+    parts = df.selectExpr("doc_id as id", "text").filter("text is not null").mapInArrow(neardup._survey(3), "id long, size int, a long, b long, sketch binary").filter("sketch is not null").select("sketch")
+    one, many = neardup.merged_sketch(parts), neardup.merged_sketch(parts, at_once=2)
+    assert (one.counters == many.counters).all()
+    sets = neardup.shingle_sets([x for _, x in rows], 3)
+    assert one.counters[0].sum() == sum(map(len, sets))
+
+
+def test_sketch_tells_frequent_from_rare_far_below_any_share():
+    rng = np.random.default_rng(2)
+    sketch = neardup.Sketch()
+    for _ in range(20):  # 20 million shingles that occur once
+        sketch.add(rng.integers(0, 1 << 63, 1_000_000, dtype=np.uint64))
+    common = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sketch.add(np.repeat(common, 300))  # a share of 1.5e-5 each
+    rare = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert (np.abs(sketch.estimate(common) - 300) < 60).mean() > 0.99
+    assert (sketch.estimate(rare) > 200).mean() < 1e-3
+    assert (neardup.Sketch.unpack(sketch.pack()).counters == sketch.counters).all()
+
+
+def test_postings_of_a_record_stay_of_a_size_as_buckets_grow():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(20_000)]
+    docs = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000), pa.int64()), pa.array(docs)], ["id", "text"])
+    sizes = {}
+    for buckets in (8, 512, 4096):
+        (out,) = neardup._postings(3, 0.5, neardup.Sketch(), buckets, 200, 20_000)(iter([batch]))
+        sizes[buckets] = sum(len(x) for c in out.columns[1:] for x in c.to_pylist())
+    assert sizes[4096] < 2 * sizes[8] and sizes[4096] < 1.2 * sizes[512]
+
+
 def test_groups_are_components(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
