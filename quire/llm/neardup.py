@@ -22,7 +22,17 @@ from pyspark.sql import functions as F
 from quire.plans.storage import staged, width
 
 _TERM = re.compile(r"[^\W_]+")
-_WORDS: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """64-bit hash of each term, computed when it is first asked for."""
+
+    def __missing__(self, term: str) -> int:
+        code = self[term] = xxhash.xxh64_intdigest(term)
+        return code
+
+
+_WORDS = _Hashes()
 #: In a cell of a cut posting list: records of one slice, of the lower of two, of the upper of two.
 SAME, LEFT, RIGHT = 0, 1, 2
 
@@ -31,21 +41,10 @@ def shingle_sets(texts: list[str | None], w: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the w-term shingles of each text."""
     if len(_WORDS) > 400_000:
         _WORDS.clear()
-    known = _WORDS
-    codes: list[int] = []
-    ends = []
+    out = []
     for text in texts:
-        for t in _TERM.findall(text.lower()) if text else ():
-            c = known.get(t)
-            if c is None:
-                c = known[t] = xxhash.xxh64_intdigest(t)
-            codes.append(c)
-        ends.append(len(codes))
-    a = np.array(codes, dtype=np.uint64)
-    out, start = [], 0
-    for end in ends:
-        part = a[start:end]
-        start = end
+        found = _TERM.findall(text.lower()) if text else ()
+        part = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
         if len(part) < w:
             out.append(np.zeros(0, dtype=np.uint64))
             continue
@@ -79,9 +78,10 @@ class Sketch:
             self.counters[row] += np.bincount(self._slots(shingles, row), minlength=self.SLOTS)
 
     def estimate(self, shingles: np.ndarray) -> np.ndarray:
-        total = int(self.counters[0].sum())
-        seen = np.stack([self.counters[row][self._slots(shingles, row)] for row in range(self.ROWS)]).astype(np.float64)
-        return np.maximum(0, np.rint(np.median(seen - (total - seen) / (self.SLOTS - 1), axis=0))).astype(np.int64)
+        x, y, z = (self.counters[row][self._slots(shingles, row)] for row in range(self.ROWS))
+        seen = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))
+        other = (int(self.counters[0].sum()) - seen) // (self.SLOTS - 1)
+        return np.maximum(0, seen - other)
 
     def pack(self) -> bytes:
         return zlib.compress(self.counters.tobytes(), 1)
@@ -167,14 +167,16 @@ def _differ(maps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def multi_match(size: int, counts: np.ndarray, t: float, cheap: int) -> int:
-    """How many prefix shingles a record may ask a partner to share: one, and one more for each further shingle
-    after the shortest prefix that is met at most ``cheap`` times, up to a sixth of the record.  ``counts`` are the
-    estimates of its shingles in prefix order."""
-    base = size - int(np.ceil(t * size)) + 1
-    more = counts[base : base + size // 6]
+def multi_match(size: int, counts: np.ndarray, t: float, cheap: int, least: int = 3, part: int = 12) -> int:
+    """How many prefix shingles a record may ask a partner to share: ``least``, and one more for each further shingle
+    of its prefix that is met at most ``cheap`` times, up to ``least`` and a ``part``-th of the record.
+
+    A pair that is verified without need costs as much as some thousand pairs met in posting lists, so the first
+    ``least`` are worth any list.  ``counts`` are the estimates of the record's shingles in prefix order."""
+    base = size - int(np.ceil(t * size)) + least
+    more = counts[base : base + size // part]
     stop = np.flatnonzero(more > cheap)
-    return 1 + int(stop[0] if len(stop) else len(more))
+    return max(1, min(least, size) + int(stop[0] if len(stop) else len(more)))
 
 
 def _postings(w: int, t: float, sketch: Sketch, buckets: int, cheap: int, hot: int) -> Callable:
@@ -353,7 +355,7 @@ def within(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_semi")
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 200, hot: int = 20_000, bucket_postings: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_id", text: str | Column = "text", threshold: float = 0.8, w: int = 5, cheap: int = 1_000, hot: int = 20_000, bucket_postings: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Records whose sets of w consecutive terms have at least ``threshold`` of their union in common.
 
     Records with equal sets are one class, represented by its smallest key, so copies are never compared.  How often
