@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import product
 from math import log1p
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ CYRILLIC = ("cp1251", "koi8_r", "iso8859_5", "mac_cyrillic", "cp866")
 WORD = "[A-Za-z\\x{80}-\\x{2FFF}\\x{A000}-\\x{ABFF}\\x{E000}-\\x{FEFF}]+"
 _WORD = re.compile("[A-Za-z\u0080-⿿ꀀ-꯿-﻿]+")
 _RUN = re.compile("[^\x00-\x7f]+")
+_DAMAGED = re.compile("[A-Za-z]*+[\u0080-\u2fff\ua000-\uabff\ue000-\ufeff][A-Za-z\u0080-\u2fff\ua000-\uabff\ue000-\ufeff]*")
+_BROKEN = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 #: A lost character, or a control character that only a wrong decoding leaves behind.
 LOST = "\\x{FFFD}"
 _C1 = re.compile("[\x80-\x9f]")
@@ -47,9 +49,8 @@ _CHARS = {c: {b: ch for ch, b in t.items()} for c, t in _BYTES.items()}
 _TRAIL = "[" + "".join(f"\\x{{{ord(_CHARS['cp1252'][b]):X}}}" for b in range(0x80, 0xC0)) + "]"
 #: Four bytes of UTF-8 read as cp1252.
 _ASTRAL = "\\x{F0}[" + "".join(f"\\x{{{ord(_CHARS['cp1252'][b]):X}}}" for b in range(0x90, 0xC0)) + "]" + _TRAIL + "{2}"
-#: A transformation (true, wrong): text was written in ``true`` and read as ``wrong``.
-SINGLE_STEPS = [(t, w) for t, w in product(SINGLE, WRONG) if t != w]
-MULTI_STEPS = [(t, w) for t, w in product(MULTI, WRONG)]
+#: Transformations (true, wrong): text was written in ``true`` and read as ``wrong``.
+STEPS = [(t, w) for t in (*MULTI, *SINGLE) for w in WRONG if t != w]
 
 
 def applies(text: str, step: tuple[str, str]) -> bool:
@@ -133,20 +134,43 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(x, y) for x, y in zip(g, c) if x != y and x and y]
 
 
-def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Aligned pairs of each twin, and every step that explains one; one row per (step, run)."""
+def explains(run: str, clean: str) -> list[int]:
+    """Places in ``STEPS`` of the steps that make ``run`` of ``clean``, once or (several bytes a character) twice."""
+    out = []
+    for k, step in enumerate(STEPS):
+        if applies(run, step):
+            back = undo(run, step)
+            if back == clean or back and back != run and step[0] in MULTI and undo(back, step) == clean:
+                out.append(k)
+    return out
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(garbled, clean, steps, n): runs that stand for each other in twins, with the steps that explain them."""
     for batch in batches:
         found: Counter = Counter()
         for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for x, y in align(g, c):
-                for step in (*SINGLE_STEPS, *MULTI_STEPS):
-                    if not applies(x, step):
-                        continue
-                    back = undo(x, step)
-                    if back == y or back and back != x and step[0] in MULTI and undo(back, step) == y:
-                        found[(*step, x, y)] += 1
+            found.update(align(g, c))
         rows = list(found.items())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0][k] for r in rows], pa.string()) for k in range(4)] + [pa.array([r[1] for r in rows], pa.int64())], ["true", "wrong", "garbled", "clean", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([explains(*r[0]) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], ["garbled", "clean", "steps", "n"])
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the one scan of the texts keeps of each with characters beyond ASCII: its words that hold such, in order,
+    the hash of what stripping leaves and of the text, its characters, and whether some are lost or none of any text."""
+    for batch in batches:
+        keep, words, bare, whole, chars, broken = [], [], [], [], [], []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            if text.isascii():
+                continue
+            keep.append(k)
+            words.append(_DAMAGED.findall(text))
+            left = text.encode("ascii", "ignore")
+            bare.append(xxhash.xxh64_intdigest(left) - (1 << 63) if len(left) >= 20 else None)
+            whole.append(xxhash.xxh64_intdigest(text) - (1 << 63) if len(left) >= 20 else None)
+            chars.append([c for c in set(text) if c > "\x7f"])
+            broken.append(any(_BROKEN.match(c) for c in chars[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, pa.list_(pa.string())), pa.array(bare, pa.int64()), pa.array(whole, pa.int64()), pa.array(chars, pa.list_(pa.string())), pa.array(broken, pa.bool_())], ["id", "ws", "bare", "whole", "chars", "broken"])
 
 
 def _undo_all(steps: list[tuple[str, str]], alphabet: frozenset[str], usual: dict[str, float]) -> Callable:
@@ -169,27 +193,11 @@ def _undo_all(steps: list[tuple[str, str]], alphabet: frozenset[str], usual: dic
     return run
 
 
-def _cover(rows: list, least: int) -> list[tuple[str, str]]:
-    """Steps in the order of how many so far unexplained (garbled, clean) runs they explain, ``least`` of them; UTF-8,
-    which decodes strictly or not at all, needs but one."""
-    left: dict[tuple[str, str], set] = {}
-    for r in rows:
-        left.setdefault((r.true, r.wrong), set()).add((r.garbled, r.clean))
-    steps = []
-    while left:
-        rank = {t: k for k, t in enumerate((*MULTI, *WRONG))}
-        best = max(left, key=lambda s: (len(left[s]), -rank[s[0]], -rank[s[1]]))
-        runs = left.pop(best)
-        if len(runs) < (1 if best[0] == "utf_8" else least):
-            continue
-        steps.append(best)
-        left = {s: rest for s, r in left.items() if (rest := r - runs)}
-    return steps
-
-
-def _cover_words(rows: list, tried: list[tuple[str, str]], known: list[tuple[str, str]], least: int) -> list[tuple[str, str]]:
-    """Steps that explain words which neither ``known`` nor steps before them explain, the best first; as in ``_cover``
-    UTF-8 needs but one word.  ``rows`` are (steps, k): k words that just these steps explain."""
+def cover(rows: list, tried: list[tuple[str, str]], known: list[tuple[str, str]], least: int) -> list[tuple[str, str]]:
+    """Steps that explain things which neither ``known`` nor steps before them explain, the best first.
+
+    ``rows`` are (steps, k): k runs or words that just these steps explain.  A step must explain ``least`` of what is
+    left; UTF-8, which decodes strictly or not at all, but one."""
     left = [(set(r.steps), r.k) for r in rows if not any(tried[s] in known for s in r.steps)]
     out = []
     while left:
@@ -206,101 +214,121 @@ def _cover_words(rows: list, tried: list[tuple[str, str]], known: list[tuple[str
     return out
 
 
-def garbled_words(chunks: DataFrame, key: str = "id", text: str = "text", least_runs: int = 2, sure: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Words of the table that a wrong decoding made, with what they were.
+def _replace_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, step, back): words with the runs replaced that have a learned counterpart."""
+    for batch in batches:
+        back = []
+        for word, runs in zip(batch.column("word").to_pylist(), batch.column("runs").to_pylist()):
+            to = {r["garbled"]: r["clean"] for r in runs}
+            back.append(_RUN.sub(lambda m, to=to: to.get(m.group(), m.group()), word))
+        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([-1] * len(back), pa.int32()), pa.array(back, pa.string())], ["word", "n", "step", "back"])
+
+
+def survey(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """The staged survey of all texts (see ``_survey``); rows without key or text are left out."""
+    filled = chunks.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = chunks.schema[key].dataType.simpleString()
+    return staged(filled.mapInArrow(_survey, f"id {kind}, ws array<string>, bare long, whole long, chars array<string>, broken boolean"), "texts")
+
+
+def garbled_words(seen: DataFrame, least_runs: int = 2, sure: float = 0.6, plain: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Words of the surveyed texts that a wrong decoding made, with what they were.
 
     Twins: words that agree once non-ASCII characters are stripped are joined with the most frequent of them, and
     so are words at the same place of records that agree when stripped whole.  Aligning their characters gives
-    (garbled, clean) runs; the encoding steps that explain at least ``least_runs`` different runs (UTF-8: one) are
-    learned.
-    Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them; of the
-    steps that give more frequent words the best is learned, the words it explains are put aside, and so on while a
-    step explains ``least_runs`` other words (UTF-8: one).
+    (garbled, clean) runs.  The encoding steps that explain at least ``least_runs`` different runs (UTF-8: one) are
+    learned; runs that no step explains are learned as they are, if they become fewer characters, all letters (signs are often
+    varied on purpose), and three twins or more agree.
     A learned multi-byte step is believed wherever it decodes a whole run into characters that three texts or words
-    hold, or UTF-8 into such of three or four bytes; a
-    single-byte step where the word it gives is more frequent than the word found, or the word has a character
-    of whose occurrences at least the share ``sure`` was found in such words.
+    hold, or UTF-8 into such of three or four bytes, a learned run wherever it occurs whole; a single-byte step where
+    the word it gives is more frequent than the word found, or the word has a character of whose occurrences at least
+    the share ``sure`` was found in such words.
 
-    UTF-8 read as Latin-1 needs no proof: the control characters it leaves decode strictly or not at all.
+    With ``plain``, steps are taken too that alignment cannot show, as there is nothing to align.
+    Words of which stripping leaves nothing (Cyrillic) are joined with what each Cyrillic step makes of them; of the
+    steps that give more frequent words the best is learned, the words it explains are put aside, and so on while a
+    step explains ``least_runs`` other words (UTF-8: one).  UTF-8 read as Latin-1 needs no proof: the control characters
+    it leaves decode strictly or not at all.  Nor does UTF-8 of four bytes read as cp1252, as nothing else looks like it.
 
     What a single-byte step leaves with one letter at most, and a Cyrillic word that is read as other Cyrillic and
     known by its characters only, is ``weak``: a record must hold a firm word of the same step (or see ``garbled_records``).
 
     Returns (garbled, words): (word, back, step, weak) and (id, word) of every word with characters beyond ASCII.
     """
-    filled = chunks.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    found = filled.filter(F.col("text").rlike("[^\\x00-\\x7F]")).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
-    words = staged(found.filter(F.col("word").rlike("[^\\x00-\\x7F]")), "words")
+    words = seen.select("id", F.explode(F.array_distinct("ws")).alias("word"))
     count = staged(words.groupBy("word").agg(F.count("*").alias("n")), "wordcounts")
     # twins by word: all words of one stripped form against the most frequent of them
     bare = count.withColumn("bare", F.regexp_replace("word", "[^\\x00-\\x7F]+", "")).filter(F.length("bare") >= 3)
     top = bare.groupBy("bare").agg(F.max(F.struct("n", "word")).alias("top"))
     twins = bare.join(top, "bare").filter((F.col("word") != F.col("top.word")) & (F.col("top.n") > F.col("n"))).select(F.col("word").alias("garbled"), F.col("top.word").alias("clean"))
     # twins by record: texts that agree when stripped whole, word by word, the more frequent word taken as clean
-    keyed = filled.withColumn("bare", F.regexp_replace("text", "[^\\x00-\\x7F]+", "")).filter((F.length("bare") >= 20) & (F.length("bare") < F.length("text")))
-    keyed = keyed.select("id", F.xxhash64("bare").alias("h"), F.hash("text").alias("t"))
-    keyed = keyed.groupBy("h", "t").agg(F.min("id").alias("id"))  # of copies one is enough
-    first = keyed.groupBy("h").agg(F.min("id").alias("one"), F.count("*").alias("n")).filter("n > 1")
-    near = staged(keyed.join(first, "h").filter("id != one").select("id", "one"), "twins")
-    texts = filled.select("id", F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: w.rlike("[^\\x00-\\x7F]")).alias("ws"))
+    keyed = seen.filter("bare is not null").groupBy("bare", "whole").agg(F.min("id").alias("id"))  # of copies one is enough
+    first = keyed.groupBy("bare").agg(F.min("id").alias("one"), F.count("*").alias("n")).filter("n > 1")
+    near = staged(keyed.join(first, "bare").filter("id != one").select("id", "one"), "twins")
     wanted = staged(near.select(F.explode(F.array("id", "one")).alias("id")).distinct(), "twinids")
-    some = texts.join(wanted, "id", "left_semi")
+    some = staged(seen.select("id", "ws").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "twinwords")
     both = near.join(some, "id").withColumnRenamed("ws", "x").join(some.withColumnRenamed("id", "one").withColumnRenamed("ws", "y"), "one").filter(F.size("x") == F.size("y"))
     zipped = both.select(F.explode(F.arrays_zip("x", "y")).alias("p")).filter("p.x != p.y").select("p.x", "p.y").distinct()
     by_record = zipped.join(count.select(F.col("word").alias("x"), F.col("n").alias("nx")), "x").join(count.select(F.col("word").alias("y"), F.col("n").alias("ny")), "y")
     swap = F.col("nx") > F.col("ny")
     by_record = by_record.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("garbled"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("clean"))
     pairs = twins.unionByName(by_record).distinct()
-    # one row per (step, run, run): bounded by the characters of the encodings, not by the collection
-    explained = pairs.mapInArrow(_explain, "true string, wrong string, garbled string, clean string, n long").filter("length(garbled) <= 8").groupBy("true", "wrong", "garbled", "clean").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) | (F.col("true") == "utf_8")).collect()
-    steps = _cover(explained, least_runs)
-    # words without ASCII letters have no stripped form: try what the Cyrillic steps give against the words there are
-    letters = count.select("n", F.explode(F.split("word", "")).alias("c")).groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 3 and c >= ' ' and c != '�'").collect()
-    chars = F.array_distinct(F.regexp_extract_all("text", F.lit("[^\\x00-\\x7F]"), F.lit(0)))
-    every = filled.select(F.explode(chars).alias("c")).groupBy("c").agg(F.count("*").alias("n")).filter("n >= 3 and c != '�'").collect()
+    aligned = pairs.mapInArrow(_aligned, "garbled string, clean string, steps array<int>, n long").groupBy("garbled", "clean").agg(F.first("steps").alias("steps"), F.sum("n").alias("n"))
+    aligned = staged(aligned, "aligned")
+    strict_ = F.exists("steps", lambda x: x.isin([k for k, s in enumerate(STEPS) if s[0] == "utf_8"]))
+    # one row per set of steps that explain the same runs: bounded by the encodings, not by the collection
+    explained = aligned.filter((F.size("steps") > 0) & ((F.col("n") >= 2) | strict_)).groupBy("steps").agg(F.count("*").alias("k")).collect()
+    steps = cover(explained, list(STEPS), [], least_runs)
+    letters = count.select("n", F.explode(F.split("word", "")).alias("c")).groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 3 and c >= ' ' and c != '�'").collect()
+    every = seen.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("n")).filter("n >= 3 and c != '�'").collect()
     alphabet = frozenset(r.c for r in (*letters, *every))
     folded: Counter = Counter()
     for r in letters:
         folded[r.c.lower()] += r.n
     usual = {c: log1p(n) for c, n in folded.items()}
-    hollow = count.filter((F.length("word") >= 4) & ~F.col("word").rlike("[\\x00-\\x7F]"))
-    tried = [(t, w) for t in (*CYRILLIC, "utf_8") for w in WRONG if t != w]
-    guess = hollow.mapInArrow(_undo_all(tried, alphabet, usual), "word string, n long, step int, back string")
-    guess = guess.join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back").filter("m > n")
-    # one row per set of steps that explain the same words: bounded by the encodings, not by the collection
-    guess = guess.groupBy("word").agg(F.sort_array(F.collect_set("step")).alias("steps")).groupBy("steps").agg(F.count("*").alias("k")).collect()
-    steps += _cover_words(guess, tried, steps, least_runs)
-    for wrong in {w for _, w in steps if w}:
+    if plain:
+        hollow = count.filter((F.length("word") >= 4) & ~F.col("word").rlike("[\\x00-\\x7F]"))
+        tried = [(t, w) for t in (*CYRILLIC, "utf_8") for w in WRONG if t != w]
+        guess = hollow.mapInArrow(_undo_all(tried, alphabet, usual), "word string, n long, step int, back string")
+        guess = guess.join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back").filter("m > n")
+        guess = guess.groupBy("word").agg(F.sort_array(F.collect_set("step")).alias("steps")).groupBy("steps").agg(F.count("*").alias("k")).collect()
+        steps += cover(guess, tried, steps, least_runs)
+    for wrong in sorted({w for _, w in steps}):
         if ("utf_8", wrong) not in steps and any(w == wrong and t in MULTI for t, w in steps):
             steps.append(("utf_8", wrong))
-    # what UTF-8 makes of emoji has no twin where all are damaged, but nothing else looks like it
-    if ("utf_8", "cp1252") not in steps and count.filter(F.col("word").rlike(_ASTRAL)).limit(1).count():
-        steps.append(("utf_8", "cp1252"))
-    if ("utf_8", "latin_1") not in steps:  # control characters that decode strictly are proof enough
-        steps.append(("utf_8", "latin_1"))
-    cand = staged(count.mapInArrow(_undo_all(steps, alphabet, usual), "word string, n long, step int, back string"), "undone")
-    multi = [k for k, s in enumerate(steps) if s[0] in MULTI]
-    is_multi = F.col("step").isin(multi) if multi else F.lit(False)
+    if plain:
+        if ("utf_8", "cp1252") not in steps and not count.filter(F.col("word").rlike(_ASTRAL)).isEmpty():
+            steps.append(("utf_8", "cp1252"))
+        if ("utf_8", "latin_1") not in steps:
+            steps.append(("utf_8", "latin_1"))
+    cand = count.mapInArrow(_undo_all(steps, alphabet, usual), "word string, n long, step int, back string")
+    # runs that no step explains, as they were aligned: of several counterparts the one four in five twins agree on
+    runs = aligned.filter((F.size("steps") == 0) & (F.length("garbled") >= 2) & (F.length("clean") < F.length("garbled")) & F.col("clean").rlike("^\\p{L}+$") & ~F.col("garbled").contains(F.col("clean")))
+    runs = runs.join(aligned.filter(F.size("steps") > 0).select("garbled").distinct(), "garbled", "left_anti")
+    runs = runs.groupBy("garbled").agg(F.max(F.struct("n", "clean")).alias("top"), F.sum("n").alias("all")).filter("top.n >= 3 and top.n >= 0.8 * all").select("garbled", F.col("top.clean").alias("clean"))
+    in_runs = count.select("word", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit("[^\\x00-\\x7F]+"), F.lit(0)))).alias("garbled"))
+    learned = in_runs.join(runs, "garbled").groupBy("word", "n").agg(F.collect_list(F.struct("garbled", "clean")).alias("runs"))
+    cand = staged(cand.unionByName(learned.mapInArrow(_replace_runs, "word string, n long, step int, back string")), "undone")
+    multi = [-1, *(k for k, s in enumerate(steps) if s[0] in MULTI)]
+    is_multi = F.col("step").isin(multi)
     sure_words = cand.filter(is_multi).withColumn("m", F.lit(1 << 40).cast("long"))
     single = cand.filter(~is_multi).join(count.select(F.col("word").alias("back"), F.col("n").alias("m")), "back", "left").select(*cand.columns, "m")
     proven = single.filter("m > n")
     proof = proven.groupBy("word").agg(F.max(F.struct("m", "step", "back")).alias("b"), F.max("n").alias("n"))
     in_word = F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit("[^\\x00-\\x7F]"), F.lit(0)))).alias("c")
     have = count.filter(F.length("word") >= 2).select("n", in_word).groupBy("c").agg(F.sum("n").alias("all"))
-    seen = proof.select("n", "b.step", in_word).groupBy("c", "step").agg(F.sum("n").alias("k"))
-    strong = seen.join(have, "c").filter(F.col("k") >= F.lit(sure) * F.col("all")).select("c", "step")
-    by_char = single.filter("m is null").select("word", "n", "step", "back", in_word).join(strong, ["c", "step"]).select("word", "n", "step", "back").distinct().withColumn("m", F.lit(0).cast("long"))
+    known = proof.select("n", "b.step", in_word).groupBy("c", "step").agg(F.sum("n").alias("k"))
+    strong = known.join(have, "c").filter(F.col("k") >= F.lit(sure) * F.col("all")).select("c", "step")
+    by_char = single.filter("m is null").select("word", "n", "step", "back", in_word).join(F.broadcast(strong), ["c", "step"]).select("word", "n", "step", "back").distinct().withColumn("m", F.lit(0).cast("long"))
     everything = sure_words.select("word", "back", "step", "m").unionByName(proven.select("word", "back", "step", "m")).unionByName(by_char.select("word", "back", "step", "m"))
-    best = everything.groupBy("word").agg(F.max(F.struct("m", (-F.col("step")).alias("s"), "back")).alias("b"))
-    best = best.select("word", F.col("b.back").alias("back"), (-F.col("b.s")).alias("step"), (F.col("b.m") == 0).alias("unproven"))
+    best = everything.groupBy("word").agg(F.max(F.struct("m", (F.when(F.col("step") < 0, 1 << 20).otherwise(F.col("step")) * -1).alias("s"), "back", "step")).alias("b"))
+    best = best.select("word", F.col("b.back").alias("back"), F.col("b.step").alias("step"), (F.col("b.m") == 0).alias("unproven"))
     swapped = [k for k, (true, wrong) in enumerate(steps) if true in CYRILLIC and wrong in CYRILLIC]
     by_letters = F.col("step").isin(swapped) & F.col("unproven") if swapped else F.lit(False)
-    single_byte = [k for k in range(len(steps)) if k not in multi]
-    bare_letter = F.col("step").isin(single_byte) & (F.length(F.regexp_replace("back", "\\P{L}", "")) <= 1) if single_byte else F.lit(False)
+    bare_letter = ~F.col("step").isin(multi) & (F.length(F.regexp_replace("back", "\\P{L}", "")) <= 1)
     return best.withColumn("weak", bare_letter | by_letters).drop("unproven"), words
 
 
-_BROKEN = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 #: What Shift-JIS bytes are when they are read as cp1252: a lead, then leads and trail bytes, of which some are ASCII.
 _PAIRS = re.compile("[" + re.escape("".join(_BYTES["cp1252"])) + "][@-~" + re.escape("".join(_BYTES["cp1252"])) + "]+")
 
@@ -323,22 +351,35 @@ def _undo_shift_jis(text: str) -> str:
     return _PAIRS.sub(back, text)
 
 
-def garbled_records(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def garbled_records(chunks: DataFrame, key: str = "id", text: str = "text", plain: bool = True, broadcast_words: int = 300_000, salts: int = 32) -> DataFrame:
     """(key, restored, lost, n_words): records with garbled text.
 
     ``restored`` is the text with every garbled word put back, ``lost`` tells that characters are gone for good
     (replacement characters, or control characters that nothing explains), so it is restored in part at most.  In a
-    record without a firm word, letters that stand for signs count only between longer words.  Null and empty texts are no case.  Repeated rows give repeated results.
+    record without a firm word, letters that stand for signs count only between longer words.  With ``plain``, records
+    with lost or control characters are cases by these alone, and stretches of Shift-JIS read as cp1252 are decoded
+    again; without, only what twins, alignment and the mappings learned from them give (see ``garbled_words``).
+    Rows without key or text and empty texts are no case.  Repeated rows give repeated results.
     """
-    garbled, words = garbled_words(chunks, key, text)
+    seen = survey(chunks, key, text)
+    garbled, words = garbled_words(seen, plain=plain)
     garbled = staged(garbled, "garbled")
-    hit = words.join(garbled, "word").groupBy("id").agg(F.collect_list(F.struct("word", "back", "step", "weak")).alias("fix"))  # at most one text's words
+    n_garbled = garbled.count()
+    if n_garbled <= broadcast_words:
+        met = words.join(F.broadcast(garbled), "word")
+    else:  # a frequent word must not meet all its records in one task
+        spread = garbled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = words.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["word", "salt"])
+    hit = met.groupBy("id").agg(F.collect_set(F.struct("word", "back", "step", "weak")).alias("fix"))  # at most one text's words
     firm = F.transform(F.filter("fix", lambda x: ~x["weak"]), lambda x: x["step"])
     sign = lambda x: x["word"].rlike("^\\p{L}$") & ~x["back"].rlike("\\p{L}")
     hit = hit.withColumn("fix", F.filter("fix", lambda x: ~x["weak"] | F.array_contains(firm, x["step"]) | sign(x))).filter(F.size("fix") > 0)
-    hit = hit.withColumn("fix", F.struct(F.col("fix").alias("words"), (F.size(firm) == 0).alias("signs")))
-    filled = chunks.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = filled.join(hit, "id", "left").filter(F.col("fix").isNotNull() | F.col("text").rlike(LOST + "|" + CONTROL))
+    hit = hit.select("id", F.struct(F.col("fix").alias("words"), (F.size(firm) == 0).alias("signs")).alias("fix"))
+    if plain:
+        hit = hit.join(seen.filter("broken").select("id").distinct(), "id", "full")
+    hit = staged(hit, "cases")
+    cases = F.broadcast(hit) if hit.count() <= 100_000 else hit
+    rows = chunks.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(cases, "id")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,11 +388,11 @@ def garbled_records(chunks: DataFrame, key: str = "id", text: str = "text") -> D
                 back = {f["word"]: f["back"] for f in fix["words"]} if fix else {}
                 if fix and fix["signs"]:  # single letters for signs: only between longer words, not in spaced-out ones
                     back = {w: b for w, b in back.items() if re.search(rf"\w\w\W*\s{re.escape(w)}\s\W*\w\w", t)}
-                if not back and not _BROKEN.search(t):
+                if not back and not (plain and _BROKEN.search(t)):
                     continue
                 keep.append(k)
                 out = _WORD.sub(lambda m, back=back: back.get(m.group(), m.group()), t) if back else t
-                texts.append(_undo_shift_jis(out) if _BROKEN.search(out) else out)
+                texts.append(_undo_shift_jis(out) if plain and _BROKEN.search(out) else out)
                 sizes.append(len(back))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "restored", "n_words"])
 

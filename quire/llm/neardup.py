@@ -167,7 +167,7 @@ def _differ(maps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def multi_match(size: int, counts: np.ndarray, t: float, cheap: int, least: int = 3, part: int = 12) -> int:
+def multi_match(size: int, counts: np.ndarray, t: float, cheap: int, least: int = 3, part: int = 20) -> int:
     """How many prefix shingles a record may ask a partner to share: ``least``, and one more for each further shingle
     of its prefix that is met at most ``cheap`` times, up to ``least`` and a ``part``-th of the record.
 

@@ -82,3 +82,28 @@ def test_characters_the_collection_does_not_have(spark):
     assert got == bad
     assert encoding.undo_word("сад", ("utf_8", "cp866"), frozenset("сад")) is None
     assert encoding.undo_word("plášť", ("utf_8", "cp1250"), frozenset("áš")) is None
+
+
+def test_method_alone_needs_twins(spark):
+    clean, bad = texts()
+    rows = [*clean, *bad, (202, "lost Z\ufffdrich"), (300, " ".join(garble(w, ("cp1251", "cp1252")) for w in CYRILLIC))]
+    rows += [(400 + n, " ".join(CYRILLIC)) for n in range(5)]
+    got = {r.id: r.restored for r in encoding.garbled_records(spark.createDataFrame(rows, "id long, text string"), plain=False).collect()}
+    assert got == {i: " ".join([*WORDS, f"Nr {i - 100}"]) for i, _ in bad}  # neither lost characters nor what leaves nothing to align
+
+
+def test_runs_that_no_step_explains_are_learned(spark):
+    words = ["früh", "für", "über", "grün", "müde", "kühl", "süß"]
+    clean = [(n, " ".join(words)) for n in range(9)]
+    odd = [(20, " ".join(w.replace("ü", "§§·") for w in words[:6])), (21, "das fünfte Gemüse".replace("ü", "§§·"))]
+    got = {r.id: r.restored for r in encoding.garbled_records(spark.createDataFrame([*clean, *odd], "id long, text string"), plain=False).collect()}
+    assert got == {20: " ".join(words[:6]), 21: "das fünfte Gemüse"}
+
+
+def test_hot_words_are_salted_and_null_keys_left_out(spark):
+    clean, bad = texts()
+    rows = [*clean, *bad, (None, bad[0][1]), (500, bad[0][1])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {(r.id, r.restored) for r in encoding.garbled_records(df).collect()}
+    assert {i for i, _ in want} == {i for i, _ in bad} | {500}
+    assert {(r.id, r.restored) for r in encoding.garbled_records(df, broadcast_words=0, salts=3).collect()} == want
