@@ -46,6 +46,11 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.aggregate_ranks(table(spark, d, "hits"))
 
 
+def p4_method(spark: SparkSession, d: str) -> DataFrame:
+    """What decoding the de-lined stream of every page gives by itself: words healed and repaired, paragraphs."""
+    return scans.repaired_pages(table(spark, d, "document_chunks"), table(spark, d, "documents"), plain=False).drop("label")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.page_noise(table(spark, d, "document_chunks"), table(spark, d, "documents"))
 
@@ -128,7 +133,7 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_neighbours, p2_method, p2_found, p2_restored, p3_found, p3_ranking, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
+    own = [p1_found, p1_neighbours, p2_method, p2_found, p2_restored, p3_found, p3_ranking, p4_method, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
     return {f.__name__: f for f in own}
 
 
