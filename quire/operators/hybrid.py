@@ -60,14 +60,15 @@ def fused_top(ranked: DataFrame, k: int, tuning: Tuning = Tuning()) -> DataFrame
     return fuse(ranked, tuning).withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", filters: Filters = Filters(), tuning: Tuning = Tuning(), stem: bool = True, ready_first: bool = False) -> DataFrame:
+def hybrid_search(chunks: DataFrame, documents: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", filters: Filters = Filters(), tuning: Tuning = Tuning(), stem: bool = True, ready_first: bool = False, index: fulltext.Index | None = None) -> DataFrame:
     """(question_id, rank, id, score, round): ranked hits of every query, one job for all queries.
 
     ``queries`` has question_id, question and, for the semantic leg, embedding; ``embeddings`` (id, embedding).  The
     lexical leg ranks after the ready, document, kind and page filters and before the section filter; the semantic
     leg ranks among all vectors of the document (all ready ones with ``ready_first``), other filters come after.
     Each leg fetches twice k, or 32 times k where filters follow it; while a query has fewer than k hits and such a
-    leg was full, its limit doubles, three times at most.  All rounds come from the ranks of the widest one.
+    leg was full, its limit doubles, three times at most.  All rounds come from the ranks of the widest one.  ``index``
+    is the full-text index of the chunks; without it that of ``fulltext.index_of`` is taken.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1 to 50")
@@ -89,7 +90,7 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, embeddings: DataFrame
     widest = {leg: limit[leg] * (1 << DOUBLINGS if post[leg] else 1) for leg in post}
     legs = []
     if mode != "semantic":
-        lex = fulltext.top_ranked(fulltext.bm25(chunks, queries, stem, pushed.select("id")), widest["lexical"])
+        lex = fulltext.top_ranked(fulltext.bm25(index or fulltext.index_of(chunks.select("id", "text"), stem), queries, pushed.select("id")), widest["lexical"])
         legs.append(lex.select("question_id", "id", F.lit("lexical").alias("leg"), "rank"))
     if mode != "lexical":
         pool = embeddings

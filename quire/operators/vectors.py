@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.plans.storage import staged
+
+_WORD = re.compile(r"[^\W_]+")
+
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
@@ -23,35 +31,115 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, within: str | None = None, slices: int = 8, block: int = 1024) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
+
+
+class _Best:
+    """The k nearest rows met so far of every query of a block."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.q, self.k = queries.astype(np.float32), k
+        self.own = (self.q.astype(np.float64) ** 2).sum(1)
+        self.limit = np.full(len(queries), np.inf)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, which: np.ndarray, ids: np.ndarray, x: np.ndarray, rows: int = 2_048) -> None:
+        """Queries ``which`` meet all rows of ``x``.  Products are in float32; what may be among the k by them is
+        computed again in float64."""
+        for lo in range(0, len(x), rows):
+            y = x[lo : lo + rows]
+            own = (y.astype(np.float64) ** 2).sum(1)
+            d2 = self.own[which][:, None] + own[None] - 2 * (self.q[which] @ y.T).astype(np.float64)
+            slack = 1e-5 * (1 + self.own[which] + own.max(initial=0.0))
+            limit = self.limit[which]
+            if len(y) >= self.k:
+                limit = np.minimum(limit, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(d2 <= (limit + slack)[:, None])
+            d = np.empty(len(i))
+            for a in range(0, len(i), 16_384):
+                gap = self.q[which[i[a : a + 16_384]]].astype(np.float64) - y[j[a : a + 16_384]]
+                d[a : a + 16_384] = np.einsum("ij,ij->i", gap, gap)
+            self.rows.append((which[i], ids[lo + j], np.sqrt(d)))
+            self.held += len(i)
+            if self.held > 4 * self.k * len(self.q) + 100_000:
+                self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, n, d = (np.concatenate(c) for c in zip(*self.rows)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((n, np.round(d, 9), q))
+        q, n, d = q[order], n[order], d[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        last = nth == self.k - 1
+        self.limit[q[last]] = d[last] ** 2
+        keep = nth < self.k
+        self.rows, self.held = [(q[keep], n[keep], d[keep])], int(keep.sum())
+        return self.rows[0]
+
+
+def _scan(block: list, k: int, within: str | None):
+    """One pass over the vectors for a block of queries: each task keeps its own k best of every query."""
+    ids = np.array([r.question_id for r in block], dtype=np.int64)
+    queries = np.array([r.query for r in block], dtype=np.float32)
+    of: dict = {}
+    if within:
+        for n, r in enumerate(block):
+            of.setdefault(r.bound, []).append(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(queries, k)
+        everyone = np.arange(len(ids))
+        for batch in batches:
+            if not len(batch):
+                continue
+            vid, x = batch.column("id").to_numpy(), _matrix(batch.column("embedding"))
+            if not within:
+                best.meet(everyone, vid, x)
+                continue
+            coded = batch.column(within).dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for c, value in enumerate(coded.dictionary.to_pylist()):
+                if value in of:  # only vectors of the value meet the queries of it
+                    at = np.flatnonzero(code == c)
+                    best.meet(np.array(of[value]), vid[at], x[at])
+        q, n, d = best.shrink()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(n), pa.array(d)], ["question_id", "id", "distance"])
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, within: str | None = None, block: int = 2_048, most_blocks: int = 16, slice_rows: int = 16_384) -> DataFrame:
     """(question_id, id, distance, rank): the k nearest vectors of every query, exactly.
 
     ``queries`` has (question_id, embedding), ``vectors`` (id, embedding), both with ``within`` where the search is
-    bound to equal values of it.  Queries are cut into blocks and vectors into slices; every block meets every slice
-    in one matrix product, and the slices' best are merged.  Distances are L2; ties go to the smaller id.
+    bound to equal values of it.  Queries go out in blocks of ``block`` to where the vectors are, every task keeps its k
+    best, and these are merged, so no vector is shuffled and a task's memory depends on neither number.  Beyond
+    ``most_blocks`` blocks the driver holds no queries: blocks and slices of about ``slice_rows`` vectors are brought
+    together instead.  Distances are L2; ties go to the smaller id.
     """
-    n_blocks = max(1, -(-queries.count() // block))
     own = [within] if within else []
-    q = queries.select("question_id", F.col("embedding").alias("query"), *[F.col(c).alias("bound") for c in own]).withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    v = vectors.select("id", "embedding", *own).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"question_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        a = np.stack(left.column("query").to_numpy()).astype(np.float64)
-        b = np.stack(right.column("embedding").to_numpy()).astype(np.float64)
-        qid, vid = left.column("question_id").to_numpy(), right.column("id").to_numpy()
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        if within:
-            d2 = np.where(np.array(left.column("bound").to_pylist(), dtype=object)[:, None] == np.array(right.column(within).to_pylist(), dtype=object)[None], d2, np.inf)
-        take = min(k, len(vid))
-        limit = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        i, j = np.nonzero((d2 <= limit[:, None] + 1e-9) & np.isfinite(d2))
-        d = np.sqrt(((a[i] - b[j]) ** 2).sum(1)) if len(i) else np.zeros(0)
-        return pa.table({"question_id": pa.array(qid[i], pa.int64()), "id": pa.array(vid[j], pa.int64()), "distance": pa.array(d)})
-
-    parts = q.groupBy("block", "slice").cogroup(v.groupBy("block", "slice")).applyInArrow(best, "question_id long, id long, distance double")
+    q = staged(queries.select("question_id", F.col("embedding").alias("query"), *[F.col(c).alias("bound") for c in own]), "queries")
+    n_blocks = -(-q.count() // block)
+    v = vectors.select("id", "embedding", *own)
+    out = "question_id long, id long, distance double"
+    if n_blocks <= most_blocks:
+        rows = q.collect()  # block * most_blocks at most
+        parts = None
+        for at in range(0, max(1, len(rows)), block):
+            one = v.mapInArrow(_scan(rows[at : at + block], k, within), out) if rows else v.sparkSession.createDataFrame([], out)
+            parts = one if parts is None else parts.unionByName(one)
+    else:
+        slices = max(1, -(-v.count() // slice_rows))
+        left = q.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        right = v.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            rows = [SimpleNamespace(**r) for r in a.to_pylist()]
+            got = list(_scan(rows, k, within)(iter(b.combine_chunks().to_batches()))) if rows else []
+            return pa.Table.from_batches(got, pa.schema([("question_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]))
+
+        parts = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(meet, out)
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("distance", 9), "id"))
     return parts.withColumn("rank", nth).filter(F.col("rank") <= k)
 
@@ -70,11 +158,57 @@ def stub_buckets(texts: DataFrame, key: str, text: str, dim: int = 384) -> DataF
     return buckets.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
-def stub_embed(texts: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
+class StubEmbedder:
+    """The deterministic bag-of-words embedder: every word counts at the place its FNV-1a hash names; length 1.
+
+    Any object with ``name``, ``dim`` and ``embed(texts) -> array`` can take its place; ``query_prefix`` goes before a
+    question."""
+
+    name, dim, query_prefix = "stub-fnv1a-384", 384, ""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        got = self.places.get(word)
+        if got is None:
+            h = FNV_OFFSET
+            for c in word:
+                h = ((h ^ ord(c)) * FNV_PRIME) & 0xFFFFFFFF
+            if len(self.places) > 1_000_000:
+                self.places.clear()
+            got = self.places[word] = h % self.dim
+        return got
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for k, text in enumerate(texts):
+            found = [self.place(w) for w in _WORD.findall(text.lower())]
+            out[k] = np.bincount(found, minlength=self.dim) if found else 0
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)).astype(np.float32)
+
+
+def embed(texts: DataFrame, key: str, text: str, embedder: object | None = None, batch: int = 64) -> DataFrame:
+    """(key, embedding) of every text by an embedder, ``batch`` at a time in one pass; null counts as empty.  An embedder
+    that does not give one vector of its dimension for each text raises an error."""
+    maker = embedder or StubEmbedder()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            given = [t or "" for t in rows.column(1).to_pylist()]
+            for at in range(0, len(given), batch):
+                got = np.asarray(maker.embed(given[at : at + batch]), dtype=np.float32)
+                if got.shape != (len(given[at : at + batch]), maker.dim):
+                    raise ValueError(f"{maker.name} gave {got.shape} for {len(given[at : at + batch])} texts")
+                offsets = pa.array(np.arange(len(got) + 1) * maker.dim, pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(at, len(got)), pa.ListArray.from_arrays(offsets, pa.array(got.ravel()))], [key, "embedding"])
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
+def stub_embed(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, embedding) by the bag-of-words embedder; a text without words gives all zeros."""
-    b = stub_buckets(texts, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float"))
-    return texts.select(key).join(b, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(vec).alias("embedding"))
+    return embed(texts, key, text)
 
 
 def embed_input(title: Column, path: Column, overlap: Column, text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import pieces, text
 from quire.operators import chunker, evaluation, fulltext, hybrid, lookups, vectors
 from quire.plans import ingest
-from quire.plans.storage import table
+from quire.plans.storage import kept, table
 from quire.sources import markup, route
 from quire.sources.files import verify_manifest
 
@@ -141,7 +141,7 @@ def match_expressions(s, d):
 
 
 def _bm25(s, d, only=None, stem=False):
-    scores = fulltext.bm25(chunks_of(s, d), table(s, d, "questions"), stem, only)
+    scores = fulltext.bm25(fulltext.index_of(chunks_of(s, d).select("id", "text"), stem), table(s, d, "questions"), only)
     return fulltext.top_ranked(scores, 10).select("question_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -231,7 +231,8 @@ def _question_vectors(s, d):
 
 
 def _chunk_vectors(s, d):
-    return vectors.stub_embed(chunks_of(s, d), "id", "text")
+    chunks = chunks_of(s, d).select("id", "text")
+    return kept(chunks, "vectors", lambda: vectors.stub_embed(chunks, "id", "text"))
 
 
 def _search(s, d, **how):

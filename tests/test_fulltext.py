@@ -26,7 +26,7 @@ def test_bm25_equals_sqlite(spark, chunks, stem):
     for question, match in [("badger mill", '"badger" OR "mill"'), ("self-attention", '"self-attention"'), ("don't run cafe", '"don\'t" OR "run" OR "cafe"'), ("mill mill", '"mill" OR "mill"')]:
         want = dict(con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,)).fetchall())
         q = spark.createDataFrame([(1, question)], "question_id long, question string")
-        got = {r.id: r.score for r in fulltext.bm25(chunks, q, stem).collect()}
+        got = {r.id: r.score for r in fulltext.bm25(fulltext.index_of(chunks, stem), q).collect()}
         assert got.keys() == want.keys(), question
         assert all(abs(got[k] - want[k]) < 1e-6 for k in want), (question, got, want)
 
@@ -44,7 +44,7 @@ def test_porter_equals_sqlite():
 
 def test_phrases_positions_and_empty_queries(spark, chunks):
     q = spark.createDataFrame([(1, "???"), (2, None)], "question_id long, question string")
-    assert fulltext.bm25(chunks, q).count() == 0
+    assert fulltext.bm25(fulltext.index_of(chunks), q).count() == 0
     assert spark.range(1).select(fulltext.match_expression(F_lit("a b-c ?"))).first()[0] == '"a" OR "b-c"'
 
 

@@ -79,6 +79,52 @@ def test_knn_ties_take_the_smaller_id(spark):
     assert [r.id for r in vectors.knn(q, v, 2).orderBy("rank").collect()] == [1, 3]
 
 
+def test_knn_by_scan_and_by_slices_is_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(700, 8)).astype(np.float32)
+    x[5] = x[6]
+    v = spark.createDataFrame([(n, [float(a) for a in r], f"d{n % 3}") for n, r in enumerate(x)], "id long, embedding array<float>, document_id string")
+    q = v.filter("id % 10 = 5").withColumnRenamed("id", "question_id")
+    for within in (None, "document_id"):
+        want = set()
+        for a in range(5, 700, 10):
+            d = np.sqrt(((x.astype(float) - x[a]) ** 2).sum(1))
+            pool = [n for n in range(700) if not within or n % 3 == a % 3]
+            want |= {(a, n, k + 1) for k, n in enumerate(sorted(pool, key=lambda n: (round(d[n], 9), n))[:4])}
+        for how in ({}, {"block": 8}, {"block": 8, "most_blocks": 1, "slice_rows": 100}):
+            assert {(r.question_id, r.id, r["rank"]) for r in vectors.knn(q, v, 4, within, **how).collect()} == want
+    assert vectors.knn(q.limit(0), v, 4).count() == 0 and vectors.knn(q, v.limit(0), 4).count() == 0
+
+
+def test_an_embedder_must_give_a_vector_for_each_text(spark):
+    class Short(vectors.StubEmbedder):
+        def embed(self, texts):
+            return super().embed(texts)[:-1]
+
+    t = spark.createDataFrame([(n, "some words") for n in range(3)], "id long, text string")
+    with pytest.raises(Exception, match="gave"):
+        vectors.embed(t, "id", "text", Short()).collect()
+
+
+def test_an_index_is_written_once_and_read_by_term(spark, tmp_path):
+    from quire.operators import fulltext
+
+    rows = [(n, f"common word{n} and more text {n % 7}") for n in range(200)]
+    path = str(tmp_path / "chunks.parquet")
+    spark.createDataFrame(rows, "id long, text string").write.parquet(path)
+    one, two = (fulltext.index_of(spark.read.parquet(path)) for _ in range(2))
+    assert one.rows.inputFiles() == two.rows.inputFiles()
+    q = spark.createDataFrame([(1, "word17 absent")], "question_id long, question string")
+    found = fulltext.bm25(one, q)
+    assert [r.id for r in found.collect()] == [17]
+    scan = one.of_terms(spark.createDataFrame([("word17",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [word17])]" in scan or "EqualTo(term,word17)" in scan
+    spark.createDataFrame([(500, "fresh text")], "id long, text string").write.mode("append").parquet(path)
+    assert fulltext.index_of(spark.read.parquet(path)).rows.inputFiles() != one.rows.inputFiles()
+
+
 def test_stub_embedding_is_unit_and_matches_fnv(spark):
     def fnv(t):
         h = 2166136261
