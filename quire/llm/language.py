@@ -136,19 +136,22 @@ class Profiles:
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cosine of every text with every prototype, and its number of trigrams.
 
-        The length of a bundle of n nearly orthogonal trigram vectors is taken as sqrt(n * dim).
+        Vectors of different trigrams are nearly orthogonal, so the length of a bundle is that of its counts: the square
+        root of dim times the sum of their squares.
         """
         plain = [" " + _NOT_LETTERS.sub(" ", t.lower()).strip() + "  " for t in texts]
         c = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         ends = np.cumsum([len(p) for p in plain])
         n = np.diff(np.concatenate([[0], ends])) - 3  # the last blank of each keeps texts apart
-        sums = np.zeros((len(texts), len(self.langs)))
+        sums, squares = np.zeros((len(texts), len(self.langs))), np.ones(len(texts))
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + 1_000_000)))
             a, b = int(ends[first - 1]) if first else 0, int(ends[last - 1])
             part = c[a:b]
-            s = self.scores(self._keys(part))
+            keys = self._keys(part)
+            squares[first:last] = self._squares(keys, ends[first:last] - a)
+            s = self.scores(keys)
             s = np.concatenate([s, np.zeros((2, s.shape[1]), s.dtype)])
             at = np.concatenate([[0], ends[first : last - 1] - a]).astype(np.int64)
             edge = np.concatenate([at[1:], [b - a]])
@@ -156,7 +159,19 @@ class Profiles:
             s[edge - 2] = 0
             sums[first:last] = np.add.reduceat(s, at, axis=0)
             first = last
-        return sums / np.sqrt(np.maximum(n, 1) * float(self.dim))[:, None], n
+        return sums / np.sqrt(squares * float(self.dim))[:, None], n
+
+    @staticmethod
+    def _squares(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sum of the squared counts of each text's trigrams; ``ends`` are where the texts end."""
+        of = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[: len(keys)]
+        own = np.arange(len(keys)) < ends[of] - 2  # not those that reach into the next text
+        # equal (text, trigram) pairs have equal sums of hashes, and others do not but by a chance of 2**-40 or so
+        mixed = np.sort((keys[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) + (of[own].astype(np.uint64) << np.uint64(40)))
+        new = np.concatenate([[True], np.diff(mixed) != 0]) if len(mixed) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        times = np.diff(np.concatenate([at, [len(mixed)]])).astype(float)
+        return np.maximum(1.0, np.bincount((mixed[at] >> np.uint64(40)).astype(np.int64), weights=times**2, minlength=len(ends)))
 
 
 def _sentences(text: str) -> list[tuple[int, int]]:

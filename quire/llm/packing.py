@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions.text import wordpunct_count
+from quire.plans.prefix import prefix_sums
 from quire.plans.storage import staged
 
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -101,31 +104,44 @@ def plan_containers(hist: np.ndarray, window: int = 8) -> Plan:
     return plan
 
 
-def pack(documents: DataFrame, capacity: int = 1024, window: int = 8, salts: int = 64) -> DataFrame:
+def _place(places: dict[int, list[tuple[int, int, int]]]) -> Callable:
+    """The container of the rank-th piece of a length: the last run of places that begins at or before it."""
+    tables = {length: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for length, rows in places.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, rank = batch.column("tokens").to_numpy(), batch.column("nth").to_numpy() - 1
+            out = np.zeros(len(rank), dtype=np.int64)
+            for length in np.unique(tokens):
+                start, container, per = tables[int(length)]
+                mine = tokens == length
+                at = np.searchsorted(start, rank[mine], side="right") - 1
+                out[mine] = container[at] + (rank[mine] - start[at]) // per[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "n_pieces", "tokens")), pa.array(out)], ["doc_id", "piece", "n_pieces", "tokens", "container"])
+
+    return run
+
+
+def pack(documents: DataFrame, capacity: int = 1024, window: int = 8) -> DataFrame:
     """Put every document into containers of ``capacity`` wordpunct tokens.
 
     A document of at most ``capacity`` tokens stays whole; a longer one is cut into full pieces and a rest.  The
     histogram of piece lengths (``capacity`` numbers, whatever the data) is matched by repeat counts of shallow
     combinations, found by non-negative least squares, rounded, and the residual is packed greedily.  Pieces of
-    one length are numbered over hash salts, so no length is gathered in one task, and the k-th takes the k-th
+    one length are numbered by distributed prefix sums, so no length is gathered in one task, and the k-th takes the k-th
     place the plan has for that length.
 
     Result: doc_id, piece, n_pieces, tokens, container.  Documents without tokens (null or empty text) need no
     room: one row with piece 0, n_pieces 0, tokens 0 and a null container.  Repeated rows are packed each.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id"), F.coalesce(wordpunct_count(F.col("text")), F.lit(0)).cast("long").alias("size"))
-    docs = docs.withColumn("n_pieces", F.ceil(F.col("size") / F.lit(float(capacity))).cast("int"))
+    docs = staged(docs.withColumn("n_pieces", F.ceil(F.col("size") / F.lit(float(capacity))).cast("int")), "sizes")
     items = docs.filter("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     items = items.withColumn("tokens", F.when(F.col("piece") < F.col("n_pieces") - 1, F.lit(capacity)).otherwise(F.col("size") - F.col("piece").cast("long") * capacity).cast("int"))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    items = staged(items.select("doc_id", "piece", "n_pieces", "tokens", "salt"), "items")
-    counts = {(r.tokens, r.salt): r.n for r in items.groupBy("tokens", "salt").agg(F.count("*").alias("n")).collect()}  # at most capacity * salts rows
+    items = items.select("doc_id", "piece", "n_pieces", "tokens", F.lit(1).alias("one"))
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    first = {}
-    for (length, salt), n in sorted(counts.items()):
-        first[(length, salt)] = int(hist[length])
-        hist[length] += n
+    for r in items.groupBy("tokens").agg(F.count("*").alias("n")).collect():  # capacity rows at most
+        hist[r.tokens] = r.n
     places: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
     container = 0
@@ -135,13 +151,8 @@ def pack(documents: DataFrame, capacity: int = 1024, window: int = 8, salts: int
             places.setdefault(length, []).append((start, container, per))
             used[length] = start + per * times
         container += times
-    offsets = spark.createDataFrame([(a, b, n) for (a, b), n in first.items()] or [(-1, -1, 0)], "tokens int, salt int, first long")
-    table = spark.createDataFrame([(k, v) for k, v in places.items()] or [(-1, [])], "tokens int, places array<struct<start:long,container:long,per:int>>")
-    nth = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece"))
-    placed = items.withColumn("nth", nth).join(F.broadcast(offsets), ["tokens", "salt"]).join(F.broadcast(table), "tokens")
-    placed = placed.withColumn("rank", F.col("first") + F.col("nth") - 1)
-    at = F.element_at(F.filter("places", lambda p: p["start"] <= F.col("rank")), -1)
-    placed = placed.withColumn("at", at).withColumn("container", F.col("at.container") + F.floor((F.col("rank") - F.col("at.start")) / F.col("at.per")))
-    cols = ["doc_id", "piece", "n_pieces", "tokens", F.col("container").cast("long").alias("container")]
+    ranked = prefix_sums(items, ["tokens"], ["doc_id", "piece"], "one", "nth").drop("one")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = ranked.mapInArrow(_place(places), f"doc_id {kind}, piece int, n_pieces int, tokens int, container long")
     none = docs.filter("size = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_pieces"), F.lit(0).alias("tokens"), F.lit(None).cast("long").alias("container"))
-    return placed.select(*cols).unionByName(none)
+    return placed.unionByName(none)

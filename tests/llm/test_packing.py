@@ -29,7 +29,7 @@ def test_plan_uses_the_histogram_exactly_and_fills_well(seed):
 
 def test_pack(spark):
     texts = ["a " * k for k in (10, 500, 514, 1024, 1025, 3000, 1, 1)] + [None, "", "  \n", "x,y!! _z9"] + ["b " * 100] * 30
-    df = spark.createDataFrame([(n, t, 1, 2) for n, t in enumerate(texts)] + [(0, texts[0], 1, 2)], "doc_id long, text string, container int, salt int")
+    df = spark.createDataFrame([(n, t, 1, 2) for n, t in enumerate(texts)] + [(0, texts[0], 1, 2)], "doc_id long, text string, container int, nth int")
     rows = packing.pack(df).collect()
     sizes = {}
     for r in rows:
