@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import chunker, hybrid
-from quire.operators.vectors import stub_embed
-from quire.plans.ingest import Snapshots, without_documents
+from quire.operators import chunker, fulltext, hybrid
+from quire.operators.vectors import StubEmbedder, embed
+from quire.plans import ingest as plans
+from quire.plans.ingest import Snapshots
 
 
 class ToolError(ValueError):
@@ -66,10 +67,11 @@ class Library:
     """Search, outline, context and delete over the current snapshot."""
 
     index: Snapshots
+    embedder: object = field(default_factory=StubEmbedder)
     tables: dict[str, DataFrame] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.index.check()
+        self.index.check(self.embedder.name, self.embedder.dim)
         self.refresh()
 
     def refresh(self) -> None:
@@ -80,14 +82,38 @@ class Library:
         if len(query.strip()) < 2:
             raise ToolError("a query has two characters or more")
         spark = self.index.spark
-        q = spark.createDataFrame([(0, query)], "question_id long, question string")
-        q = q.join(stub_embed(q, "question_id", "question"), "question_id")
+        q = spark.createDataFrame([(0, query, f"{self.embedder.query_prefix}{query}")], "question_id long, question string, asked string")
+        q = q.join(embed(q, "question_id", "asked", self.embedder), "question_id")
         chunks, docs = self.tables["chunks"], self.tables["documents"]
-        hits = hybrid.hybrid_search(chunks, docs, self.tables["vectors"].select("id", "embedding"), q, k, mode, filters)
+        hits = hybrid.hybrid_search(chunks, docs, self.tables["vectors"].select("id", "embedding"), q, k, mode, filters, index=fulltext.Index(self.tables["postings"], stem=True))
         rows = hits.join(chunks, "id").join(docs.select("document_id", "title", "source_path"), "document_id").join(chunker.describe_location(chunks), "id")
-        snippet = F.udf(lambda t: hybrid.semantic_snippet(t or "", query), "string")
+        snippet = F.udf(lambda t: hybrid.semantic_snippet(t or "", query), "string")  # k rows at most
         return rows.select("rank", "id", "document_id", "title", "source_path", "kind", "seq", "location", "score", snippet("text").alias("snippet")).orderBy("rank")
 
+    def processing(self) -> DataFrame:
+        """Documents that are being indexed, so not yet searched: document_id, title, chunk_count, the oldest first."""
+        return self.tables["documents"].filter("ingest_status = 'processing'").orderBy("updated_at", "document_id").select("document_id", "title", "chunk_count")
+
+    def search_reply(self, query: str, **how) -> dict:
+        """Hits, and what is being indexed and so may be missing among them."""
+        hits = [r.asDict() for r in self.search(query, **how).collect()]
+        return {"hits": hits, "processing_documents": [r.asDict() for r in self.processing().collect()]}
+
+    def outline_reply(self, document_id: str, max_depth: int = 3) -> dict:
+        """State of a document and its outline; one that is not ready has no entries yet."""
+        entries = self.outline(document_id, max_depth)  # refuses what is unknown
+        row = self.tables["documents"].filter(F.col("document_id") == document_id).first()
+        state = {c: row[c] for c in ("document_id", "title", "format", "ingest_status", "chunk_count", "locator_count", "error_message", "ingest_warning")}
+        return {**state, "entries": [r.asDict() for r in entries.collect()] if row.ingest_status == "ready" else []}
+
+    def ingest(self, files: DataFrame, **how) -> DataFrame:
+        """Index a batch of files (see ``plans.ingest.as_files``): source_path, outcome, document_id, title, format, status,
+        locator_count, reused, warning, error.  A file in the way of another ingest is an error by itself."""
+        done = plans.ingest(self.index, files, embedder=self.embedder, **how)
+        self.refresh()
+        docs = self.tables["documents"].select("sha256", "document_id", "title", "format", F.col("ingest_status").alias("status"), "locator_count", F.col("ingest_warning").alias("warning"), F.col("error_message").alias("error"))
+        return done.join(docs, "sha256", "left").select("source_path", "outcome", "document_id", "title", "format", "status", "locator_count", (F.col("outcome") == "reused").alias("reused"), "warning", "error")
+
     def documents(self) -> DataFrame:
         return self.tables["documents"].orderBy(F.desc("created_at"), "document_id")
 
@@ -120,6 +146,6 @@ class Library:
             raise ToolError("the document is being processed")
         n = self.tables["chunks"].filter(F.col("document_id") == document_id).count()
         gone = self.index.spark.createDataFrame([(document_id,)], "document_id string")
-        self.index.publish(without_documents(self.tables, gone))
+        plans.delete(self.index, self.tables, gone)
         self.refresh()
         return n

@@ -307,11 +307,12 @@ def docx_blocks(content: bytes) -> Iterator[Block]:
     yield from close()
 
 
-def docx_metadata(content: bytes, name: str) -> tuple[str, int]:
-    archive = open_zip(content, lambda n, size: n in ("word/document.xml", "docProps/core.xml"))
+def docx_metadata(content: bytes, name: str, blocks: list[Block] | None = None) -> tuple[str, int]:
+    """(title, locator count) of a Word document; ``blocks`` are its blocks if they are known."""
+    archive = open_zip(content, lambda n, size: n == "docProps/core.xml")
     core = archive.get("docProps/core.xml")
     title = _first(ElementTree.fromstring(core), "title") if core else None
-    heads = [b for b in docx_blocks(content) if b.kind == "heading"]
+    heads = [b for b in (docx_blocks(content) if blocks is None else blocks) if b.kind == "heading"]
     top = next((b.text.lstrip("# ") for b in heads if b.level == 1), None)
     return ((title.text or "").strip() if title is not None else "") or top or name, max(1, sum((b.level or 9) <= 2 for b in heads))
 

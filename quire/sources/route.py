@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +59,39 @@ def ooxml_kind(content: bytes) -> str | None:
     return "docx" if word and not slides else "pptx" if slides and not word else None
 
 
-def route(files: DataFrame, ocr: bool = True) -> DataFrame:
-    """(path, format, engine, refusal) of files (path, content): zip archives are looked into, refusals named."""
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = []
+        for path, content, sniffed in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), batch.column("format").to_pylist()):
+            if sniffed == "zip":
+                ext = path.lower().rsplit(".", 1)[-1]
+                sniffed = ooxml_kind(content) or (ext if ext in ("docx", "pptx") else "binary")
+            kinds.append(sniffed)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content"), pa.array(kinds, pa.string())], ["path", "content", "format"])
 
-    @F.udf("string")
-    def kind(content: bytes, path: str) -> str:
-        ext = path.lower().rsplit(".", 1)[-1]
-        return ooxml_kind(content) or (ext if ext in ("docx", "pptx") else "binary")
 
-    first = files.withColumn("sniffed", sniff(F.col("content"), F.col("path")))
-    zips = first.filter("sniffed = 'zip'").select("path", kind("content", "path").alias("format"))
-    rest = first.filter("sniffed <> 'zip'").select("path", F.col("sniffed").alias("format"))
+def route(files: DataFrame, ocr: bool = True, probes: DataFrame | None = None) -> DataFrame:
+    """(path, content, format, engine, refusal) of files (path, content), in one pass over them.
+
+    Zip archives are looked into, formats that are not read are refused by name.  ``probes`` (path, image_only, garbled,
+    see ``probe``) tells of PDF files whose text layer is of no use: they are recognised from their images (all pages,
+    if the layer is garbled and there is more than images), or refused where recognition is off.
+    """
+    first = files.select("path", "content", sniff(F.col("content"), F.col("path")).alias("format"))
+    kinds = first.mapInArrow(_kinds, "path string, content binary, format string")
     refusal = F.create_map(*[F.lit(x) for pair in REFUSALS.items() for x in pair])[F.col("format")]
-    return zips.unionByName(rest).select("path", "format", F.when(refusal.isNull(), "ts-fast").alias("engine"), refusal.alias("refusal"))
+    if probes is None:
+        kinds = kinds.withColumn("image_only", F.lit(False)).withColumn("garbled", F.lit(False))
+    else:
+        kinds = kinds.join(probes.select("path", "image_only", "garbled"), "path", "left")
+    poor = F.coalesce((F.col("format") == "pdf") & (F.col("image_only") | F.col("garbled")), F.lit(False))
+    off = poor & F.lit(not ocr)
+    return kinds.select(
+        "path", "content", "format",
+        F.when(refusal.isNull() & ~off, F.when(poor, "ts-ocr").otherwise("ts-fast")).alias("engine"),
+        (poor & ~F.col("image_only")).alias("force_ocr"),
+        F.coalesce(refusal, F.when(off, F.lit("the text layer cannot be used and recognition is off"))).alias("refusal"),
+    )
 
 
 def sample_pages(pages: Column, most: int = 8) -> Column:

@@ -7,29 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.plans.ingest import Snapshots, ingest
-from quire.sources.files import MAX_BYTES, decode
-from quire.sources.markup import parse_text
+from quire.sources.files import MAX_BYTES
+from quire.sources.route import route
 
 #: What the binary file source gives.
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def as_text_files(files: DataFrame) -> DataFrame:
-    """(source_path, format, title, text) of binary Markdown and text files."""
-    to_text = F.udf(decode, "string")
+def watch(index: Snapshots, folder: str, checkpoint: str, once: bool = False, **how) -> StreamingQuery:
+    """Route and ingest files as they appear; with ``once``, all that are there, then stop.  ``how`` goes to ``ingest``."""
+    stream = index.spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.{md,markdown,txt,docx,pdf}").load(folder).filter(F.col("length") <= MAX_BYTES)
     name = F.element_at(F.split("path", "/"), -1)
-    format_ = F.when(F.lower("path").rlike("\\.(md|markdown)$"), "md").otherwise("txt")
-    return files.select(name.alias("source_path"), format_.alias("format"), F.regexp_replace(name, "\\.[^.]*$", "").alias("title"), to_text("content").alias("text"))
-
-
-def watch(index: Snapshots, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Ingest Markdown and text files as they appear; with ``once``, all that are there, then stop."""
-    stream = index.spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.{md,markdown,txt}").load(folder).filter(F.col("length") <= MAX_BYTES)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        files = as_text_files(df)
         if not df.isEmpty():
-            ingest(index, files, parse_text)
+            routed = route(df.select("path", "content"))
+            ingest(index, routed.select(name.alias("source_path"), "format", "engine", "refusal", "content"), **how)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -128,6 +128,16 @@ TITLES = {
 }
 
 
+def test_route_by_probe(spark):
+    rows = [(n, b"%PDF-1.7") for n in ("scan.pdf", "bad.pdf", "good.pdf", "unknown.pdf")] + [("a.md", b"# x")]
+    files_ = spark.createDataFrame(rows, "path string, content binary")
+    probes = spark.createDataFrame([("scan.pdf", True, False), ("bad.pdf", False, True), ("good.pdf", False, False)], "path string, image_only boolean, garbled boolean")
+    got = {r.path: (r.engine, r.force_ocr, r.refusal) for r in route.route(files_, True, probes).collect()}
+    assert got == {"scan.pdf": ("ts-ocr", False, None), "bad.pdf": ("ts-ocr", True, None), "good.pdf": ("ts-fast", False, None), "unknown.pdf": ("ts-fast", False, None), "a.md": ("ts-fast", False, None)}
+    off = {r.path: (r.engine, r.refusal is not None) for r in route.route(files_, False, probes).collect()}
+    assert off["scan.pdf"] == (None, True) and off["bad.pdf"] == (None, True) and off["good.pdf"] == ("ts-fast", False)
+
+
 def test_titles_pages_and_layers(spark):
     t = spark.createDataFrame([(x,) for x in TITLES], "t string")
     assert [r[0] for r in t.select(route.usable_title(F.col("t"))).collect()] == list(TITLES.values())
