@@ -93,3 +93,40 @@ def porter(word: str) -> str:
 def porter_udf(terms: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return terms.map(lambda t: known[t] if t in known else known.setdefault(t, porter(t)))
+
+
+def stems_sql(words: str) -> str:
+    """Common table expressions that end in stems (w, s): the stem of every w of ``words``, said in SQL.
+
+    How often vowels and consonants change is told by patterns: C is a run of consonants, V of vowels."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    over = [f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}"]  # more than 0, more than 1
+    once, vowel, short = f"^({c})?{v}{c}({v})?$", f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+
+    def stem(n: int) -> str:
+        return f"left(s, len(s) - {n})"
+
+    def has(text: str, pattern: str) -> str:
+        return f"regexp_matches({text}, '{pattern}')"
+
+    def table(ends: dict[str, str], least: int) -> str:
+        order = sorted(ends, key=len, reverse=True)
+        return "CASE " + " ".join(f"WHEN s LIKE '%{e}' THEN CASE WHEN {has(stem(len(e)), over[least])} THEN {stem(len(e))} || '{ends[e]}' ELSE s END" for e in order) + " ELSE s END"
+
+    cut = {"ed": has(stem(2), vowel), "ing": has(stem(3), vowel)}
+    last4 = table({e: "" for e in _STEP4}, 1)
+    ion = f"WHEN s LIKE '%ion' THEN CASE WHEN {has(stem(3), '[st]$')} AND {has(stem(3), over[1])} THEN {stem(3)} ELSE s END "
+    steps = [
+        f"CASE WHEN s LIKE '%sses' OR s LIKE '%ies' THEN {stem(2)} WHEN s LIKE '%s' AND s NOT LIKE '%ss' THEN {stem(1)} ELSE s END AS s, false AS cut",
+        f"CASE WHEN s LIKE '%eed' THEN CASE WHEN {has(stem(3), over[0])} THEN {stem(1)} ELSE s END WHEN s LIKE '%ed' THEN CASE WHEN {cut['ed']} THEN {stem(2)} ELSE s END WHEN s LIKE '%ing' THEN CASE WHEN {cut['ing']} THEN {stem(3)} ELSE s END ELSE s END AS s, s NOT LIKE '%eed' AND CASE WHEN s LIKE '%ed' THEN {cut['ed']} WHEN s LIKE '%ing' THEN {cut['ing']} ELSE false END AS cut",
+        f"CASE WHEN NOT cut THEN s WHEN right(s, 2) IN ('at', 'bl', 'iz') THEN s || 'e' WHEN len(s) > 1 AND right(s, 1) = right({stem(1)}, 1) AND right(s, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN {stem(1)} WHEN {has('s', once)} AND {has('s', short)} THEN s || 'e' ELSE s END AS s, false AS cut",
+        f"CASE WHEN s LIKE '%y' AND {has(stem(1), vowel)} THEN {stem(1)} || 'i' ELSE s END AS s, false AS cut",
+        table(_STEP2, 0) + " AS s, false AS cut",
+        table(_STEP3, 0) + " AS s, false AS cut",
+        "CASE " + ion + last4[5:] + " AS s, false AS cut",
+        f"CASE WHEN s LIKE '%e' AND ({has(stem(1), over[1])} OR {has(stem(1), once)} AND NOT {has(stem(1), short)}) THEN {stem(1)} ELSE s END AS s, false AS cut",
+        f"CASE WHEN s LIKE '%ll' AND {has('s', over[1])} THEN {stem(1)} ELSE s END AS s, false AS cut",
+    ]
+    out = [f"st0 AS (SELECT w, w AS s, false AS cut FROM {words} WHERE strlen(w) BETWEEN 3 AND 64)"]
+    out += [f"st{n} AS (SELECT w, {step} FROM st{n - 1})" for n, step in enumerate(steps, 1)]
+    return ", ".join([*out, f"stems AS (SELECT w, s FROM st{len(steps)} UNION ALL SELECT w, w FROM {words} WHERE NOT strlen(w) BETWEEN 3 AND 64)"])

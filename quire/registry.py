@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions import pieces, text
+from quire.functions.stem import stems_sql
 from quire.operators import chunker, evaluation, fulltext, hybrid, lookups, vectors
 from quire.plans import ingest
 from quire.plans.storage import kept, table
-from quire.sources import markup, route
+from quire.sources import markup, pdf, route
 from quire.sources.files import verify_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +54,24 @@ def embeddings_of(s: SparkSession, d: str) -> DataFrame:
     return vectors.usable(table(s, d, "vec_chunks")).withColumnRenamed("chunk_rowid", "id")
 
 
+def _per_text(rows: DataFrame, key: str, f: Callable, name: str, kind: str) -> DataFrame:
+    """(key, name) with a Python function of every text that is not null, in Arrow batches."""
+    from pyspark.sql.types import StructType
+
+    def run(batches):
+        for b in batches:
+            got = [f(t) for t in b.column(1).to_pylist()]
+            if kind.startswith("struct"):
+                got = [dict(zip(fields, g)) for g in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, want)], [key, name])
+
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {name} {kind}"
+    inner = rows.sparkSession.createDataFrame([], schema).schema[name].dataType
+    fields = inner.fieldNames() if isinstance(inner, StructType) else []
+    want = to_arrow_type(inner)
+    return rows.filter("text is not null").select(key, "text").mapInArrow(run, schema)
+
+
 # --- text measures ---------------------------------------------------------------------------------------------
 
 _CJK = "len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]'))"
@@ -64,16 +85,30 @@ def token_estimate(s, d):
     return chunks_of(s, d).select("id", text.utf16_length(t).alias("units"), text.cjk_count(t).alias("cjk"), text.estimate_tokens(t).alias("tokens"))
 
 
-@query()
+@query(f"""SELECT id, CASE WHEN {_U16} <= 160 THEN text ELSE regexp_replace(CASE WHEN strpos(tail, '. ') BETWEEN 1 AND 80 THEN substr(tail, strpos(tail, '. ') + 2) WHEN strpos(tail, ' ') > 0 THEN substr(tail, strpos(tail, ' ') + 1) ELSE tail END, '^[\\s\\x{{85}}\\p{{Z}}]+', '') END AS tail FROM (SELECT id, text, right(text, 160) AS tail FROM document_chunks WHERE text IS NOT NULL) z""")
 def take_last_tokens(s, d):
-    tail = F.udf(lambda t: pieces.take_last(t, 40), "string")
-    return chunks_of(s, d).filter("text is not null").select("id", tail("text").alias("tail"))
+    return _per_text(chunks_of(s, d), "id", lambda t: pieces.take_last(t, 40), "tail", "string")
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+["'')\\]]*\\s*|$)')) AS s FROM documents WHERE text IS NOT NULL AND {_EST} > 100)
+SELECT doc_id, 0 AS parts_over, true AS in_order FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM p WHERE {_EST.replace('text', 's')} > 100)""")
+def split_prose_laws(s, d):
+    """Of texts without a long sentence: parts beyond the budget, and whether the parts are the text in its order, but for
+    runs of . ! ? that no sentence takes."""
+
+    def laws(text: str) -> tuple[bool, int, bool]:
+        parts = pieces.split_prose(text, 100)
+        letters = lambda t: "".join(c for c in t if c.isalnum())
+        over = pieces.estimate(text) > 100 and any(pieces.estimate(m) > 100 for m in pieces._SENTENCE.findall(text))
+        return over, sum(pieces.estimate(p) > 100 for p in parts), letters("".join(parts)) == letters(text)
+
+    rows = _per_text(docs_of(s, d), "doc_id", laws, "l", "struct<long:boolean,parts_over:int,in_order:boolean>")
+    return rows.filter("not l.long").select("doc_id", "l.parts_over", "l.in_order")
 
 
 @query()
 def split_prose(s, d):
-    cut = F.udf(lambda t: pieces.split_prose(t, 100), "array<string>")
-    return docs_of(s, d).filter("text is not null").select("doc_id", F.posexplode(cut("text")).alias("part", "text"))
+    return _per_text(docs_of(s, d), "doc_id", lambda t: pieces.split_prose(t, 100), "parts", "array<string>").select("doc_id", F.posexplode("parts").alias("part", "text"))
 
 
 @query("SELECT kind, count(*) AS chunks, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 6) AS mean, count(DISTINCT locator_value) AS locators FROM document_chunks GROUP BY kind")
@@ -115,6 +150,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score
 SELECT question_id, id, round(score, 8) AS score, rank FROM r WHERE rank <= 10"""
 
 
+_TERMS = f"words AS (SELECT DISTINCT w FROM (SELECT unnest({_TOK}) AS w FROM document_chunks UNION ALL SELECT unnest({_TOK.replace('lower(text)', 'lower(question)')}) FROM questions) z)"
+_Q_STEM = f"""q AS (SELECT question_id, phrase, count(*) AS times FROM (SELECT question_id, n, list(s ORDER BY i) AS phrase FROM (SELECT question_id, n, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT question_id, n, {_TOK.replace('lower(text)', 'lower(t)')} AS a FROM (SELECT question_id, unnest(x) AS t, generate_subscripts(x, 1) AS n FROM (SELECT question_id, regexp_extract_all(question, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*') AS x FROM questions) v) u) y) z JOIN stems USING (w) GROUP BY 1, 2) o GROUP BY 1, 2)"""
+_TF_STEM = _TF.replace(_TF[: _TF.index(", tx AS")], f"tk AS (SELECT id, list(s ORDER BY i) AS a FROM (SELECT id, unnest({_TOK}) AS w, generate_subscripts({_TOK}, 1) AS i FROM document_chunks WHERE text IS NOT NULL) z JOIN stems USING (w) GROUP BY 1)")
+_BM25_STEM = _BM25.replace(f"WITH {_DL}, {_Q}, {_TF}", f"WITH {_TERMS}, {stems_sql('words')}, {_DL}, {_Q_STEM}, {_TF_STEM}")
+
+
 @query(f"WITH {_P} SELECT id, term, tf FROM p")
 def postings(s, d):
     return fulltext.postings(chunks_of(s, d)).select("id", "term", "tf")
@@ -156,7 +197,7 @@ def bm25_filtered(s, d):
     return _bm25(s, d, chunks_of(s, d).filter("kind = 'text'").join(ready, "document_id", "left_semi"))
 
 
-@query()
+@query(_BM25_STEM.replace("@where", "true"))
 def bm25_porter(s, d):
     return _bm25(s, d, stem=True)
 
@@ -240,12 +281,6 @@ def _search(s, d, **how):
     return hits.select("question_id", "rank", "id", F.round("score", 9).alias("score"), "round")
 
 
-@query()
-def hybrid_search(s, d):
-    """Every question against every chunk, both legs, ten hits each."""
-    return _search(s, d)
-
-
 _WEIGHTS = {side: _STUB.format(key=key, text=text_, of=of).replace("w AS", f"w{side} AS").replace("FROM w ", f"FROM w{side} ").replace("FROM w)", f"FROM w{side})").replace("h AS", f"h{side} AS").replace("JOIN h ", f"JOIN h{side} ").replace("b AS", f"b{side} AS") for side, key, text_, of in (("q", "question_id", "question", "questions"), ("c", "id", "text", "document_chunks"))}
 _SEM = f"""{_WEIGHTS['q']}, {_WEIGHTS['c']}, vq AS (SELECT question_id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY question_id)))::FLOAT::DOUBLE AS w FROM bq), vc AS (SELECT id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS w FROM bc),
 nq AS (SELECT question_id, sum(w * w) AS s FROM vq GROUP BY 1), nc AS (SELECT c.id, coalesce(sum(w * w), 0) AS s FROM document_chunks c LEFT JOIN vc USING (id) GROUP BY 1),
@@ -257,19 +292,43 @@ SELECT question_id, rank::INT AS rank, id, round(score, 9) AS score, 0 AS round
 _LEX = _BM25.replace("@where", "id IN (SELECT id FROM ready)").split("\nSELECT question_id, id, round(score, 8)")[0].replace("WITH ", f"WITH {_READY}, ", 1)
 
 
-@query(_LEX + f", {_SEM}, legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w FROM r WHERE rank <= 20 UNION ALL SELECT question_id, id, rank, 1.5::DOUBLE FROM sem WHERE rank <= 20), {_FUSED}")
+_LEX_STEM = _BM25_STEM.replace("@where", "id IN (SELECT id FROM @pushed)").split("\nSELECT question_id, id, round(score, 8)")[0].replace("WITH ", f"WITH {_READY}, @allowed", 1)
+_BOTH = f", {_SEM}, legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w FROM r WHERE rank <= 20 UNION ALL SELECT question_id, id, rank, 1.5::DOUBLE FROM sem WHERE rank <= 20), {_FUSED}"
+_STEMMED = _LEX_STEM.replace("@pushed", "ready").replace("@allowed", "")
+#: Rounds of escalation: the semantic leg, filtered after it ranks, doubles its limit while it was full and hits are missing.
+_ROUNDS = f""", {_SEM}, legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w, 'lexical' AS leg FROM r WHERE rank <= @k * 2 UNION ALL SELECT question_id, id, rank, 1.5::DOUBLE, 'semantic' FROM sem WHERE rank <= @k * 256),
+g AS (SELECT unnest(range(4)) AS round), cut AS (SELECT * FROM legs, g WHERE leg = 'lexical' OR rank <= @k * 32 * (1 << round)),
+fu AS (SELECT question_id, round, id, sum(w / (2 + rank)) AS score FROM cut GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, round ORDER BY round(score, 12) DESC, id) AS place FROM fu WHERE id IN (SELECT id FROM allowed)),
+sat AS (SELECT question_id, round, count(*) FILTER (leg = 'semantic') = @k * 32 * (1 << round) AS full_ FROM cut GROUP BY 1, 2),
+ends AS (SELECT question_id, min(round) AS round FROM sat WHERE round = 3 OR NOT full_ OR (SELECT count(*) FROM o WHERE o.question_id = sat.question_id AND o.round = sat.round AND place <= @k) >= @k GROUP BY 1)
+SELECT question_id, place::INT AS rank, id, round(score, 9) AS score, round::INT AS round FROM o JOIN ends USING (question_id, round) WHERE place <= @k"""
+
+
+@query(_STEMMED + _BOTH)
+def hybrid_search(s, d):
+    """Every question against every chunk, both legs, ten hits each."""
+    return _search(s, d)
+
+
+@query(_LEX + _BOTH)
 def hybrid_unstemmed(s, d):
-    """As hybrid_search, with plain tokens, so that SQL can follow it whole."""
+    """As hybrid_search, with plain tokens."""
     return _search(s, d, stem=False)
 
 
-@query()
+def _escalated(k: int, where: str) -> str:
+    allowed = f"allowed AS (SELECT id FROM document_chunks WHERE {where} AND id IN (SELECT id FROM ready)), "
+    return (_LEX_STEM.replace("@pushed", "allowed").replace("@allowed", allowed) + _ROUNDS).replace("@k", str(k))
+
+
+@query(_escalated(10, "kind = 'table'"))
 def hybrid_filtered(s, d):
     """Only tables: the semantic leg is filtered after it ranks and escalates until it has ten."""
     return _search(s, d, filters=hybrid.Filters(kind="table"))
 
 
-@query()
+@query(_escalated(5, "page_number BETWEEN 1 AND 2"))
 def hybrid_pages(s, d):
     return _search(s, d, filters=hybrid.Filters(pages=(1, 2)), k=5)
 
@@ -279,7 +338,7 @@ def semantic_search(s, d):
     return _search(s, d, mode="semantic")
 
 
-@query()
+@query(_STEMMED + f", legs AS (SELECT question_id, id, rank, 1.0::DOUBLE AS w FROM r WHERE rank <= 20), {_FUSED}")
 def lexical_search(s, d):
     return _search(s, d, mode="lexical")
 
@@ -463,7 +522,14 @@ def usable_text_layer(s, d):
     return docs_of(s, d).filter("text is not null").select("doc_id", route.usable_text_layer(F.col("text")).alias("usable"))
 
 
-@query()
+_SPACES = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_BARE = f"regexp_replace(regexp_replace(title, '^{_SPACES}+', ''), '{_SPACES}+$', '')"
+_LEFT = _BARE
+for _parts, _after in ((route.PRODUCTS, "\\b"), (route.GENERIC, "\\d*\\b"), (route.FILLERS, "\\b")):
+    _LEFT = f"regexp_replace({_LEFT}, '(?i)\\b({'|'.join(_parts)}){_after}', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches({_BARE}, '(?i){route.PRINT_DRIVER}') OR regexp_matches({_BARE}, '(?i)\\.[a-z0-9]{{2,4}}$') OR regexp_replace({_LEFT}, '[^\\p{{L}}\\p{{N}}]+|[0-9]+', '', 'g') = '' THEN NULL ELSE {_BARE} END AS title FROM documents")
 def usable_title(s, d):
     return docs_of(s, d).select("doc_id", route.usable_title(F.col("title")).alias("title"))
 
@@ -489,7 +555,11 @@ def sample_pages(s, d):
     return docs_of(s, d).filter("locator_count >= 1").select("doc_id", F.explode(route.sample_pages(F.col("locator_count"))).alias("page"))
 
 
-@query()
+_USABLE = "coalesce(list_sum(list_transform(regexp_extract_all(text, '(?i)/(?:g|uni|c|cid|i)\\d+'), lambda x: len(x))), 0) / greatest(len(text), 1) <= 0.1 AND len(regexp_replace(text, '[^\\p{L}\\p{N}\\p{P}\\p{S}\\s]', '', 'g')) / greatest(len(text), 1) >= 0.6 AND len(regexp_extract_all(text, '\\x{FFFD}')) / greatest(len(text), 1) <= 0.02"
+
+
+@query(f"""SELECT document_id, count(*) AS sampled, count(*) FILTER (t) AS textual, false AS image_only, count(*) FILTER (t) > 0 AND count(*) FILTER (t AND NOT u) >= 0.5 * count(*) FILTER (t) AS garbled, CASE WHEN garbled THEN 'ts-ocr' ELSE 'ts-fast' END AS engine
+FROM (SELECT document_id, len(trim(coalesce(text, ''))) >= 20 AS t, coalesce({_USABLE}, false) AS u FROM document_chunks WHERE page_number IS NOT NULL) z GROUP BY 1""")
 def probe_documents(s, d):
     """Whether page documents need recognition, from all their pages."""
     pages = chunks_of(s, d).filter("page_number is not null").select("document_id", "text", F.lit(False).alias("has_image"))
@@ -511,6 +581,59 @@ def _blocks(s, d, format_):
     return docs.mapInArrow(run, "doc_id long, block int, kind string, level int, locator string, path array<string>, text string")
 
 
+_LINES = "(SELECT doc_id, regexp_replace(trim(unnest(string_split(text, chr(10)))), '[\\s\\x{85}\\p{Z}]+', ' ', 'g') AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE format = 'docx' AND text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS block, 'paragraph' AS kind, trim(l) AS text FROM {_LINES} z WHERE trim(l) <> ''")
+def docx_blocks(s, d):
+    """Every text of a Word document put into an archive, a paragraph a line, and read back."""
+    return _in_archives(docs_of(s, d).filter("format = 'docx'")).filter("kind is not null").select("doc_id", "block", "kind", "text")
+
+
+def _in_archives(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows += [(key, n, x.kind, x.text) for n, x in enumerate(markup.docx_blocks(content))]
+                except ValueError:  # an empty document has no blocks
+                    rows.append((key, 0, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "block", "kind", "text"])
+
+    return _per_text(docs, "doc_id", markup.as_docx, "content", "binary").mapInArrow(run, "doc_id long, block int, kind string, text string")
+
+
+@query("""SELECT doc_id, CASE WHEN format = 'docx' THEN 'docx' WHEN regexp_matches(lower(ltrim(text)), '^(<!doctype html|<html)') OR regexp_matches(lower(source_path), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(source_path), '\\.(md|markdown)$') OR text LIKE '---' || chr(10) || '%' THEN 'md' ELSE 'txt' END AS format,
+CASE WHEN format = 'docx' THEN 'ts-fast' WHEN regexp_matches(lower(ltrim(text)), '^(<!doctype html|<html)') OR regexp_matches(lower(source_path), '\\.html?$') THEN NULL ELSE 'ts-fast' END AS engine FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%PDF-%'""")
+def route_files(s, d):
+    """Every document as a file: Word documents as archives, the others as text, told apart by their content."""
+    docs = docs_of(s, d).filter("text is not null and text not like '%PDF-%'")
+    words = _per_text(docs.filter("format = 'docx'"), "doc_id", markup.as_docx, "content", "binary")
+    plain = docs.filter("format <> 'docx' or format is null").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    files = words.unionByName(plain).join(docs.select("doc_id", "source_path"), "doc_id")
+    key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("source_path", F.lit("")))
+    return route.route(files.select(key.alias("path"), "content")).select(F.substring_index("path", "/", 1).cast("long").alias("doc_id"), "format", "engine")
+
+
+@query("""SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS line, l AS text FROM (SELECT id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+', ' ', 'g')) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM document_chunks WHERE page_number IS NOT NULL AND text IS NOT NULL) z WHERE l <> ''""")
+def pdf_lines(s, d):
+    """Every page's lines set as text runs, the halves of a line apart and in any order, and put together again."""
+
+    def lines(text: str) -> list[str]:
+        runs = []
+        for n, line in enumerate(text.split("\n")):
+            words = line.split()
+            x = 50.0
+            for w in words:
+                runs.append(pdf.Run(w, x, 10_000_000 - 14.0 * n, 5.0 * len(w), 11.0))
+                x += 5.0 * len(w) + 4.0
+        return [x.text for x in pdf.assemble_lines(reversed(runs), columns=False)]
+
+    rows = _per_text(chunks_of(s, d).filter("page_number is not null"), "id", lines, "lines", "array<string>")
+    return rows.select("id", F.posexplode("lines").alias("line", "text")).select("id", F.col("line").cast("long").alias("line"), "text")
+
+
 @query()
 def md_blocks(s, d):
     return _blocks(s, d, "md")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -307,6 +309,21 @@ def docx_blocks(content: bytes) -> Iterator[Block]:
     yield from close()
 
 
+def as_docx(text: str) -> bytes:
+    """A Word document with a paragraph for each line of the text."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    root = ElementTree.Element(f"{{{space}}}document")
+    body = ElementTree.SubElement(root, f"{{{space}}}body")
+    for line in text.split("\n"):
+        run = ElementTree.SubElement(ElementTree.SubElement(body, f"{{{space}}}p"), f"{{{space}}}r")
+        # control characters cannot stand in XML
+        ElementTree.SubElement(run, f"{{{space}}}t").text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ", line)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", ElementTree.tostring(root, encoding="utf-8", xml_declaration=True))
+    return out.getvalue()
+
+
 def docx_metadata(content: bytes, name: str, blocks: list[Block] | None = None) -> tuple[str, int]:
     """(title, locator count) of a Word document; ``blocks`` are its blocks if they are known."""
     archive = open_zip(content, lambda n, size: n == "docProps/core.xml")

@@ -105,8 +105,9 @@ def _column_of(at: np.ndarray, row: np.ndarray, lo: float, hi: float, buckets: i
     return column if full else None
 
 
-def assemble_lines(runs: Iterable[Run]) -> list[Line]:
-    """Reading order: bands between full-width rows and large gaps, within a band column after column."""
+def assemble_lines(runs: Iterable[Run], columns: bool = True) -> list[Line]:
+    """Reading order: bands between full-width rows and large gaps, within a band column after column (unless the page
+    is known to have one)."""
     at, text = _table(runs)
     if not len(at):
         return []
@@ -128,7 +129,7 @@ def assemble_lines(runs: Iterable[Run]) -> list[Line]:
     for b in np.unique(band):
         rows = np.flatnonzero(band == b)
         own = np.concatenate([members[r] for r in rows])
-        column = _column_of(at[own], row[own], lo, hi)
+        column = _column_of(at[own], row[own], lo, hi) if columns else None
         column = np.zeros(len(own), dtype=int) if column is None else column
         for c in range(column.max(initial=0) + 1):
             for r in rows:

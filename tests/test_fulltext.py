@@ -60,3 +60,15 @@ def test_snippet_marks_and_clips():
     s = fulltext.snippet(" ".join(words), {"badgers"})
     assert "«badgers»" in s and s.startswith("…") and s.endswith("…") and len(s.split()) == 12
     assert fulltext.snippet("only badgers", {"badgers"}) == "only «badgers»"
+
+
+def test_stems_in_sql_equal_the_stemmer():
+    import duckdb
+
+    from quire.functions.stem import stems_sql
+
+    words = "caresses ponies ties cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational valenci digitizer conformabli vietnamization predication operator feudalism decisiveness hopefulness formaliti sensibiliti triplicate formative formalize electrical hopeful goodness revival allowance inference airliner adjustable defensible irritant replacement adjustment dependent adoption communism activate angulariti homologous effective bowdlerize probate rate cease controll roll was is by über größe ééing the yes toying dying skies lyon boyed ions station be".split()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words AS SELECT unnest(?) AS w", [words])
+    got = dict(con.execute(f"WITH {stems_sql('words')} SELECT w, s FROM stems").fetchall())
+    assert {w: (got[w], porter(w)) for w in words if got[w] != porter(w)} == {}

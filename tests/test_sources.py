@@ -66,6 +66,11 @@ def test_docx():
         list(markup.docx_blocks(docx("")))
 
 
+def test_lines_as_a_document():
+    text = "One line\n\n  two\x0b <b> & more \n三"
+    assert [b.text for b in markup.docx_blocks(markup.as_docx(text))] == ["One line", "two <b> & more", "三"]
+
+
 def test_zip_limits():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
