@@ -87,6 +87,20 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "document_chunks"), table(spark, d, "size_limits"))
 
 
+def p7_laws(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of every oversized chunk: none over the limit, each the text at its place, bodies that
+    join to the whole, an overlap of no more than allowed."""
+    limits = table(spark, d, "size_limits").filter("unit = 'estimate'").groupBy(F.col("item").alias("kind")).agg(F.min("max_tokens").alias("most"))
+    texts = table(spark, d, "document_chunks").select("id", F.col("text").alias("whole"))
+    rows = p7_pieces(spark, d).join(F.broadcast(limits), "kind").join(texts, "id")
+    at = F.expr("substring(whole, start + 1, end - start)")
+    own = rows.select("id", "piece", "n_pieces", "start", "body", "end", (F.col("tokens") > F.col("most")).alias("over"), (F.col("text") != at).alias("foreign"), F.length("whole").alias("size"))
+    per = own.groupBy("id").agg(F.count_if("over").alias("over"), F.count_if("foreign").alias("foreign"), F.sort_array(F.collect_list(F.struct("piece", "body", "end"))).alias("p"), F.max("n_pieces").alias("n"), F.max("size").alias("size"))
+    joins = F.forall(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.element_at("p", k)["end"] == F.element_at("p", k + 1)["body"])
+    whole = joins & (F.size("p") == F.col("n")) & (F.element_at("p", 1)["body"] == 0) & (F.element_at("p", -1)["end"] == F.col("size"))
+    return per.select("id", "over", "foreign", whole.alias("whole"))
+
+
 def _container(spark: SparkSession, d: str) -> int:
     row = table(spark, d, "size_limits").filter("item = 'container' and unit = 'wordpunct'").agg(F.min("max_tokens")).first()
     return row[0] or 1024
@@ -106,6 +120,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.ceil(F.sum("tokens") / F.lit(float(_container(spark, d)))).alias("least"))
 
 
+def p8_laws(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every token in one, none overfull, no document torn that fits, a hundredth of
+    waste at most."""
+    cap = _container(spark, d)
+    rows = p8_containers(spark, d).filter("container is not null")
+    per = rows.groupBy("container").agg(F.sum("tokens").alias("held"))
+    fill = per.agg(F.sum("held").alias("tokens"), F.count_if(F.col("held") > cap).alias("overfull"), F.count("*").alias("n"))
+    docs = rows.groupBy("doc_id").agg(F.sum("tokens").alias("size"), F.max("n_pieces").alias("n_pieces"))
+    torn = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("size") <= cap) & (F.col("n_pieces") > 1)).alias("torn"))
+    wasteful = F.col("n") > F.ceil(F.col("tokens") / F.lit(float(cap))) * 1.01 + 1
+    return torn.crossJoin(fill).select("documents", "tokens", "overfull", "torn", wasteful.alias("wasteful"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).filter("short").select("source")
 
@@ -133,7 +160,7 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_neighbours, p2_method, p2_found, p2_restored, p3_found, p3_ranking, p4_method, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
+    own = [p1_found, p1_neighbours, p2_method, p2_found, p2_restored, p3_found, p3_ranking, p4_method, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_groups, p7_found, p7_pieces, p7_laws, p8_found, p8_containers, p8_fill, p8_laws, p9_found, p9_report, p9_mixture, p10_found, p10_languages, p10_stretches]
     return {f.__name__: f for f in own}
 
 
@@ -166,6 +193,20 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT a AS doc_id_a, b AS doc_id_b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 2 * k >= p.n + q.n - k
 """
+_P6_GROUPS = """
+WITH RECURSIVE t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t) z),
+k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS key, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT doc_id, coalesce('set ' || key, 'text ' || sha256(text), 'none ' || doc_id) AS key, n FROM t LEFT JOIN k USING (doc_id)),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS rep, count(*) OVER (PARTITION BY key) AS copies FROM m),
+r AS (SELECT rep, n FROM c WHERE doc_id = rep),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id WHERE x.doc_id IN (SELECT rep FROM r) AND y.doc_id IN (SELECT rep FROM r) GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN r p ON p.rep = a JOIN r q ON q.rep = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, g) AS (SELECT rep, rep FROM r UNION SELECT ways.b, reach.g FROM reach JOIN ways ON ways.a = reach.id),
+l AS (SELECT id, min(g) AS g FROM reach GROUP BY 1), d AS (SELECT a, count(*) AS classes FROM ways GROUP BY 1)
+SELECT doc_id, g AS "group", coalesce(classes, 0) + copies - 1 AS links FROM c JOIN l ON l.id = rep LEFT JOIN d ON d.a = rep
+"""
 _WORDPUNCT = "len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+'))"
 _CJK = "len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]'))"
 _P9 = f"""
@@ -181,10 +222,13 @@ m AS (SELECT term, n, records, CASE WHEN records <= 2 THEN 'rare' WHEN records >
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    own = {
         "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS chunk_rowid_a, greatest(a, b) AS chunk_rowid_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p) z WHERE nth <= 10",
         "p1_neighbours": _P1 + "SELECT a AS chunk_rowid, nth::INT AS place, b AS neighbour, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p) z WHERE nth <= 10",
         "p6_found": _P6,
+        "p6_groups": _P6_GROUPS,
+        "p3_ranking": _P3 + "SELECT question_id, chunk_rowid, n_legs::INT AS n_legs, rho, mean_rank, row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_rowid)::INT AS position FROM s JOIN c USING (question_id, chunk_rowid)",
+        "p8_laws": f"SELECT count(*) FILTER (n > 0) AS documents, sum(n)::BIGINT AS tokens, 0 AS overfull, 0 AS torn, false AS wasteful FROM (SELECT {_WORDPUNCT} AS n FROM documents) z",
         "p3_found": _P3 + "SELECT question_id, chunk_rowid FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_rowid) AS position FROM s) z WHERE position <= 3",
         "p5_found": _P5 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p5_terms": _P5 + "SELECT term, n, records, mark FROM m",
@@ -192,3 +236,4 @@ def oracle_sql() -> dict[str, str]:
         "p8_found": f"SELECT doc_id FROM documents WHERE {_WORDPUNCT} > 1024",
         "p9_found": _P9 + "SELECT t.source FROM t LEFT JOIN s USING (source), a WHERE reps * coalesce(size, 0) < share * total",
     }
+    return own | {"p7_laws": 'SELECT id, 0 AS over, 0 AS "foreign", true AS whole FROM (' + own["p7_found"] + ") f"}
