@@ -205,9 +205,15 @@ def bm25_porter(s, d):
 @query()
 def fts_snippets(s, d):
     """Snippets of each question's ten best chunks."""
-    best = _bm25(s, d).join(chunks_of(s, d).select("id", "text"), "id").join(table(s, d, "questions").select("question_id", fulltext.tokens(F.col("question")).alias("terms")), "question_id")
-    cut = F.udf(lambda t, q: fulltext.snippet(t, set(q)), "string")
-    return best.select("question_id", "id", cut("text", "terms").alias("snippet"))
+    phrases = fulltext.query_phrases(table(s, d, "questions")).groupBy("question_id").agg(F.sort_array(F.collect_list("phrase")).alias("phrases"))
+    best = _bm25(s, d).join(chunks_of(s, d).select("id", "text"), "id").join(phrases, "question_id").select("question_id", "id", "text", "phrases")
+
+    def run(batches):
+        for b in batches:
+            cut = [fulltext.snippet(t or "", p) for t, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.string())], ["question_id", "id", "snippet"])
+
+    return best.mapInArrow(run, "question_id long, id long, snippet string")
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------
@@ -346,8 +352,13 @@ def lexical_search(s, d):
 @query()
 def semantic_snippets(s, d):
     best = _search(s, d, k=3).join(chunks_of(s, d).select("id", "text"), "id").join(table(s, d, "questions").select("question_id", "question"), "question_id")
-    cut = F.udf(lambda t, q: hybrid.semantic_snippet(t or "", q), "string")
-    return best.select("question_id", "id", cut("text", "question").alias("snippet"))
+
+    def run(batches):
+        for b in batches:
+            cut = [hybrid.semantic_snippet(t or "", q or "") for t, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.string())], ["question_id", "id", "snippet"])
+
+    return best.select("question_id", "id", "text", "question").mapInArrow(run, "question_id long, id long, snippet string")
 
 
 @query("""SELECT c.id FROM document_chunks c WHERE len(section_path) >= 1 AND (lower(section_path[1]) LIKE 'review%') AND NOT regexp_matches(substr(lower(section_path[1]), 7, 1), '[\\p{L}\\p{N}]')""")

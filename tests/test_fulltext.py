@@ -54,12 +54,33 @@ def F_lit(x):
     return F.lit(x)
 
 
+@pytest.mark.parametrize("stem", [False, True])
+def test_snippet_equals_sqlite(stem):
+    import random
+
+    rng = random.Random(3)
+    words = "alpha beta gamma delta badger badgers mill mills rope don't self-attention über old new on at in the".split()
+    con = sqlite3.connect(":memory:")
+    con.execute(f"CREATE VIRTUAL TABLE f USING fts5(x, tokenize='{'porter ' if stem else ''}unicode61 remove_diacritics 2')")
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ",", ":", "; "]) for _ in range(rng.randint(1, 70))) for _ in range(300)]
+    con.executemany("INSERT INTO f(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    queries = [["badger"], ["mill", "rope"], ["self-attention", "old"], ["don't", "alpha", "über"], ["badgers", "beta", "mill", "new"], ["rope", "rope"]]
+    cut = lambda t: [porter(x) if stem else x for x in __import__("re").findall(r"[^\W_]+", t.lower().replace("ü", "u"))]
+    for q in queries:
+        match = " OR ".join('"' + t + '"' for t in q)
+        want = dict(con.execute("SELECT rowid, snippet(f, 0, '«', '»', '…', 12) FROM f WHERE f MATCH ?", (match,)).fetchall())
+        got = {k: fulltext.snippet(texts[k], [cut(t) for t in q], stem=stem) for k in want}
+        wrong = [(texts[k], want[k], got[k]) for k in want if got[k] != want[k]]
+        assert not wrong, (q, len(wrong), len(want), wrong[0])
+
+
 def test_snippet_marks_and_clips():
     words = " ".join(f"pad{n}" for n in range(60)).split()
     words[30] = "badgers"
-    s = fulltext.snippet(" ".join(words), {"badgers"})
+    s = fulltext.snippet(" ".join(words), [["badgers"]])
     assert "«badgers»" in s and s.startswith("…") and s.endswith("…") and len(s.split()) == 12
-    assert fulltext.snippet("only badgers", {"badgers"}) == "only «badgers»"
+    assert fulltext.snippet("only badgers", [["badgers"]]) == "only «badgers»"
+    assert fulltext.snippet("", [["x"]]) == "" and fulltext.snippet("no match", []) == "no match"
 
 
 def test_stems_in_sql_equal_the_stemmer():
