@@ -29,3 +29,25 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     for s in same[1:]:
         cond = cond & s
     return a.join(b, cond).select("a.*", "b._before").withColumn(out, F.col("_local") + F.col("_before")).drop("_slice", "_local", "_before")
+
+
+def with_previous(df: DataFrame, group: list[str], order: str, columns: list[str], out: str = "previous") -> DataFrame:
+    """Add ``out``: a struct of ``columns`` of the row before this one in its group, null for the first.
+
+    As in ``prefix_sums`` a group is cut into range slices; a slice's first row takes the last one of the slice before.
+    ``order`` must identify a row within its group.
+    """
+    spark = df.sparkSession
+    cut = df.repartitionByRange(width(spark), *[F.col(c) for c in (*group, order)])
+    cut = staged(cut.withColumn("_slice", F.spark_partition_id()), "previous")
+    row = F.struct(*[F.col(c) for c in columns])
+    inside = Window.partitionBy(*group, "_slice").orderBy(order)
+    local = cut.withColumn("_local", F.lag(row).over(inside))
+    ends = cut.groupBy(*group, "_slice").agg(F.max_by(row, F.col(order)).alias("_last"))
+    carried = ends.select(*group, "_slice", F.lag("_last").over(Window.partitionBy(*group).orderBy("_slice")).alias("_carried")).filter("_carried is not null")
+    a, b = local.alias("a"), carried.alias("b")
+    cond = F.col("a._local").isNull() & (F.col("a._slice") == F.col("b._slice"))
+    for c in group:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    # few groups reach over a slice's end, so there are few rows to carry
+    return a.join(b, cond, "left").select("a.*", F.coalesce("a._local", "b._carried").alias(out)).drop("_slice", "_local")

@@ -429,11 +429,10 @@ def hybrid_verdict(s, d):
 @query("SELECT id, document_id, nth FROM (SELECT id, document_id, row_number() OVER w AS nth, count(*) OVER (PARTITION BY document_id) AS n FROM document_chunks WHERE len(text) >= 200 WINDOW w AS (PARTITION BY document_id ORDER BY seq)) z WHERE (nth - 1) % greatest(1, n // 3) = 0")
 def eval_sample(s, d):
     """An even stride of long chunks of every document."""
-    from pyspark.sql.window import Window
+    from quire.plans.prefix import prefix_sums
 
-    long = chunks_of(s, d).filter(F.length("text") >= 200)
-    w = Window.partitionBy("document_id")
-    rows = long.withColumn("nth", F.row_number().over(w.orderBy("seq"))).withColumn("n", F.count("*").over(w))
+    long = chunks_of(s, d).filter(F.length("text") >= 200).select("id", "document_id", "seq", F.lit(1).alias("one"))
+    rows = prefix_sums(long, ["document_id"], ["seq"], "one", "nth").join(long.groupBy("document_id").agg(F.count("*").alias("n")), "document_id")
     return rows.filter((F.col("nth") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / 3)) == 0).select("id", "document_id", F.col("nth").cast("long").alias("nth"))
 
 

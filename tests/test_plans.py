@@ -50,3 +50,17 @@ def test_nulls_and_empty_texts_agree_with_sql(spark, tmp_path, name):
     want = sorted(repr([plain(r[cols.index(c)]) for c in sorted(cols)]) for r in cur.fetchall())
     got = sorted(repr([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
     assert got == want
+
+
+def test_previous_rows_over_slices(spark):
+    from quire.plans.prefix import with_previous
+
+    rows = [("hot", n, f"v{n}") for n in range(200)] + [("b", 0, "x"), ("b", 5, None), ("b", 9, "y"), (None, 1, "p"), (None, 2, "q")]
+    df = spark.createDataFrame(rows, "g string, seq int, v string").repartition(3)
+    got = {(r.g, r.seq): (r.previous.v, r.previous.seq) if r.previous else None for r in with_previous(df, ["g"], "seq", ["v", "seq"]).collect()}
+    want, last = {}, {}
+    for g, n, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want[(g, n)] = last.get(g)
+        last[g] = (v, n)
+    assert got == want
+    assert with_previous(df.limit(0), ["g"], "seq", ["v"]).count() == 0
