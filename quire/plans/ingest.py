@@ -17,6 +17,7 @@ from quire.operators.vectors import StubEmbedder, embed, embed_input
 from quire.plans.storage import file_system, staged
 from quire.sources import markup, pdf
 from quire.sources.files import decode
+from quire.sources.pdf_bytes import read_pdf
 from quire.sources.route import chosen_title, route
 
 
@@ -179,20 +180,23 @@ _PARSED = "sha256 string, parsed_title string, scheme string, expected int, prob
 def parse_file(format: str, path: str, content: bytes, parse: Callable[[str, str, str], Iterable[Block]] = markup.parse_text, pdf_reader: Callable[[bytes], dict] | None = None) -> tuple[str | None, str, int, list[Block]]:
     """(title, locator scheme, expected locators, blocks) of one file.
 
-    ``pdf_reader`` gives what a reader of PDF knows: pages of text runs, and if it has them title, width, height,
-    bookmarks, and for scanned files recognised pages (see ``pdf.scanned_blocks``)."""
+    ``pdf_reader`` (``read_pdf`` if there is none) gives what a reader of PDF knows: pages of text runs, and if it has
+    them title, width, height, bookmarks, which pages paint images, and for scanned files recognised pages (see
+    ``pdf.scanned_blocks``).  A text layer that is of no use is refused where no pages are recognised."""
     name = path.rsplit("/", 1)[-1]
     if format == "docx":
         blocks = list(markup.docx_blocks(content))
         title, expected = markup.docx_metadata(content, "", blocks)
         return title or None, "section", expected, blocks
     if format == "pdf":
-        if pdf_reader is None:
-            raise ValueError("no reader of PDF is configured")
-        got = pdf_reader(content)
+        got = (pdf_reader or read_pdf)(content)
+        title = pdf.usable_title(got.get("title"))
         if "recognised" in got:
-            return got.get("title"), "page", len(got["recognised"]), list(pdf.scanned_blocks(got["recognised"], got.get("force", False)))
-        return got.get("title"), "page", len(got["pages"]), list(pdf.pdf_blocks(got["pages"], got.get("width", 612), got.get("height", 792), got.get("bookmarks", ())))
+            return title, "page", len(got["recognised"]), list(pdf.scanned_blocks(got["recognised"], got.get("force", False)))
+        poor = pdf.poor_text_layer(got["pages"], got.get("images"))
+        if poor:
+            raise ValueError(f"{poor}, and no pages are recognised")
+        return title, "page", len(got["pages"]), list(pdf.pdf_blocks(got["pages"], got.get("width", 612), got.get("height", 792), got.get("bookmarks", ())))
     text = decode(content)
     title, expected = (markup.markdown_metadata if format == "md" else markup.text_metadata)(text, "")
     return title or None, "section", expected, list(parse(format, name, text))

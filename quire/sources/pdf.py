@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from quire.operators.chunker import Block
-from quire.sources.route import LETTER_I, PAGE_NUMBER
+from quire.sources.route import FILLERS, GENERIC, LETTER_I, PAGE_NUMBER, PRINT_DRIVER, PRODUCTS
 
 TOLERANCE, WIDE, WORD_GAP, BAND_GAP = 2.0, 0.8, 0.2, 2.5
 HEADING, TIERS, SIZE_STEP = 1.15, 6, 0.5
@@ -147,6 +147,36 @@ def is_page_number(text: str) -> bool:
     return bool(text.strip() and _NUMBER.match(text) and not _I.match(text))
 
 
+def usable_title(title: str | None) -> str | None:
+    """As ``route.usable_title``."""
+    bare = (title or "").strip()
+    rest = bare
+    for parts, after in ((PRODUCTS, r"\b"), (GENERIC, r"\d*\b"), (FILLERS, r"\b")):
+        rest = re.sub(rf"(?i)\b({'|'.join(parts)}){after}", " ", rest)
+    silent = not re.sub(r"[\W_]+|\d+", "", rest)
+    return None if silent or re.match(f"(?i){PRINT_DRIVER}", bare) or re.search(r"(?i)\.[a-z0-9]{2,4}$", bare) else bare
+
+
+def poor_text_layer(pages: list[list[Run]], images: list[bool] | None) -> str | None:
+    """Why the text layer of a file is of no use, judged by a few of its pages (see ``route.probe``); None if it is."""
+    n = len(pages)
+    target = max(min(8, max(1, min(n, -(-n // 40)))), min(n, 3))
+    sampled = sorted({k * n // target for k in range(target)} | {n - 1}) if n else []
+    textual = imagery = bad = 0
+    for k in sampled:
+        text = " ".join(r.text for r in pages[k]).strip()
+        if len(text) >= 20:
+            textual += 1
+            escapes = sum(len(m) for m in re.findall(r"(?i)/(?:g|uni|c|cid|i)\d+", text)) / len(text)
+            shown = sum(c.isprintable() or c.isspace() for c in text) / len(text)
+            bad += escapes > 0.1 or shown < 0.6 or text.count("\ufffd") / len(text) > 0.02
+        elif images and images[k]:
+            imagery += 1
+    if imagery and textual / len(sampled) <= 0.25:
+        return "the pages are images"
+    return "the text layer is garbled" if textual and bad / textual >= 0.5 else None
+
+
 @dataclass
 class Analysis:
     """What a sample of pages says of a document: body size, heading sizes, running text."""

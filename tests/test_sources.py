@@ -200,6 +200,54 @@ def test_pdf_blocks_drop_furniture_and_follow_bookmarks():
     assert pdf.bookmark_trails([("A", 0, 0), ("B", 1, 1), ("C", 1, 1)]) == {0: ["A"], 1: ["A", "B"]}
 
 
+def make_pdf(contents, title="A made file", extra="", compress=True, images=()):
+    """A PDF with a page for every content stream, in Helvetica; page k of ``images`` paints one."""
+    import zlib
+
+    objects = ["<< /Type /Catalog /Pages 2 0 R /Outlines 90 0 R >>", "<< /Type /Pages /Count %d /Kids [%s] >>" % (len(contents), " ".join(f"{10 + 2 * k} 0 R" for k in range(len(contents)))), "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [%s] >>" % " ".join(["500"] * 200), f"<< /Title ({title}) >>"]
+    out = b"%PDF-1.7\n" + b"".join(b"%d 0 obj %s endobj\n" % (n, o.encode("latin-1")) for n, o in enumerate(objects, 1))
+    for k, c in enumerate(contents):
+        raw = c.encode("cp1252")
+        raw = zlib.compress(raw) if compress else raw
+        out += b"%d 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> /XObject << /Im 80 0 R >> >> /Contents %d 0 R >> endobj\n" % (10 + 2 * k, 11 + 2 * k)
+        out += b"%d 0 obj << /Length %d %s >> stream\n" % (11 + 2 * k, len(raw), b"/Filter /FlateDecode" if compress else b"") + raw + b"\nendstream endobj\n"
+    out += b"80 0 obj << /Type /XObject /Subtype /Image /Length 0 >> stream\n\nendstream endobj\n"
+    return out + extra.encode("latin-1") + b"trailer << /Root 1 0 R /Info 4 0 R >>\n%%EOF"
+
+
+def test_pdf_bytes():
+    from quire.plans.ingest import parse_file
+    from quire.sources.pdf_bytes import UnreadablePdf, read_pdf
+
+    one = "BT /F1 20 Tf 50 700 Td (Loads) Tj ET BT /F1 11 Tf 50 660 Td (The rope is hyphen-) Tj 0 -14 Td [(ated) -600 (and ) (held \\(well\\)\\056)] TJ ET BT /F1 11 Tf 300 30 Td (1) Tj ET"
+    two = "q 1 0 0 1 0 10 cm BT /F1 11 Tf 1 0 0 1 50 650 Tm 14 TL (Caf\\351 and t\xe9) Tj T* (second line) Tj <2041> Tj ET Q BT 0 1 -1 0 20 300 Tm /F1 9 Tf (sideways) Tj ET"
+    marks = "90 0 obj << /First 91 0 R >> endobj 91 0 obj << /Title (Part one) /Dest [12 0 R /Fit] >> endobj\n"
+    for compress in (True, False):
+        got = read_pdf(make_pdf([one, two], extra=marks, compress=compress))
+        assert got["title"] == "A made file" and got["bookmarks"] == [("Part one", 1, 0)] and got["images"] == [False, False]
+        assert [x.text for x in pdf.assemble_lines(got["pages"][0])] == ["Loads", "The rope is hyphen-", "ated and held (well).", "1"]
+        assert [x.text for x in pdf.assemble_lines(got["pages"][1])] == ["Café and té", "second line A"]
+    title, scheme, n, blocks = parse_file("pdf", "x.pdf", make_pdf([one, two], title="Microsoft Word - x", extra=marks))
+    assert (title, scheme, n) == (None, "page", 2)
+    assert [(b.kind, b.text, b.locator) for b in blocks] == [("heading", "Loads", "1"), ("paragraph", "The rope is hyphenated and held (well).", "1"), ("paragraph", "Café and té second line A", "2")]
+    assert blocks[2].path == ["Part one"]
+    with pytest.raises(ValueError, match="images"):
+        parse_file("pdf", "x.pdf", make_pdf(["q /Im Do Q"] * 3))
+    for bad in (b"%PDF-1.4 nothing", b"no", make_pdf([one]).replace(b"/Info", b"/Encrypt 5 0 R /Info")):
+        with pytest.raises(UnreadablePdf):
+            read_pdf(bad)
+
+
+def test_pdf_fonts_with_maps():
+    from quire.sources.pdf_bytes import Document, Font
+
+    cmap = "2 beginbfchar <0003> <0020> <0041> <00E9> endbfchar 1 beginbfrange <0050> <0052> <0061> endbfrange"
+    data = f"%PDF-1.5\n1 0 obj << /Type /Catalog >> endobj 5 0 obj << /Subtype /Type0 /ToUnicode 6 0 R /DescendantFonts [7 0 R] >> endobj 6 0 obj << /Length {len(cmap)} >> stream\n{cmap}\nendstream endobj 7 0 obj << /DW 900 /W [65 [700] 80 82 300] >> endobj trailer << /Root 1 0 R >>".encode()
+    font = Font(d := Document(data), d.get(d.objects[5]))
+    codes = font.codes(bytes.fromhex("004100500052"))
+    assert "".join(font.char(c) for c in codes) == "éac" and [font.widths.get(c, font.default) for c in codes] == [700, 300, 300]
+
+
 def test_scanned_pages_vote():
     pages = [{"text": "A text layer that is long enough to be used as it is here.", "usable": True}, {"text": "short", "lines": [("recognised line", 90), ("noise", 10), ("12", 95)], "trail": ["Ch"]}, {"text": "", "lines": []}]
     blocks = list(pdf.scanned_blocks(pages))
