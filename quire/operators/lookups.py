@@ -22,6 +22,11 @@ def chunk_exists(chunks: DataFrame, document_id: str, seq: int) -> bool:
     return not by_seq(chunks, document_id, seq).isEmpty()
 
 
+def references(chunks: DataFrame) -> DataFrame:
+    """What a search may show of chunks: where they are and of what kind, not their text."""
+    return chunks.select("chunk_id", "document_id", "seq", "kind", "locator_type", "locator_value", "page_number", "printed_label", "section_path", "token_count")
+
+
 def hydrate(ids: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of ready documents for a set of ids, with title and source path; texts are read for these only."""
     ready = documents.filter("ingest_status = 'ready'").select("document_id", F.col("title").alias("document_title"), "source_path")

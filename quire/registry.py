@@ -519,6 +519,56 @@ def hydrate_hits(s, d):
     return lookups.hydrate(ids, chunks_of(s, d), docs_of(s, d)).select("id", "document_title", "source_path")
 
 
+@query("SELECT document_id, title FROM documents WHERE lower(sha256) = (SELECT min(lower(sha256)) FROM documents)")
+def find_by_sha256(s, d):
+    """The documents of one content; hashes are compared without case."""
+    some = docs_of(s, d).agg(F.min(F.lower("sha256"))).first()[0] or ""
+    return lookups.by_sha256(docs_of(s, d), some.upper()).select("document_id", "title")
+
+
+@query("SELECT id, document_id, seq, text FROM document_chunks WHERE chunk_id = (SELECT max(chunk_id) FROM document_chunks)")
+def chunk_by_id(s, d):
+    some = chunks_of(s, d).agg(F.max("chunk_id")).first()[0] or ""
+    return lookups.by_chunk_id(chunks_of(s, d), some).select("id", "document_id", "seq", "text")
+
+
+@query("SELECT id, chunk_id, text FROM document_chunks WHERE seq = 0 AND document_id = (SELECT min(document_id) FROM document_chunks)")
+def chunk_by_seq(s, d):
+    some = chunks_of(s, d).agg(F.min("document_id")).first()[0] or ""
+    return lookups.by_seq(chunks_of(s, d), some, 0).select("id", "chunk_id", "text")
+
+
+@query("SELECT seq, EXISTS (SELECT 1 FROM document_chunks c WHERE c.seq = x.seq AND document_id = (SELECT min(document_id) FROM document_chunks)) AS there FROM (VALUES (0), (1), (1000000)) x(seq)")
+def chunk_exists(s, d):
+    some = chunks_of(s, d).agg(F.min("document_id")).first()[0] or ""
+    return s.createDataFrame([(n, lookups.chunk_exists(chunks_of(s, d), some, n)) for n in (0, 1, 1_000_000)], "seq int, there boolean")
+
+
+@query("SELECT c.chunk_id, c.document_id, c.seq, c.kind, c.locator_type, c.locator_value, c.page_number, c.printed_label, c.section_path, c.token_count FROM document_chunks c")
+def chunk_refs(s, d):
+    """References to all chunks, without their texts."""
+    return lookups.references(chunks_of(s, d))
+
+
+@query("SELECT doc_id, regexp_matches(lower(source_path), '[.](pdf|docx|doc|md|markdown|html|htm|txt)$') AND NOT source_path LIKE '/%' AND NOT regexp_matches(source_path, '(^|/)[.][.](/|$)') AND trim(source_path) <> '' AS ok FROM documents WHERE source_path IS NOT NULL")
+def addressable_paths(s, d):
+    from quire.sources import paths
+
+    return docs_of(s, d).filter("source_path is not null").select("doc_id", paths.addressable(F.col("source_path")).alias("ok"))
+
+
+@query("SELECT doc_id, len(text)::INT AS size, false AS changed FROM documents WHERE text IS NOT NULL")
+def text_decode(s, d):
+    """Texts as bytes with a mark at their start, read back."""
+    from quire.sources.files import decode
+
+    def both(t: str) -> tuple[int, bool]:
+        got = decode(b"\xef\xbb\xbf" + t.encode())
+        return len(got), got != t
+
+    return _per_text(docs_of(s, d), "doc_id", both, "l", "struct<size:int,changed:boolean>").select("doc_id", "l.size", "l.changed")
+
+
 # --- routing ---------------------------------------------------------------------------------------------------
 
 @query("""SELECT doc_id, CASE WHEN text LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' WHEN regexp_matches(lower(ltrim(text)), '^(<!doctype html|<html)') OR regexp_matches(lower(source_path), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(source_path), '\\.(md|markdown)$') OR text LIKE '---' || chr(10) || '%' THEN 'md' ELSE 'txt' END AS format FROM documents WHERE text IS NOT NULL""")
@@ -644,6 +694,30 @@ def pdf_lines(s, d):
     return rows.select("id", F.posexplode("lines").alias("line", "text")).select("id", F.col("line").cast("long").alias("line"), "text")
 
 
+_BLANKS = "[\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
+_STRIP = f"regexp_replace(regexp_replace(@, '^{_BLANKS}+', ''), '{_BLANKS}+$', '')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE format = 'txt' AND text IS NOT NULL) z),
+y AS (SELECT doc_id, line, l, {_STRIP.replace('@', 'l')} AS b, {_STRIP.replace('@', "coalesce(lead(l) OVER (PARTITION BY doc_id ORDER BY line), '')")} AS f FROM x),
+n AS (SELECT *, regexp_extract(b, '^(\\d+(?:[.]\\d+)*)[.]?\\s+\\S', 1) AS num, right(b, 1) IN ('.', '!', '?') AS closed FROM y)
+SELECT doc_id, line::INT AS line, level::INT AS level FROM (SELECT doc_id, line, CASE WHEN b = '' OR len(b) > 90 THEN NULL
+ WHEN regexp_matches(l, '^\\s*(?:[-*+•]|\\d+[.)])\\s+\\S') AND NOT (num <> '' AND NOT contains(num, '.') AND f = '') THEN NULL
+ WHEN regexp_full_match(f, '={{3,}}') THEN 1 WHEN regexp_full_match(f, '-{{3,}}') THEN 2
+ WHEN num <> '' AND NOT closed THEN least(6, len(num) - len(replace(num, '.', '')) + 1)
+ WHEN regexp_matches(b, '(?i)^(chapter|part|section|appendix|book)\\b') THEN 1
+ WHEN NOT closed AND b = upper(b) AND regexp_matches(b, '\\p{{Lu}}') THEN 2 END AS level FROM n) z WHERE level IS NOT NULL""")
+def txt_headings(s, d):
+    """Lines of plain text that are headings, with their level."""
+
+    def levels(text: str) -> list[int | None]:
+        lines = text.split("\n")
+        return [markup.heading_level(x, lines[n + 1] if n + 1 < len(lines) else None) for n, x in enumerate(lines)]
+
+    rows = _per_text(docs_of(s, d).filter("format = 'txt'"), "doc_id", levels, "levels", "array<int>")
+    return rows.select("doc_id", F.posexplode("levels").alias("line", "level")).filter("level is not null")
+
+
 @query()
 def md_blocks(s, d):
     return _blocks(s, d, "md")
