@@ -446,7 +446,12 @@ def context_window(s, d):
     return chunker.context(c, c.filter("id % 100 = 0")).drop("text")
 
 
-@query()
+@query(f"""WITH a AS (SELECT id AS anchor_id, document_id, seq AS place FROM document_chunks WHERE id % 100 = 0),
+w AS (SELECT a.*, c.id, c.seq, coalesce({_U16.replace('text', 'c.text')}, 0) AS size FROM a JOIN document_chunks c ON c.document_id = a.document_id AND c.seq BETWEEN place - 5 AND place + 5),
+f AS (SELECT *, sum(size) OVER (PARTITION BY anchor_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down, sum(CASE WHEN seq >= place THEN size ELSE 0 END) OVER (PARTITION BY anchor_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS up FROM w),
+k AS (SELECT * FROM f WHERE seq = place OR seq < place AND down <= 2000 OR seq > place AND up <= 2000)
+SELECT anchor_id, id, seq, min(seq) OVER (PARTITION BY anchor_id) > 0 AS has_more_before,
+ (SELECT count(*) FROM document_chunks x WHERE x.document_id = k.document_id AND x.seq > k.place AND x.seq <= k.place + 6) > count(*) FILTER (seq > place) OVER (PARTITION BY anchor_id) AS has_more_after FROM k""")
 def context_capped(s, d):
     """Windows of five chunks either side that hold at most 2,000 units."""
     c = chunks_of(s, d)
@@ -728,6 +733,22 @@ def txt_blocks(s, d):
     return _blocks(s, d, "txt")
 
 
+@query("SELECT doc_id, true AS in_order, 0 AS mixed FROM documents WHERE format = 'txt' AND regexp_matches(text, '\\S')")
+def rechunk_laws(s, d):
+    """Of plain text: whether the chunks hold all its letters and numbers in order, and how many hold more than a place."""
+
+    def laws(text: str) -> tuple[bool, bool, int]:
+        letters = lambda t: "".join(c for c in t if c.isalnum())
+        blocks = list(markup.text_blocks(text))
+        chunks = list(chunker.chunk_blocks(blocks))
+        starts = {b.text: b.locator for b in blocks if b.kind == "heading" and (b.level or 9) <= 2}
+        mixed = sum(any(line in starts and starts[line] != c.locator and sum(b.text == line for b in blocks) == 1 for line in c.text.split("\n\n")) for c in chunks)
+        return bool(text.strip()), letters("".join(c.text for c in chunks)) == letters(text), mixed
+
+    rows = _per_text(docs_of(s, d).filter("format = 'txt'"), "doc_id", laws, "l", "struct<filled:boolean,in_order:boolean,mixed:int>")
+    return rows.filter("l.filled").select("doc_id", "l.in_order", "l.mixed")
+
+
 @query()
 def rechunk(s, d):
     """Every document parsed and chunked anew."""
