@@ -147,3 +147,35 @@ def test_roman_numbers(spark):
 
     got = [r[0] for r in spark.range(1, 4000).select(scans._roman(F.col("id"))).orderBy("id").collect()]
     assert got[3] == "iv" and got[399] == "cd" and got[1993] == "mcmxciv" and len(set(got)) == 3999
+
+
+def test_all_words_count_however_few_are_held_in_memory(spark):
+    chunks, docs = fixture(spark)
+    rare = pages_of(spark, ["the thresho1d of the thre- shold and the gramm@r", "the corn, the inforrnation " + "rejccted " * 6 + "rejcctcd " * 4], ["threshold grammar corn"] * 4 + ["information com rejected " * 400, "inforrnation " * 3])
+    chunks = chunks.select(rare.columns).union(rare.withColumn("id", rare.id + 5000))
+    docs = docs.select("document_id", "title")
+    whole = scans.learn(chunks)
+    assert whole.rarer is None and "threshold" in whole.counts and not {"inforrnation", "rejccted", "rejcctcd"} & set(whole.counts)
+
+    def rows(model):
+        return {(r.id, tuple(r.noise), tuple(sorted(r.headers)), r.right_label) for r in scans.page_facts(chunks, docs, model).collect()}
+
+    texts = ["the thresho1d of the thre- shold", "the corn, the inforrnation, gramm@r and thegrammar", "st0rekeeper measure-\nment"]
+    want, mended = rows(whole), [scans.repair(whole.decoder(), t, set()) for t in texts]
+    assert (5000, ("hyphen", "chars")) in {r[:2] for r in want} and mended[0] == ["the threshold of the threshold"]
+    for most in (0, 2, 6):  # fewer than one bin holds, too
+        few = scans.learn(chunks, most_words=most)
+        assert len(few.counts) <= most and {**few.counts, **{r.w: r.n for r in few.rarer.collect()}} == whole.counts
+        assert rows(few) == want and [scans.repair(few.decoder(), t, set()) for t in texts] == mended
+
+
+def test_confusions_lead_to_all_frequent_words(spark):
+    marks = [chr(0x4E00 + k) for k in range(250)]  # more confusions than were kept, each as often as the next
+    misread = [w.replace("n", m, 1) for w in WORDS[:3] for m in marks]
+    chunks = pages_of(spark, [" ".join(misread)], [" ".join(WORDS)] * 30)
+    whole = scans.learn(chunks, support=3)
+    assert set(whole.learned) >= {(m, "n") for m in marks}
+    assert scans.learn(chunks, support=3, most_frequent=2).learned == whole.learned
+    double = pages_of(spark, [" ".join(w.replace("n", "ñ", 1) for w in WORDS), " ".join(w.replace("n", "xx", 1) for w in WORDS)], [" ".join(WORDS)] * 30 + ["laxxtern"])
+    whole = scans.learn(double, support=5)
+    assert {("ñ", "n"), ("xx", "n")} <= set(whole.learned) and scans.learn(double, support=5, most_frequent=0).learned == whole.learned
