@@ -93,3 +93,33 @@ def test_stems_in_sql_equal_the_stemmer():
     con.execute("CREATE TABLE words AS SELECT unnest(?) AS w", [words])
     got = dict(con.execute(f"WITH {stems_sql('words')} SELECT w, s FROM stems").fetchall())
     assert {w: (got[w], porter(w)) for w in words if got[w] != porter(w)} == {}
+
+
+def test_bm25_best_of_slices_and_blocks_equal_all_scores(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["the"] * 30 + ["a", "of"] * 8 + [f"w{n}" for n in range(12)]
+    texts = [(n, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for n in range(160)]
+    texts += [(n + 1000, t) for n, t in texts[:60]]  # copies tie
+    index = fulltext.index_of(spark.createDataFrame(texts, "id long, text string"))
+    asked = ["the w1", "w1 the", "the a of w2 w3", "w4-w5 the", "the", "w6 w6 w7", "absent", None, *(f"of w{n} a" for n in range(8))]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    only = spark.createDataFrame([(n,) for n, _ in texts if n % 3], "id long")
+    for limit in (None, only):
+        every: dict[int, list] = {}
+        for r in fulltext.bm25(index, q, limit).collect():
+            assert limit is None or r.id % 3
+            every.setdefault(r.question_id, []).append((round(r.score, 9), r.id))
+        want = {(n, i, x, at + 1) for n, rows in every.items() for at, (x, i) in enumerate(sorted(rows)[:5])}
+        for how in ({}, {"block": 3, "most_blocks": 2, "slice_rows": 7}):
+            got = fulltext.bm25(index, q, limit, 5, **how).collect()
+            assert {(r.question_id, r.id, round(r.score, 9), r["rank"]) for r in got} == want
+
+
+def test_bm25_shuffles_only_the_best_of_a_slice(spark, chunks):
+    q = spark.createDataFrame([(n, "mill near") for n in range(50)], "question_id long, question string")
+    best = fulltext.bm25(fulltext.index_of(chunks), q, k=1)
+    assert best.count() == 50
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") < plan.index("FlatMapGroupsInArrow")
