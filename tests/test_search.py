@@ -207,3 +207,33 @@ def test_lookups(spark):
     assert lookups.by_chunk_id(c, "c4").first().seq == 4
     a, b = [r.id for r in lookups.random_sample(c, 8).collect()], [r.id for r in lookups.random_sample(c, 8).collect()]
     assert a == b and len(set(a)) == 8 and a != [r.id for r in lookups.random_sample(c, 8, seed=1).collect()]
+
+
+def test_ground_truth_of_many_anchors_in_one_document(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["rope", "Mill", "über", "x"]) + rng.choice([" ", "\n\t", " "]) for _ in range(40)) for _ in range(30)]
+    chunks = spark.createDataFrame([(n, "hot" if n < 25 else f"d{n}", t) for n, t in enumerate(texts)] + [(90, "hot", None), (91, None, texts[0])], "id long, document_id string, text string")
+    docs = spark.createDataFrame([("hot", "p", "ready"), ("d27", "p", "ready"), ("d28", "p", "failed"), ("d29", "r", "ready")], "document_id string, source_path string, ingest_status string")
+    flat = lambda t: " ".join(t.lower().split())
+    asked = []
+    for n in range(120):
+        t = texts[n % 30]
+        at = rng.randrange(len(t) - 30)
+        asked.append((n, "r" if n % 7 == 0 else "p", t[at : at + rng.choice([2, 5, 9, 24])]))
+    q = spark.createDataFrame([*asked, (900, "p", None), (901, None, "x"), (902, "p", " \n")], "question_id long, source_path string, anchor string")
+    at = {"p": [*range(25), 27], "r": [29]}
+    want = {(n, i) for n, path, a in asked for i in at[path] if flat(a) and flat(a) in flat(texts[i])}
+    for how in ({}, {"block": 17}):
+        got = [tuple(r) for r in evaluation.ground_truth(q, docs, chunks, **how).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_ground_truth_normalises_a_text_once_and_shuffles_none(spark):
+    chunks = spark.range(50).selectExpr("id", "'d' AS document_id", "concat('Word ', id) AS text")
+    docs = spark.createDataFrame([("d", "p", "ready")], "document_id string, source_path string, ingest_status string")
+    q = spark.createDataFrame([(n, "p", f"word {n}") for n in range(40)], "question_id long, source_path string, anchor string")
+    plan = evaluation.ground_truth(q, docs, chunks)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "SortMergeJoin" not in below and "regexp_replace" in below and "Contains" not in plan
