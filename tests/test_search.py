@@ -237,3 +237,13 @@ def test_ground_truth_normalises_a_text_once_and_shuffles_none(spark):
     plan = evaluation.ground_truth(q, docs, chunks)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInArrow") :]
     assert "SortMergeJoin" not in below and "regexp_replace" in below and "Contains" not in plan
+
+
+def test_evaluation_queries_stage_the_truth_and_their_ranks(spark):
+    from quire import registry
+
+    d = "/root/testdata/sf0.001"
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("unresolvable",):
+        plan = scans(registry.queries()[name](spark, d))
+        assert "document_chunks.parquet" not in plan, name
