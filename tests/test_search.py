@@ -244,6 +244,6 @@ def test_evaluation_queries_stage_the_truth_and_their_ranks(spark):
 
     d = "/root/testdata/sf0.001"
     scans = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    for name in ("unresolvable", "recall_mrr", "recall_by_type"):
+    for name in ("unresolvable", "recall_mrr", "recall_by_type", "hybrid_verdict"):
         plan = scans(registry.queries()[name](spark, d))
         assert "document_chunks.parquet" not in plan and "hits.parquet" not in plan, name
