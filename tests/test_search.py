@@ -247,3 +247,33 @@ def test_evaluation_queries_stage_the_truth_and_their_ranks(spark):
     for name in ("unresolvable", "recall_mrr", "recall_by_type", "hybrid_verdict"):
         plan = scans(registry.queries()[name](spark, d))
         assert "document_chunks.parquet" not in plan and "hits.parquet" not in plan, name
+
+
+def test_knn_by_a_sampled_reach_equals_all_distances(spark):
+    import random
+
+    rng = random.Random(11)
+    ids = spark.range(800).select("id", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("sampled")).collect()
+    close = [r.id for r in ids if r.sampled][:30]  # the reach guessed for query 1 holds 30 vectors, 40 are asked for
+    rows = [(r.id, [100.0, rng.choice([0.0, 0.25])] if r.id in close else [rng.choice([0.0, 1.0, 2.0, 3.0]), float(rng.randint(0, 9))]) for r in ids]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = [(1, [100.0, 0.0]), (2, [1.0, 1.0]), (3, [2.5, 4.0]), (4, [0.0, 0.0])]
+    q = spark.createDataFrame(asked, "question_id long, embedding array<float>")
+    for k in (3, 40):
+        want = set()
+        for n, a in asked:
+            near = sorted((round(((a[0] - x[0]) ** 2 + (a[1] - x[1]) ** 2) ** 0.5, 9), i) for i, x in rows)[:k]
+            want |= {(n, i, at + 1) for at, (_, i) in enumerate(near)}
+        got = vectors.knn(q, v, k, block=3, sample=4).collect()
+        assert {(r.question_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_a_round_searches_only_the_queries_that_need_it(spark, seeded, monkeypatch):
+    chunks, docs, vec, q = seeded
+    far = F.concat(F.array(F.lit(299.0).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), 383))
+    both = q.unionByName(spark.createDataFrame([(8, "absent")], "question_id long, question string").withColumn("embedding", far))
+    calls, knn = [], vectors.knn
+    monkeypatch.setattr(vectors, "knn", lambda asked, pool, k, **how: (calls.append((k, sorted(r.question_id for r in asked.collect()))), knn(asked, pool, k, **how))[1])
+    got = hybrid.hybrid_search(chunks, docs, vec, both, 1, "semantic", hybrid.Filters(kind="table")).collect()
+    assert {(r.question_id, r.id, r["round"]) for r in got} == {(8, 290, 0)}  # 7 is 290 away, beyond 256
+    assert calls == [(32, [7, 8]), (64, [7]), (128, [7]), (256, [7])]
