@@ -277,3 +277,10 @@ def test_a_round_searches_only_the_queries_that_need_it(spark, seeded, monkeypat
     got = hybrid.hybrid_search(chunks, docs, vec, both, 1, "semantic", hybrid.Filters(kind="table")).collect()
     assert {(r.question_id, r.id, r["round"]) for r in got} == {(8, 290, 0)}  # 7 is 290 away, beyond 256
     assert calls == [(32, [7, 8]), (64, [7]), (128, [7]), (256, [7])]
+
+
+def test_plain_hybrid_search_asks_for_one_bounded_round(spark, seeded, monkeypatch):
+    calls, knn = [], vectors.knn
+    monkeypatch.setattr(vectors, "knn", lambda asked, pool, k, **how: (calls.append((k, how)), knn(asked, pool, k, **how))[1])
+    assert len(run(seeded, k=3)) == 3
+    assert calls == [(6, {"sample": 16})]
